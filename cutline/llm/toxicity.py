@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from .common import fold, keep, prepare, work_folder
 from .textvec import Words, batches, lanes, mix
 
-#: Labelled documents the model is fitted on: this many of each label, those with the smallest id hash.
-SAMPLE = 1500
+#: Labelled documents the model is fitted on: this many of each label, those with the smallest id hash. Half of
+#: them train the field, the others calibrate the score. Of texts that begin or end alike one is used.
+SAMPLE, ALIKE = 3000, 64
 FEATURES, STEPS, RATE, DECAY = 1 << 17, 18, 0.7, 1e-4
 PREFIXES = (3, 4, 5, 6)
-ODDS, SUPPORT = 3.0, 4
+#: Log-odds and support (documents, and share of the toxic ones) of a feature that labels tokens.
+ODDS, SUPPORT, SUPPORT_SHARE = 3.0, 3, 0.005
 LIKELY = 0.5
 FOLDS, HELD, CUT = 4, 2, 0.3
 SPANS = "array<struct<start:int,end:int,score:double>>"
@@ -96,10 +98,10 @@ def marginals(w: Words, feats: np.ndarray, m: dict):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
-    """text and toxic of the sample."""
+    """text, toxic and half (0 trains, 1 calibrates) of the sample."""
     known = labels.groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").where(F.col("text").isNotNull()).select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"))
 
 
 def _lexicon(sample: DataFrame) -> np.ndarray:
@@ -122,14 +124,19 @@ def _lexicon(sample: DataFrame) -> np.ndarray:
     n[0, rows["f"]], n[1, rows["f"]] = rows["n"], rows["t"]
     all_n, n = n[:, FEATURES], n[:, :FEATURES]
     odds = np.log((n[1] + 0.5) / (all_n[1] + 1)) - np.log((n[0] + 0.5) / (all_n[0] + 1))
-    odds[n[1] < SUPPORT] = -np.inf
+    odds[n[1] < max(SUPPORT, SUPPORT_SHARE * all_n[1])] = -np.inf
     odds[0] = -np.inf
     return odds
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> dict | None:
     spark = prepare(docs.sparkSession)
-    sample = keep(_sample(docs, labels, per_label).repartition(6), work_folder(spark, "toxicity"))
+    folder = work_folder(spark, "toxicity")
+    both = keep(_sample(docs, labels, per_label), f"{folder}/all").withColumn("from", F.substring("text", 1, ALIKE)).withColumn("to", F.substring("text", -ALIKE, ALIKE))
+    for end in ("from", "to"):
+        both = both.groupBy(end).agg(F.min(F.struct("text", "toxic", "half", "from", "to")).alias("r")).select("r.*")
+    both = keep(both.select("text", "toxic", "half").repartition(6), f"{folder}/one")
+    sample = both.where("half = 0").select("text", "toxic")
     if not sample.where("toxic = 1").head(1):
         return None
     odds = _lexicon(sample)
@@ -171,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> dict | N
             m[k] = m[k] + RATE * v / np.sqrt(step[k])
         m["weights"][0] = 0.0
         shared.destroy()
-    m["calibration"] = _calibrated(sample, m, labels)
+    m["calibration"] = _calibrated(both.where("half = 1").select("text", "toxic"), m, labels)
     return m
 
 
