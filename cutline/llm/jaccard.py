@@ -15,7 +15,8 @@ Links. Buckets (documents of one key) are not expanded into pairs. The first rou
 document of a bucket as pivot, compares it with the members that aren't in its component yet, and takes it
 out; buckets whose members all share a component are done, so groups of copies end there. Later rounds do the
 same with all members of what is small by then (at most SMALL) and with PIVOTS pivots of larger buckets,
-both growing by GROW a round as fewer buckets are left. In the end any two members of a bucket have been compared or are connected. Equal sets are joined by their
+both growing by GROW a round as fewer buckets are left. In the end any two members of a bucket have been compared or are connected. A comparison first bounds the overlap
+by the sets' parity bits, and reads the sets themselves only where that leaves a link possible. Equal sets are joined by their
 digest beforehand. Components come from alternating large-star and small-star steps over Spark tables.
 
 Defined results: null text or text without words: no set, linked with nothing, its own component. Texts of
@@ -106,8 +107,25 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of tokens falls into bucket i; about as many buckets as tokens."""
+    size = 1 << min(16, max(8, (len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of how many tokens only one of two sets has: the buckets whose parity differs."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def survey(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One pass: a row for each document (doc_id, n, digest of its set) and, of each task, CHUNKS rows of token counts by bucket."""
+    """One pass: a row for each document (doc_id, n, digest of its set, parity bits) and, of each task, CHUNKS rows of token counts by bucket."""
 
     def run(iterator):
         total = np.zeros(BUCKETS, np.int64)
@@ -116,19 +134,19 @@ def survey(docs: DataFrame, words: int = WORDS) -> DataFrame:
             if len(sets):
                 total += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
             yield pa.record_batch(
-                [pa.nulls(len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary())],
-                ["chunk", "doc_id", "n", "data"],
+                [pa.nulls(len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())],
+                ["chunk", "doc_id", "n", "data", "bits"],
             )
         if total.any():
             yield chunk_rows(total)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "chunk int, doc_id long, n long, data binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk int, doc_id long, n long, data binary, bits binary")
 
 
 def chunk_rows(total: np.ndarray) -> pa.RecordBatch:
     packed = [zlib.compress(c.astype("<i8").tobytes(), 1) for c in np.split(total, CHUNKS)]
     return pa.record_batch(
-        [pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(packed, pa.binary())], ["chunk", "doc_id", "n", "data"]
+        [pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(CHUNKS, pa.binary())], ["chunk", "doc_id", "n", "data", "bits"]
     )
 
 
@@ -263,6 +281,20 @@ def connected(edges: DataFrame, folder: str, limit: int = 40) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {limit} rounds")
 
 
+def possible(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) that the bound of apart() doesn't rule out: a few hundred bytes a set tell most apart."""
+
+    def run(iterator):
+        for t in iterator:
+            ok = [(100 + percent) * apart(x, y) <= (100 - percent) * n for x, y, n in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), t.column("n").to_pylist(), strict=True)]
+            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one = rows.where("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("r"))
+    left = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("r.bits").alias("x"), F.col("r.n").alias("m")), "a")
+    full = left.join(one.select(F.col("doc_id").alias("b"), F.col("r.bits").alias("y"), F.col("r.n").alias("k")), "b")
+    return full.select("a", "b", "x", "y", (F.col("m") + F.col("k")).alias("n")).mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold."""
 
@@ -339,16 +371,17 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trac
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = keep(pairs, f"{folder}/pairs-{k}")
         say("round", k, "alive", alive.count, "large", alive.where(F.col("size") > small).count, "pairs", pairs.count)
-        if not pairs.isEmpty():
-            need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        close = keep(possible(pairs, seen, percent), f"{folder}/close-{k}")
+        done = pairs if done is None else done.unionByName(pairs)
+        if not close.isEmpty():
+            need = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
             if sets is not None:
                 need = need.join(sets.select("doc_id"), "doc_id", "left_anti")
             fresh = set_rows(docs.select("doc_id", "text").join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words)
             fresh = keep(fresh, f"{folder}/sets-{k}")
             sets = fresh if sets is None else sets.unionByName(fresh)
-            new = keep(verified(pairs, sets, percent), f"{folder}/links-{k}")
-            say("links", new.count)
-            done = pairs if done is None else done.unionByName(pairs)
+            new = keep(verified(close, sets, percent), f"{folder}/links-{k}")
+            say("close", close.count, "links", new.count)
             if not new.isEmpty():
                 roots = merged(roots, new, f"{folder}/roots-{k}")
         members = alive.select("key", "doc_id", "n").join(pivot.select("key", F.col("b").alias("doc_id")), ["key", "doc_id"], "left_anti")
