@@ -11,11 +11,11 @@ indexed alone, frequent tokens in combinations of two. (If the k shared tokens i
 key meets; else a combination of two frequent ones does.) Keys carry the size class, a power of two; a
 set is indexed in its own class and in the next one if a partner within the threshold could lie there.
 
-Links. Buckets (documents of one key) are not expanded into pairs. The first round takes the smallest
-document of a bucket as pivot, compares it with the members that aren't in its component yet, and takes it
-out; buckets whose members all share a component are done, so groups of copies end there. Later rounds do the
-same with all members of what is small by then (at most SMALL) and with PIVOTS pivots of larger buckets,
-both growing by GROW a round as fewer buckets are left. In the end any two members of a bucket have been compared or are connected. A comparison first bounds the overlap
+Links. Buckets (documents of one key) are not expanded into pairs. Buckets with the same members count once,
+and buckets whose members all share a component are done. The first rounds compare each document with the
+smallest pivot (smallest document) of its buckets, which joins groups of copies. Later rounds compare the
+members of a bucket with PIVOTS pivots of it (all of them, if it has at most SMALL) that aren't in the same
+component and take these pivots out; both numbers grow by GROW a round as fewer buckets are left. In the end any two members of a bucket have been compared or are connected. A comparison first bounds the overlap
 by the sets' parity bits, and reads the sets themselves only where that leaves a link possible. Equal sets are joined by their
 digest beforehand. Components come from alternating large-star and small-star steps over Spark tables.
 
@@ -41,8 +41,10 @@ WORDS, PERCENT = 4, 85
 BUCKETS, CHUNKS = 1 << 20, 64
 #: Sets below this size index pairs of frequent tokens.
 PAIRED = 256
-#: Members of a bucket up to which the second round compares all of it, and pivots of a larger one; both grow by GROW a round.
-SMALL, PIVOTS, GROW = 24, 8, 4
+#: Members of a bucket up to which the first full round compares all of it, and pivots of a larger one; both grow by GROW a round.
+SMALL, PIVOTS, GROW = 16, 8, 4
+#: Rounds in which every document is compared with one pivot only, the smallest of all its buckets'.
+FIRST = 2
 VECTOR = 3_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -316,12 +318,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return full.mapInArrow(run, "a long, b long")
 
 
-def set_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def needed(ids: DataFrame) -> np.ndarray:
+    """A bit table of doc_ids by hash; the driver gets at most BUCKETS numbers."""
+    table = np.zeros(BUCKETS, bool)
+    table[ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("h")).distinct().toPandas()["h"].to_numpy(np.int64)] = True
+    return table
+
+
+def set_rows(docs: DataFrame, table: np.ndarray, words: int = WORDS) -> DataFrame:
+    """doc_id and set of the documents in the bit table, so that texts needn't be shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
     def run(iterator):
-        for ids, text in _texts(iterator):
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(text, words)], pa.binary())], ["doc_id", "data"])
+        for b in iterator:
+            t = b.filter(pa.array(shared.value[b.column("h").to_numpy()]))
+            if t.num_rows:
+                for ids, text in _texts([t.select(["doc_id", "text"])]):
+                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(text, words)], pa.binary())], ["doc_id", "data"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, data binary")
+    hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("h"))
+    return hashed.mapInArrow(run, "doc_id long, data binary")
 
 
 def merged(roots: DataFrame, new: DataFrame, folder: str) -> DataFrame:
@@ -353,20 +369,23 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trac
     k = 0
     while True:
         k += 1
-        # Members with their component; buckets of a single component are done.
+        # Members with their component; buckets of a single component are done, and of buckets with the same members one stays.
         placed = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-        size = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+        same = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+        size = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), *same).where("lo < hi")
+        size = size.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key", "size")
         alive = keep(placed.join(size, "key"), f"{folder}/alive-{k}")
         if alive.isEmpty():
             break
         left = alive.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "size")
         # Pivots: of a bucket that is small by now every member, else a few; at first only one.
-        small, few = SMALL * GROW ** max(0, k - 2), PIVOTS * GROW ** max(0, k - 2)
-        spread = F.lit(0) if k == 1 else F.when(F.col("size") <= small, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(few)))
+        small, few = SMALL * GROW ** max(0, k - FIRST - 1), PIVOTS * GROW ** max(0, k - FIRST - 1)
+        spread = F.lit(0) if k <= FIRST else F.when(F.col("size") <= small, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(few)))
         pivot = alive.groupBy("key", spread.alias("s")).agg(F.min(F.struct("doc_id", "n", "root")).alias("p")).select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb"), F.col("p.root").alias("rb"))
         pivot = keep(pivot, f"{folder}/pivots-{k}")
         near = (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = left.join(pivot, "key").where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = left.join(pivot, "key").where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if k <= FIRST else pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = keep(pairs, f"{folder}/pairs-{k}")
@@ -377,14 +396,16 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trac
             need = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
             if sets is not None:
                 need = need.join(sets.select("doc_id"), "doc_id", "left_anti")
-            fresh = set_rows(docs.select("doc_id", "text").join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words)
+            fresh = set_rows(docs, needed(need), words).join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
             fresh = keep(fresh, f"{folder}/sets-{k}")
             sets = fresh if sets is None else sets.unionByName(fresh)
             new = keep(verified(close, sets, percent), f"{folder}/links-{k}")
             say("close", close.count, "links", new.count)
             if not new.isEmpty():
                 roots = merged(roots, new, f"{folder}/roots-{k}")
-        members = alive.select("key", "doc_id", "n").join(pivot.select("key", F.col("b").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        members = alive.select("key", "doc_id", "n")
+        if k > FIRST:
+            members = members.join(pivot.select("key", F.col("b").alias("doc_id")), ["key", "doc_id"], "left_anti")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
