@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions import fields
+from .operators import relational as op
+
 QUERIES, ORACLES = {}, {}
-FLAGSHIP = "c1_projection"
+FLAGSHIP = "q01_closing_cutoff"
+
+CUT = """WITH cut AS (SELECT l_suppkey AS inst, p_brand AS family, l_partkey AS prog, CAST(year(l_shipdate) AS INTEGER) AS yr,
+  CAST(quarter(l_shipdate) AS INTEGER) AS rnd, l_returnflag AS cat, l_linestatus = 'O' AS ladies, l_linenumber AS stage,
+  l_extendedprice AS pct, CAST(l_quantity AS INTEGER) AS rnk FROM lineitem JOIN part ON l_partkey = p_partkey) """
+SEATS = """WITH seats AS (SELECT o_custkey AS inst, o_orderpriority AS lane, CAST(year(o_orderdate) AS INTEGER) AS capture_year,
+  CAST(floor(o_totalprice) AS BIGINT) AS seats, o_orderkey AS id FROM orders) """
+LINE = "WITH li AS (SELECT *, l_partkey % 97 = 0 AS bad, l_suppkey % 13 = 0 AS odd FROM lineitem) "
 
 
 def query(sql: str):
@@ -16,10 +27,264 @@ def query(sql: str):
     return add
 
 
-def read(spark, sf_dir, name):
+def read(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@query("SELECT o_orderkey AS order_key, o_totalprice AS total FROM orders")
-def c1_projection(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_totalprice").alias("total"))
+def cut(spark, sf_dir) -> DataFrame:
+    joined = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select(
+        F.col("l_suppkey").alias("inst"), F.col("p_brand").alias("family"), F.col("l_partkey").alias("prog"), F.year("l_shipdate").alias("yr"), F.quarter("l_shipdate").alias("rnd"),
+        F.col("l_returnflag").alias("cat"), (F.col("l_linestatus") == "O").alias("ladies"), F.col("l_linenumber").alias("stage"), F.col("l_extendedprice").alias("pct"), F.col("l_quantity").cast("int").alias("rnk"),
+    )
+
+
+def seats(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("inst"), F.col("o_orderpriority").alias("lane"), F.year("o_orderdate").alias("capture_year"), F.floor("o_totalprice").alias("seats"), F.col("o_orderkey").alias("id"))
+
+
+@query(CUT + "SELECT inst, cat, ladies, yr, rnd, min(pct) AS closing, max(rnk) AS worst_rank FROM cut WHERE NOT (rnk = 0 AND pct = 0.0) GROUP BY ALL")
+def q01_closing_cutoff(spark, sf_dir):
+    rows = cut(spark, sf_dir).where(fields.no_artifact(F.col("rnk"), F.col("pct")))
+    return rows.groupBy("inst", "cat", "ladies", "yr", "rnd").agg(F.min("pct").alias("closing"), F.max("rnk").alias("worst_rank"))
+
+
+@query(CUT + "SELECT inst, family, yr, min(pct) AS low, max(pct) AS high FROM cut WHERE cat = 'N' AND NOT ladies GROUP BY ALL")
+def q02_yearly_low_high(spark, sf_dir):
+    return cut(spark, sf_dir).where("cat = 'N' and not ladies").groupBy("inst", "family", "yr").agg(F.min("pct").alias("low"), F.max("pct").alias("high"))
+
+
+Q03 = CUT + "SELECT inst, yr, pct, rnk, prog FROM (SELECT *, row_number() OVER (PARTITION BY inst, yr ORDER BY pct, rnk DESC, prog) AS n FROM cut) WHERE n = 1"
+
+
+@query(Q03)
+def q03_lowest_row_per_year(spark, sf_dir):
+    return op.first_row(cut(spark, sf_dir), ["inst", "yr"], [F.asc("pct"), F.desc("rnk"), F.asc("prog")]).select("inst", "yr", "pct", "rnk", "prog")
+
+
+@query(Q03)
+def q04_lowest_row_min_by(spark, sf_dir):
+    best = F.min(F.struct("pct", (-F.col("rnk")).alias("r"), "prog")).alias("b")
+    return cut(spark, sf_dir).groupBy("inst", "yr").agg(best).select("inst", "yr", F.col("b.pct").alias("pct"), (-F.col("b.r")).alias("rnk"), F.col("b.prog").alias("prog"))
+
+
+@query(CUT + "SELECT inst, family, prog, pct, rnk FROM cut WHERE pct <= 20000 AND cat = 'R' AND NOT ladies AND yr = 1998 AND NOT (rnk = 0 AND pct = 0.0)")
+def q05_eligible(spark, sf_dir):
+    rows = cut(spark, sf_dir).where((F.col("pct") <= 20000) & (F.col("cat") == "R") & ~F.col("ladies") & (F.col("yr") == 1998))
+    return rows.where(fields.no_artifact(F.col("rnk"), F.col("pct"))).select("inst", "family", "prog", "pct", "rnk")
+
+
+@query(CUT + "SELECT inst, max(pct) AS top, count(DISTINCT yr) AS years, count(*) AS n FROM cut GROUP BY inst")
+def q07_summary(spark, sf_dir):
+    return cut(spark, sf_dir).groupBy("inst").agg(F.max("pct").alias("top"), F.count_distinct("yr").alias("years"), F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, s_name, n_name AS city FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), '1')")
+def q08_city_filter(spark, sf_dir):
+    rows = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.where(F.lower("n_name").contains("1")).select("s_suppkey", "s_name", F.col("n_name").alias("city"))
+
+
+@query(CUT + "SELECT inst, concat(yr, ' R', rnd) AS label, max(pct) AS top FROM cut GROUP BY ALL")
+def q09_detail_trend(spark, sf_dir):
+    return cut(spark, sf_dir).groupBy("inst", F.concat_ws(" R", "yr", "rnd").alias("label")).agg(F.max("pct").alias("top"))
+
+
+@query(SEATS + "SELECT inst, lane, capture_year, seats, id FROM seats s WHERE capture_year = (SELECT max(capture_year) FROM seats t WHERE t.inst = s.inst)")
+def q10_latest_snapshot(spark, sf_dir):
+    return op.latest_snapshot(seats(spark, sf_dir), ["inst"], "capture_year").select("inst", "lane", "capture_year", "seats", "id")
+
+
+@query(SEATS + "SELECT inst, CAST(sum(seats) AS BIGINT) AS seats FROM seats s WHERE capture_year = (SELECT max(capture_year) FROM seats t WHERE t.inst = s.inst) GROUP BY inst")
+def q11_latest_snapshot_sum(spark, sf_dir):
+    return op.latest_snapshot(seats(spark, sf_dir), ["inst"], "capture_year").groupBy("inst").agg(F.sum("seats").alias("seats"))
+
+
+@query(CUT + "SELECT DISTINCT yr, cat FROM cut")
+def q12_distinct_lookups(spark, sf_dir):
+    return cut(spark, sf_dir).select("yr", "cat").distinct()
+
+
+@query(CUT + "SELECT yr, count(*) AS n FROM cut WHERE pct BETWEEN 10000 AND 30000 GROUP BY yr")
+def q13_range_and_count(spark, sf_dir):
+    return cut(spark, sf_dir).where(F.col("pct").between(10000, 30000)).groupBy("yr").agg(F.count("*").alias("n"))
+
+
+FILL = "WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN event_type ELSE '' END AS t FROM events), f AS (SELECT event_id, user_id, t, CASE WHEN t = '' THEN last_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) ELSE t END AS filled FROM e) "
+
+
+def filled(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise("").alias("t"))
+    return op.forward_fill(e.withColumn("filled", F.col("t")), ["filled"], ["user_id"], ["event_id"])
+
+
+@query(FILL + "SELECT event_id, user_id, filled FROM f")
+def q15_forward_fill(spark, sf_dir):
+    return filled(spark, sf_dir).select("event_id", "user_id", "filled")
+
+
+@query(FILL + "SELECT user_id, count(*) FILTER (t = '' AND filled IS NOT NULL) AS cells, count(*) FILTER (filled IS NULL) AS open FROM f GROUP BY user_id")
+def q16_forward_fill_count(spark, sf_dir):
+    return filled(spark, sf_dir).groupBy("user_id").agg(F.count_if((F.col("t") == "") & F.col("filled").isNotNull()).alias("cells"), F.count_if(F.col("filled").isNull()).alias("open"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS duplicate FROM lineitem")
+def q17_duplicate_flag(spark, sf_dir):
+    return op.flag_duplicates(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey", "duplicate")
+
+
+@query("SELECT l_returnflag AS flag, CAST(sum(n - 1) AS BIGINT) AS again FROM (SELECT l_returnflag, l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1")
+def q18_dup_after_first(spark, sf_dir):
+    counts = read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+    return counts.groupBy(F.col("l_returnflag").alias("flag")).agg(F.sum(F.col("n") - 1).alias("again"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS k, CAST(l_quantity AS BIGINT) AS q FROM lineitem), s AS (SELECT k, CAST(sum(q) AS BIGINT) AS parts FROM p GROUP BY k)
+SELECT k, parts, parts + 1 AS total FROM s WHERE k % 97 = 0""")
+def q19_reconcile_totals(spark, sf_dir):
+    parts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("bigint").alias("q"), F.lit(False).alias("is_total"))
+    printed = parts.groupBy("k").agg(F.sum("q").alias("q")).select("k", (F.col("q") + F.when(F.col("k") % 97 == 0, 1).otherwise(0)).alias("q"), F.lit(True).alias("is_total"))
+    return op.reconcile(parts.unionByName(printed), ["k"], F.col("is_total"), F.col("q"))
+
+
+@query("""WITH c AS (SELECT o_orderkey AS id, upper(concat(CASE WHEN o_orderkey % 2 = 0 THEN 'g' ELSE 'l' END, 'open', CASE o_orderkey % 3 WHEN 0 THEN 'h' WHEN 1 THEN 'o' ELSE '' END)) AS code FROM orders)
+SELECT id, 'OPEN' AS base, id % 2 <> 0 AS ladies, CASE id % 3 WHEN 0 THEN 'HU' WHEN 1 THEN 'OHU' ELSE 'SL' END AS section FROM c""")
+def q20_category_decompose(spark, sf_dir):
+    k = F.col("o_orderkey")
+    code = F.concat(F.when(k % 2 == 0, "g").otherwise("l"), F.lit("open"), F.when(k % 3 == 0, "h").when(k % 3 == 1, "o").otherwise(""))
+    return read(spark, sf_dir, "orders").select(k.alias("id"), fields.decompose_category(code).alias("c")).select("id", "c.*")
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'U' WHEN '2-HIGH' THEN 'H' ELSE 'Unknown' END AS code FROM orders")
+def q21_canonical_maps(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), fields.mapped(F.col("o_orderpriority"), {"1-URGENT": "U", "2-HIGH": "H"}, F.lit("Unknown")).alias("code"))
+
+
+@query("""WITH x AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(event_id AS VARCHAR) END AS s FROM events)
+SELECT event_id, TRY_CAST(CASE WHEN regexp_full_match(s, '[0-9]+') THEN s END AS INTEGER) AS i, TRY_CAST(s AS DOUBLE) AS d FROM x""")
+def q22_safe_casts(spark, sf_dir):
+    s = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("event_id").cast("string"))
+    return read(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", fields.safe_int(F.col("s")).alias("i"), fields.safe_double(F.col("s")).alias("d"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def q23_json_project(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT s_suppkey, CASE WHEN length(CAST(s_suppkey AS VARCHAR)) >= 5 THEN CAST(s_suppkey AS VARCHAR) ELSE lpad(CAST(s_suppkey AS VARCHAR), 5, '0') END AS code FROM supplier")
+def q24_pad_and_crosscheck(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select("s_suppkey", fields.zero_filled(F.col("s_suppkey").cast("string")).alias("code"))
+
+
+STATUS = "CASE WHEN bad THEN 'QUARANTINED' WHEN odd THEN 'UNKNOWN_CATEGORY' WHEN l_quantity > 45 THEN 'BAD_PERCENTAGE' ELSE 'ok' END"
+
+
+def with_status(spark, sf_dir):
+    bad, odd = F.col("l_partkey") % 97 == 0, F.col("l_suppkey") % 13 == 0
+    return read(spark, sf_dir, "lineitem").withColumn("status", F.when(bad, "QUARANTINED").when(odd, "UNKNOWN_CATEGORY").when(F.col("l_quantity") > 45, "BAD_PERCENTAGE").otherwise("ok"))
+
+
+@query(LINE + f"SELECT l_orderkey, l_linenumber, l_partkey, {STATUS} AS status FROM li")
+def q25_quarantine_status(spark, sf_dir):
+    return with_status(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "status")
+
+
+@query(LINE + f"SELECT l_returnflag AS file, count(*) AS n, count(*) FILTER ({STATUS} = 'QUARANTINED') AS anomalies, count(*) FILTER ({STATUS} = 'UNKNOWN_CATEGORY') AS bad_cat FROM li GROUP BY 1")
+def q26_quality_counters(spark, sf_dir):
+    s = F.col("status")
+    return with_status(spark, sf_dir).groupBy(F.col("l_returnflag").alias("file")).agg(F.count("*").alias("n"), F.count_if(s == "QUARANTINED").alias("anomalies"), F.count_if(s == "UNKNOWN_CATEGORY").alias("bad_cat"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'duplicate' ELSE 'inserted' END AS status, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+def q27_load_accounting(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    loaded = op.insert_new(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), ["o_orderkey"], [F.asc("o_custkey")])
+    return loaded.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def q28_fk_orphans(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return read(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left_anti")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'PATCHED' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000000, 'PATCHED' FROM customer WHERE c_custkey % 50 = 0")
+def q29_upsert(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    patch = c.where("c_custkey % 5 = 0").unionByName(c.where("c_custkey % 50 = 0").withColumn("c_custkey", F.col("c_custkey") + 1000000000)).withColumn("c_mktsegment", F.lit("PATCHED"))
+    return op.upsert(c, patch, ["c_custkey"])
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN 'site' ELSE s_name END AS s_name FROM supplier")
+def q30_update_matched(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    patch = s.where("s_suppkey % 2 = 0").withColumn("s_name", F.when(F.col("s_suppkey") % 4 != 0, "site"))
+    return op.update_matched(s, patch, ["s_suppkey"], ["s_name"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0")
+def q31_rollback_delete(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return op.rollback(o, o.where("o_orderkey % 7 = 0"), ["o_orderkey"])
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer)
+SELECT k, v, CASE WHEN k % 5 = 0 THEN 'new' WHEN k % 3 = 0 THEN 'changed' ELSE 'exact' END AS change FROM c""")
+def q32_snapshot_diff(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
+    old = c.where("k % 5 <> 0").withColumn("v", F.when(F.col("k") % 3 == 0, F.col("v") + 100).otherwise(F.col("v")))
+    return op.snapshot_diff(c, old, ["k"], ["v"])
+
+
+@query(CUT + "SELECT family, prog FROM (SELECT family, prog, row_number() OVER (PARTITION BY family ORDER BY yr DESC, n DESC, prog) AS k FROM (SELECT family, yr, prog, count(*) AS n FROM cut GROUP BY ALL)) WHERE k = 1")
+def q33_mode_latest_year(spark, sf_dir):
+    n = cut(spark, sf_dir).groupBy("family", "yr", "prog").agg(F.count("*").alias("n"))
+    return op.first_row(n, ["family"], [F.desc("yr"), F.desc("n"), F.asc("prog")]).select("family", "prog")
+
+
+@query(CUT + "SELECT inst, yr, low FROM (SELECT *, row_number() OVER (PARTITION BY inst ORDER BY yr DESC) AS k FROM (SELECT inst, yr, min(pct) AS low FROM cut GROUP BY ALL)) WHERE k <= 4")
+def q38_last4_history(spark, sf_dir):
+    return op.last_rows(cut(spark, sf_dir).groupBy("inst", "yr").agg(F.min("pct").alias("low")), ["inst"], [F.desc("yr")], 4)
+
+
+@query("SELECT l_returnflag AS cat, max(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS l, max(CASE WHEN l_linestatus <> 'O' THEN l_quantity END) AS g FROM lineitem GROUP BY 1")
+def q39_pivot_split(spark, sf_dir):
+    ladies = F.col("l_linestatus") == "O"
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("cat")).agg(F.max(F.when(ladies, F.col("l_quantity"))).alias("l"), F.max(F.when(~ladies, F.col("l_quantity"))).alias("g"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 25")
+def q41_topn_values(spark, sf_dir):
+    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(25)
+
+
+@query("SELECT o_orderkey, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def q42_left_join(spark, sf_dir):
+    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "orders").select("o_orderkey").join(n, "o_orderkey", "left").fillna(0, ["n"])
+
+
+@query("(SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) UNION ALL SELECT n_nationkey FROM nation")
+def q43_set_ops(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
+    s = read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
+    return c.subtract(s).unionByName(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")))
+
+
+@query(CUT + "SELECT inst, yr, low, low - lag(low) OVER (PARTITION BY inst ORDER BY yr) AS delta FROM (SELECT inst, yr, min(pct) AS low FROM cut GROUP BY ALL)")
+def q47_yoy_delta(spark, sf_dir):
+    low = cut(spark, sf_dir).groupBy("inst", "yr").agg(F.min("pct").alias("low"))
+    return low.withColumn("delta", F.col("low") - F.lag("low").over(Window.partitionBy("inst").orderBy("yr")))
+
+
+@query(CUT + "SELECT inst, yr, max(rnd) AS rnd, arg_max(low, rnd) AS final FROM (SELECT inst, yr, rnd, min(pct) AS low FROM cut GROUP BY ALL) GROUP BY ALL")
+def q48_final_round(spark, sf_dir):
+    low = cut(spark, sf_dir).groupBy("inst", "yr", "rnd").agg(F.min("pct").alias("low"))
+    return low.groupBy("inst", "yr").agg(F.max("rnd").alias("rnd"), F.max_by("low", "rnd").alias("final"))
+
+
+@query("SELECT p_partkey, 'size' AS field, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part")
+def q51_unpivot(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    return p.unpivot("p_partkey", ["size", "price"], "field", "value")
