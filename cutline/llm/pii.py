@@ -207,7 +207,8 @@ def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     The terms that can occur in a batch are few; they come as spans of find(), joined by doc_id.
     """
     found = find(docs, terms).groupBy("doc_id").agg(F.max("spans").alias("spans of it"))
-    joined = docs.join(found, "doc_id", "left").select(*docs.columns, "spans of it")
+    columns = docs.columns
+    joined = docs.join(found, "doc_id", "left").select(*columns, "spans of it")
 
     def run(iterator):
         for b in iterator:
@@ -223,6 +224,6 @@ def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
                     t = "".join(parts) + t[at:]
                 out.append(t)
             i = b.schema.get_field_index("text")
-            yield b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type)).select(docs.columns)
+            yield b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type)).select(columns)
 
     return joined.mapInArrow(run, docs.schema)

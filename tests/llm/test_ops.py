@@ -1,0 +1,176 @@
+"""The numbered operators against brute force on small rows with nulls, ties, copies and clashing columns."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from cutline.llm import bytebpe, huffman, jaccard, langid, media, mixing, pii, secrets, topk, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string"
+LONG = " ".join(f"word{i % 700} other{i % 31}" for i in range(4000))
+TEXTS = [None, "", "   ", "12 34", "one two three", "The cat and the dog in the house. " * 4, "El perro y la casa de los gatos. " * 4, LONG, LONG + " end", LONG, "a@b.com +1 (337) 555-3479 at 10.0.0.1 token=abcdefgh12", "日本語 é <|endoftext|> x  y\n\n z"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    langs = {5: "en", 6: "es"}
+    return spark.createDataFrame([(i, t, langs.get(i), "s", None, 1.0, "x") for i, t in enumerate(TEXTS)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_language_id(docs, empty):
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    assert [got[i].lang_pred for i in range(4)] == ["und"] * 4
+    assert (got[5].lang_pred, got[6].lang_pred) == ("en", "es")
+    assert langid.predict(empty, model).count() == 0
+    assert {r.lang_pred for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
+    kept = langid.keep_known(docs, model)
+    assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 4
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    emit, penalty = rng.normal(size=(5, 3)).astype(np.float32), 1.0
+    paths = np.stack(np.meshgrid(*[range(3)] * 5, indexing="ij"), -1).reshape(-1, 5)
+    total = emit[np.arange(5), paths].sum(1) - penalty * (paths[:, 1:] != paths[:, :-1]).sum(1)
+    assert langid.viterbi(emit, np.array([0]), np.array([5]), penalty).tolist() == paths[total.argmax()].tolist()
+
+
+def test_token_file(docs, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(huffman.default_path())
+    start = 0
+    got = {r.doc_id: r for r in huffman.round_trip(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert huffman.round_trip(empty).count() == 0
+
+
+def test_code_lengths_are_limited():
+    fib = [1, 1]
+    while len(fib) < 30:
+        fib.append(fib[-1] + fib[-2])
+    lengths = huffman.code_lengths(dict(enumerate(fib)), 8)
+    assert max(lengths.values()) <= 8 and sum(2.0**-x for x in lengths.values()) == 1
+
+
+def test_byte_bpe(docs, empty):
+    c = bytebpe.Codec(*bytebpe._spec(None, None))
+    got = {r.doc_id: r for r in bytebpe.digests(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        ids = c.exact.encode_ordinary(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert {r.doc_id: r.text for r in bytebpe.decode(bytebpe.encode_rows(docs)).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
+    assert bytebpe.digests(empty).count() == 0
+
+
+def test_pii(docs, empty):
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert (got[10].n_email, got[10].n_ip, got[10].n_card, got[10].n_phone) == (1, 1, 0, 1)
+    assert got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.find(empty).count() == 0
+    assert "[EMAIL]" in pii.sanitise(docs).where("doc_id = 10").first().text
+
+
+def test_disclosing_terms(spark):
+    rows = [(i, f"call {'hotline' if i % 2 else 'filler'} a{i}@b.com now" if i < 20 else "filler words of no use " * 3) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "hotline" in {r.term for r in pii.disclosing(d, support=5, bits=1.0).collect()}
+
+
+def test_toxicity(spark, docs, empty):
+    clean = "these are calm words about the weather and the garden today number"
+    rows = [(i, f"{i} {clean} {i} " + (f"you idiot moron {i}" if i % 3 == 0 else "you friend")) for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, labels)
+    got = {r.doc_id: r.score for r in toxicity.predict(d, model).collect()}
+    assert min(got[i] for i in range(0, 90, 3)) > max(got[i] for i in range(90) if i % 3)
+    assert toxicity.predict(docs, model).count() == len(TEXTS) and toxicity.predict(empty, model).count() == 0
+    assert {r.score for r in toxicity.predict(docs, toxicity.fit(docs, labels.where("false"))).collect()} == {0.0}
+
+
+def test_mixing_meets_targets(spark, docs, empty):
+    rows = [(i, ("good prose about things " if i % 4 else "*** junk junk junk ### ") * (3 + i % 5)) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), None) for i in range(120)], "doc_id long, quality int, toxic int")
+    got, report = mixing.rates(d, labels, {"good": 0.9, "poor": 0.1}, 1.0)
+    assert np.allclose(report["after"], report["target"], rtol=1e-3)
+    assert got.where("rate < 0").count() == 0 and got.count() == 120
+    assert mixing.mix(docs, labels.where("false")).columns == docs.columns
+    assert mixing.rates(empty, labels)[0].count() == 0
+
+
+def test_secrets(docs, empty):
+    pattern = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in pattern.finditer(TEXTS[10]) if len(m[2]) >= 8)
+    assert got[10].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[10].n_assign == 1
+    assert secrets.scan(empty).count() == 0
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean[0] is None and clean[10].endswith("[SECRET]") and clean[7] == LONG
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(300)] + [(300, None), (301, [float("nan")] * 6), (302, [])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    x = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows[:300]}
+    want = {q: sorted(((-int(x[q] @ x[c]), c) for c in x if c != q))[:5] for q in x if q % 50 == 0}
+    got = {}
+    for r in topk.op8_top_k(d).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got == want
+
+
+def test_media(docs, empty):
+    got = {r.doc_id: r for r in media.op9_media(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        payload = media.padded((t or "").encode())
+        assert len(payload) % 576 == 0 and got[i].payload_sha256 == hashlib.sha256(payload).hexdigest()
+    assert got[7].feature == got[9].feature and got[0].payload_bytes == 576
+    assert media.op9_media(empty).count() == 0
+    segments = media.analyse(media.padded(LONG.encode()))[0]
+    table = media.as_tensors([{"start_ms": a, "end_ms": z, "tensor": t.ravel().tolist()} for a, z, t in segments])
+    assert table.num_rows == len(segments)
+
+
+def test_jaccard(spark, docs, empty):
+    got = {r.doc_id: r for r in jaccard.components(docs).collect()}
+    assert (got[0].n_shingles, got[2].n_shingles, got[4].n_shingles) == (0, 0, 1)
+    assert (got[7].component_id, got[8].component_id, got[9].component_id) == (7, 7, 7) and got[0].component_id == 0
+    assert jaccard.components(empty).count() == 0
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 2
+
+
+def test_jaccard_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = [[f"w{v}" for v in rng.integers(0, 5000, 80)] for _ in range(6)]
+    rows = []
+    for i in range(90):
+        words = list(base[i % 6])
+        for at in rng.integers(0, 80, i % 4):
+            words[at] = f"new{rng.integers(0, 99)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.lower().split()[k : k + 4]) for k in range(len(t.split()) - 3)} for _, t in rows]
+    root = list(range(90))
+    for _ in range(90):
+        for i in range(90):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = {r.doc_id: r.component_id for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
