@@ -288,3 +288,125 @@ def q48_final_round(spark, sf_dir):
 def q51_unpivot(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
     return p.unpivot("p_partkey", ["size", "price"], "field", "value")
+
+
+@query(CUT + """SELECT s_name AS inst_name, p_name AS prog_name, family, yr, rnd, cat, ladies, pct, rnk FROM cut JOIN supplier ON inst = s_suppkey JOIN part ON prog = p_partkey
+WHERE pct <= 20000 AND family = 'Brand#13' AND NOT (rnk = 0 AND pct = 0.0)""")
+def q06_course_search(spark, sf_dir):
+    rows = cut(spark, sf_dir).where((F.col("pct") <= 20000) & (F.col("family") == "Brand#13")).where(fields.no_artifact(F.col("rnk"), F.col("pct")))
+    inst = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("inst"), F.col("s_name").alias("inst_name"))
+    prog = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("prog"), F.col("p_name").alias("prog_name"))
+    return rows.join(inst, "inst").join(prog, "prog").select("inst_name", "prog_name", "family", "yr", "rnd", "cat", "ladies", "pct", "rnk")
+
+
+@query(CUT + """, d AS (SELECT inst, prog, yr, rnd, stage, (30000 - pct) / 1000 AS diff FROM cut)
+SELECT inst, prog, yr, rnd, stage, CASE WHEN diff > 3 THEN 'high' WHEN diff >= 1 THEN 'good' WHEN diff >= 0 THEN 'fair' ELSE 'low' END AS badge,
+CASE WHEN diff >= 1 THEN 'safe' WHEN diff >= -1 THEN 'borderline' ELSE 'reach' END AS band FROM d""")
+def q14_chance_badge(spark, sf_dir):
+    diff = (F.lit(30000) - F.col("pct")) / 1000
+    return cut(spark, sf_dir).select("inst", "prog", "yr", "rnd", "stage", fields.chance_badge(diff).alias("badge"), fields.status_band(diff).alias("band"))
+
+
+@query("""WITH l AS (SELECT s_suppkey AS idx, concat(s_suppkey, ', ', s_suppkey + 2) AS codes, s_nationkey % 2 AS city, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS site FROM supplier WHERE s_suppkey % 4 < 3),
+x AS (SELECT trim(unnest(string_split(codes, ','))) AS code, city, site, idx FROM l),
+g AS (SELECT code, count(DISTINCT city) > 1 AS conflict, arg_min(coalesce(site, ''), (CASE WHEN site IS NULL THEN 1 ELSE 0 END) * 1000000000 + idx) AS site FROM x GROUP BY code)
+SELECT code, CASE WHEN NOT conflict THEN nullif(site, '') END AS site, CASE WHEN conflict THEN 'CITY_CONFLICT' WHEN s_suppkey IS NULL THEN 'CODE_NOT_IN_DB' ELSE 'ok' END AS status
+FROM g LEFT JOIN supplier ON code = CAST(s_suppkey AS VARCHAR)""")
+def q34_enrichment(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    listed = s.where(k % 4 < 3).select(k.alias("idx"), F.concat_ws(", ", k, k + 2).alias("codes"), (F.col("s_nationkey") % 2).alias("city"), F.when(k % 3 != 0, F.col("s_name")).alias("site"))
+    return op.enrichment(listed, s.select(k.cast("string").alias("code")), codes="codes", city="city", site="site", order="idx")
+
+
+def q35_name_similarity(spark, sf_dir):
+    """Rows with the supplier's and the customer's name of one key, alike or NAME_MISMATCH; the ratio has no SQL."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("a"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("b"))
+    ratio = fields.name_ratio(fields.normal_name(F.col("a")), fields.normal_name(F.col("b")))
+    return s.join(c, "k").select("k", "a", "b", ratio.alias("ratio")).withColumn("status", F.when(F.col("ratio") < fields.LEAST_RATIO, "NAME_MISMATCH").otherwise("ok"))
+
+
+QUERIES["q35_name_similarity"] = q35_name_similarity
+
+
+@query(CUT + "SELECT inst, family, string_agg(concat(yr, ':', rnd, ':', rnk), ',' ORDER BY yr, rnd, rnk) AS points FROM cut GROUP BY ALL")
+def q36_points_array(spark, sf_dir):
+    points = op.points(cut(spark, sf_dir), ["inst", "family"], ["yr", "rnd", "rnk"])
+    return points.select("inst", "family", F.array_join(F.transform("points", lambda p: F.concat_ws(":", p.yr, p.rnd, p.rnk)), ",").alias("points"))
+
+
+@query(CUT + "SELECT inst, ladies, cat, string_agg(DISTINCT rnd, ',' ORDER BY rnd) AS rounds FROM cut GROUP BY ALL")
+def q37_nested_options(spark, sf_dir):
+    nested = op.nested_options(cut(spark, sf_dir), "inst", "ladies", "cat", "rnd")
+    by_ladies = nested.select("inst", F.explode("options").alias("ladies", "cats"))
+    return by_ladies.select("inst", "ladies", F.explode("cats").alias("cat", "r")).select("inst", "ladies", "cat", F.array_join(F.col("r").cast("array<string>"), ",").alias("rounds"))
+
+
+PRIORITIES = ["1-URGENT", "3-MEDIUM", "5-LOW"]
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 3 ELSE 4 END AS place FROM orders ORDER BY place, o_orderkey")
+def q40_enumerated_sort(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", fields.ordinal(F.col("o_orderpriority"), PRIORITIES).alias("place")).orderBy("place", "o_orderkey")
+
+
+@query(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents),
+l AS (SELECT doc_id, regexp_replace(unnest(string_split(t, chr(10))), '^[ \t\r\f]+|[ \t\r\f]+$', '', 'g') AS line FROM c)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_full_match(line, '[A-Z0-9-]{2,15}( [A-Z0-9-]{2,15})*') AND NOT regexp_matches(line, '(^| )([0-9]+|II|III|IV|VI|VII|VIII|IX|XI|XII|STAGE)( |$)')) AS n_headers
+FROM l WHERE line <> '' GROUP BY doc_id""")
+def q44_text_lines(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(fields.text_lines(F.col("text"))).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(fields.is_category_line(F.col("line"))).alias("n_headers"))
+
+
+@query(r"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, concat('x ', l_partkey, CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE '' END, ' (', CAST(l_quantity AS INTEGER), '.25) ', l_suppkey, '(7.5) 12 (3)') AS line FROM lineitem),
+m AS (SELECT l_orderkey, l_linenumber, l_partkey, unnest(regexp_extract_all(line, '[0-9]+[A-Z]?\s*\([0-9]+\.[0-9]+\)')) AS m FROM s)
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(regexp_extract(m, '^([0-9]+)', 1) AS BIGINT) AS rnk, regexp_extract(m, '^[0-9]+([A-Z]?)', 1) AS letter, CAST(regexp_extract(m, '\(([0-9.]+)\)', 1) AS DOUBLE) AS pct FROM m""")
+def q45_value_regex(spark, sf_dir):
+    line = F.concat(F.lit("x "), "l_partkey", F.when(F.col("l_suppkey") % 2 == 0, "A").otherwise(""), F.lit(" ("), F.col("l_quantity").cast("int"), F.lit(".25) "), "l_suppkey", F.lit("(7.5) 12 (3)"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.explode(fields.ranked_values(line)).alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "v.rnk", "v.letter", "v.pct")
+
+
+WORD = "CAST(sum(CAST('0x' || substr(md5(row), {}, 8) AS BIGINT)) AS VARCHAR)"
+
+
+@query(f"""WITH r AS (SELECT source, concat_ws('|', coalesce(lang, ''), coalesce(text, '')) AS row FROM documents),
+f AS (SELECT source, count(*) AS n, concat_ws('-', {', '.join(WORD.format(i) for i in (1, 9, 17, 25))}) AS print FROM r GROUP BY source)
+SELECT source, n, print, count(*) OVER (PARTITION BY n, print) > 1 AS duplicate FROM f""")
+def q46_fingerprint(spark, sf_dir):
+    return op.fingerprints(read(spark, sf_dir, "documents"), "source", ["lang", "text"])
+
+
+#: Steps that a user's events may take, by state.
+STEPS = {"signup": ["view", "error"], "view": ["view", "click", "error"], "click": ["view", "click", "purchase", "error"], "purchase": ["view"]}
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events)
+SELECT event_id, user_id, state, previous, CASE WHEN previous IS NULL THEN state = 'signup' WHEN previous = 'signup' THEN state IN ('view', 'error') WHEN previous = 'view' THEN state IN ('view', 'click', 'error')
+WHEN previous = 'click' THEN state IN ('view', 'click', 'purchase', 'error') WHEN previous = 'purchase' THEN state = 'view' ELSE FALSE END AS allowed FROM e""")
+def q49_state_machine(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("state"))
+    return op.check_steps(e, ["user_id"], ["event_id"], "state", STEPS, ["signup"])
+
+
+@query("""WITH a AS (SELECT DISTINCT p_brand AS brand, p_name AS name FROM part), d AS (SELECT brand, name, row_number() OVER (ORDER BY brand, name) AS id FROM (SELECT DISTINCT p_brand AS brand, p_name AS name FROM part WHERE p_partkey % 3 = 0)),
+n AS (SELECT * FROM a EXCEPT SELECT brand, name FROM d)
+SELECT brand, name, id FROM d UNION ALL SELECT brand, name, (SELECT coalesce(max(id), 0) FROM d) + row_number() OVER (ORDER BY brand, name) FROM n""")
+def q50_surrogate_keys(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_name").alias("name"))
+    empty = p.select("brand", "name", F.lit(0).cast("bigint").alias("id")).limit(0)
+    return op.get_or_create(op.get_or_create(empty, p.where("p_partkey % 3 = 0"), ["brand", "name"], "id"), p, ["brand", "name"], "id")
+
+
+IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, CAST(max({k}) AS BIGINT) AS top FROM {t}" for t, k in IDS.items()))
+def q52_health_counts(spark, sf_dir):
+    parts = [read(spark, sf_dir, t).agg(F.count("*").alias("n"), F.max(k).cast("bigint").alias("top")).select(F.lit(t).alias("name"), "n", "top") for t, k in IDS.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Codes that stand for themselves, with their base code.
 WHOLE_CODES = {"MI": "MI", "MI-MH": "MI", "EWS": "EWS", "TFWS": "TFWS"}
@@ -55,3 +59,53 @@ def mapped(x: Column, names: dict[str, str], default: Column | None = None) -> C
     for k, v in names.items():
         out = F.when(x == k, v).otherwise(out)
     return out
+
+
+# The least ratio of two names that count as one institution, and numerals that are no category.
+LEAST_RATIO = 0.30
+NUMERALS = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII"]
+
+
+def chance_badge(diff: Column) -> Column:
+    """Above 3 high, 1 to 3 good, 0 to 1 fair (the lower bound belongs to a band), else low; null stays null."""
+    return F.when(diff > 3, "high").when(diff >= 1, "good").when(diff >= 0, "fair").when(diff < 0, "low")
+
+
+def status_band(diff: Column) -> Column:
+    return F.when(diff >= 1, "safe").when(diff >= -1, "borderline").when(diff < -1, "reach")
+
+
+def ordinal(x: Column, names: list[str]) -> Column:
+    """Place in a fixed list, from 1; values that aren't listed, and null, come last."""
+    place = F.array_position(F.array(*map(F.lit, names)), x)
+    return F.when(place > 0, place).otherwise(len(names) + 1).cast("int")
+
+
+def normal_name(x: Column) -> Column:
+    """Upper case; everything else than letters A-Z and digits is one blank."""
+    return F.trim(F.regexp_replace(F.upper(x), "[^A-Z0-9]+", " "))
+
+
+@F.pandas_udf(DoubleType())
+def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratio of two names; null where one is null."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def text_lines(x: Column) -> Column:
+    """The lines of a text that aren't blank, trimmed, with runs of blanks as one."""
+    t = F.translate(F.coalesce(x, F.lit("")), "\0", " ")
+    t = F.regexp_replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), "[ \t]+", " ")
+    lines = F.transform(F.split(F.regexp_replace(t, "\n{3,}", "\n\n"), "\n"), lambda s: F.regexp_replace(s, "^[ \t\r\f]+|[ \t\r\f]+$", ""))
+    return F.filter(lines, lambda s: s != "")
+
+
+def is_category_line(line: Column) -> Column:
+    """Every token of the line is of 2 to 15 upper-case letters, digits or hyphens and no number, numeral or STAGE."""
+    return F.forall(F.split(line, " "), lambda t: t.rlike("^[A-Z0-9-]{2,15}$") & ~t.rlike("^[0-9]+$") & ~t.isin(*NUMERALS, "STAGE"))
+
+
+def ranked_values(line: Column) -> Column:
+    """Array of struct(rnk, letter, pct) of each 'rank[letter] (percentage)' of a line."""
+    found = F.regexp_extract_all(line, F.lit(r"[0-9]+[A-Z]?\s*\([0-9]+\.[0-9]+\)"), F.lit(0))
+    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, "^([0-9]+)", 1).try_cast("bigint").alias("rnk"), F.regexp_extract(m, "^[0-9]+([A-Z]?)", 1).alias("letter"), F.regexp_extract(m, r"\(([0-9.]+)\)", 1).try_cast("double").alias("pct")))

@@ -70,3 +70,60 @@ def reconcile(df: DataFrame, keys: list[str], is_total: Column, value: Column) -
     """Keys whose parts don't add up to the printed total; keys without either side are left out."""
     sums = df.groupBy(*keys).agg(F.sum(F.when(~is_total, value)).alias("parts"), F.sum(F.when(is_total, value)).alias("total"))
     return sums.where(F.col("parts").isNotNull() & F.col("total").isNotNull() & (F.col("parts") != F.col("total")))
+
+
+def points(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys and points: the rows of each key as an array of structs, sorted by their fields."""
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("points"))
+
+
+def nested_options(df: DataFrame, key: str, first: str, second: str, value: str) -> DataFrame:
+    """key and options: first -> second -> sorted distinct values; each level is combined before it is nested."""
+    sets = df.groupBy(key, first, second).agg(F.sort_array(F.collect_set(value)).alias("_v"))
+    inner = sets.groupBy(key, first).agg(F.map_from_entries(F.collect_list(F.struct(second, "_v"))).alias("_m"))
+    return inner.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(first, "_m"))).alias("options"))
+
+
+def enrichment(listed: DataFrame, known: DataFrame, codes: str, city: str, site: str, order: str) -> DataFrame:
+    """code, site and status of each code of a comma-separated cell: CITY_CONFLICT, CODE_NOT_IN_DB or ok.
+
+    Of several rows with a code the first with a site counts, else the first. known has a distinct column code.
+    """
+    rows = listed.select(F.explode(F.split(codes, ",")).alias("_c"), city, site, order).withColumn("code", F.trim("_c")).where("code <> ''")
+    best = F.min_by(F.struct(site), F.struct(F.col(site).isNull(), F.col(order)))[site]
+    each = rows.groupBy("code").agg((F.count_distinct(city) > 1).alias("_conflict"), best.alias("_site"))
+    found = each.join(known.select("code", F.lit(True).alias("_known")), "code", "left")
+    status = F.when(F.col("_conflict"), "CITY_CONFLICT").when(F.col("_known").isNull(), "CODE_NOT_IN_DB").otherwise("ok")
+    return found.select("code", F.when(~F.col("_conflict"), F.col("_site")).alias("site"), status.alias("status"))
+
+
+def fingerprints(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, n, print and duplicate: sums of the rows' digests don't depend on row order and are combined before the shuffle."""
+    digest = F.md5(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in columns)))
+    words = [F.sum(F.conv(F.substr("_d", F.lit(i), F.lit(8)), 16, 10).cast("bigint")).cast("string") for i in (1, 9, 17, 25)]
+    each = df.select(key, digest.alias("_d")).groupBy(key).agg(F.count("*").alias("n"), F.concat_ws("-", *words).alias("print"))
+    return flag_duplicates(each, ["n", "print"]).select(key, "n", "print", "duplicate")
+
+
+def check_steps(df: DataFrame, keys: list[str], order: list[str], state: str, steps: dict[str, list[str]], starts: list[str]) -> DataFrame:
+    """df with the previous state of each row's key and whether the step is allowed; a first row must be a start state."""
+    out = df.withColumn("previous", F.lag(state).over(Window.partitionBy(*keys).orderBy(*order)))
+    allowed = F.when(F.col("previous").isNull(), F.col(state).isin(starts))
+    for before, after in steps.items():
+        allowed = allowed.when(F.col("previous") == before, F.col(state).isin(after))
+    return out.withColumn("allowed", allowed.otherwise(False))
+
+
+def get_or_create(dim: DataFrame, rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """dim and the keys of rows that it lacks, numbered on from its largest number in the order of keys.
+
+    Numbers are counted within the first key's values and shifted by a running total of these values' counts, so
+    that no window gathers all new keys.
+    """
+    new = rows.select(*keys).distinct().join(dim.select(*keys), keys, "left_anti")
+    counts = new.groupBy(keys[0]).agg(F.count("*").alias("_c"))
+    shift = counts.select(keys[0], (F.sum("_c").over(Window.orderBy(keys[0])) - F.col("_c")).alias("_shift"))
+    within = new.withColumn("_n", F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys)))
+    top = dim.agg(F.coalesce(F.max(number), F.lit(0)).alias("_top"))
+    fresh = within.join(shift, keys[0]).join(F.broadcast(top), F.lit(True), "left")
+    return dim.select(*keys, number).unionByName(fresh.select(*keys, (F.col("_top") + F.col("_shift") + F.col("_n")).cast(dim.schema[number].dataType).alias(number)))

@@ -20,3 +20,42 @@ def test_update_matched_takes_nulls(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     got = op.update_matched(t, spark.createDataFrame([(1, None), (3, "x")], "k int, v string"), ["k"], ["v"])
     assert sorted((r.k, r.v or "-") for r in got.collect()) == [(1, "-"), (2, "b")]
+
+
+def test_get_or_create_numbers_on(spark):
+    dim = spark.createDataFrame([("a", "x", 7)], "f string, n string, id long")
+    rows = spark.createDataFrame([("b", "y"), ("a", "x"), ("a", "z"), ("b", "x"), ("a", "z")], "f string, n string")
+    got = op.get_or_create(dim, rows, ["f", "n"], "id")
+    assert sorted(map(tuple, got.collect())) == [("a", "x", 7), ("a", "z", 8), ("b", "x", 9), ("b", "y", 10)]
+
+
+def test_enrichment(spark):
+    listed = spark.createDataFrame([("1, 2", "p", None, 0), ("2,3", "p", "s2", 1), ("4", "p", None, 2), ("4,", "q", "s4", 3)], "codes string, city string, site string, idx int")
+    got = op.enrichment(listed, spark.createDataFrame([("1",), ("2",), ("4",)], "code string"), "codes", "city", "site", "idx")
+    assert sorted((r.code, r.site, r.status) for r in got.collect()) == [("1", None, "ok"), ("2", "s2", "ok"), ("3", "s2", "CODE_NOT_IN_DB"), ("4", None, "CITY_CONFLICT")]
+
+
+def test_text_fields(spark):
+    df = spark.createDataFrame([("GOPENH  LSCS\r\n\n\n\nIV\tSTAGE\n 12 (3.5) 7B (80.25)\0x ",), (None,)], "t string")
+    rows = df.select(fields.text_lines(F.col("t")).alias("l")).collect()
+    assert [r.l for r in rows] == [["GOPENH LSCS", "IV STAGE", "12 (3.5) 7B (80.25) x"], []]
+    line = spark.createDataFrame([("GOPENH LSCS",), ("IV STAGE",), ("12 (3.5) 7B (80.25) x",)], "l string")
+    got = line.select(fields.is_category_line(F.col("l")).alias("c"), fields.ranked_values(F.col("l")).alias("v")).collect()
+    assert [r.c for r in got] == [True, False, False]
+    assert [tuple(v) for v in got[2].v] == [(12, "", 3.5), (7, "B", 80.25)]
+
+
+def test_name_ratio_equals_difflib(spark):
+    from difflib import SequenceMatcher
+
+    names = [("Govt. College, Pune", "GOVT COLLEGE PUNE"), ("A-1", "zz"), (None, "X"), ("", "")]
+    a, b = fields.normal_name(F.col("a")), fields.normal_name(F.col("b"))
+    got = spark.createDataFrame(names, "a string, b string").select(a.alias("x"), b.alias("y"), fields.name_ratio(a, b).alias("r")).collect()
+    assert (got[0].x, got[0].r) == ("GOVT COLLEGE PUNE", 1.0)
+    assert [r.r for r in got] == [None if r.x is None or r.y is None else SequenceMatcher(None, r.x, r.y).ratio() for r in got]
+
+
+def test_check_steps(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "b")], "u int, t int, s string")
+    got = op.check_steps(df, ["u"], ["t"], "s", {"a": ["b"]}, ["a"])
+    assert sorted((r.u, r.t, r.allowed) for r in got.collect()) == [(1, 1, True), (1, 2, True), (1, 3, False), (2, 1, False)]
