@@ -77,20 +77,32 @@ class Encoder:
             self.pieces.clear()
         odd = [w for w in missing if not self.plain(w)]
         self.words.update(zip(odd, self._bytes(odd), strict=True))
-        cut = {w: self.split(w) for w in missing if w not in self.words}
-        new = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        for k in range(0, len(new), 4096):  # joined by blanks, one call; a word's last token ends it
-            some = new[k : k + 4096]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(some):
-                self.pieces.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
-            else:
-                self.pieces.update(zip(some, self._bytes(some), strict=True))
+        # A word of letters alone is one piece; others are cut into pieces.
+        whole = [w for w in missing if w.isalpha() and w not in self.words]
+        cut = {w: self.split(w) for w in missing if not w.isalpha() and w not in self.words}
+        new = list({p for ps in (whole, *cut.values()) for p in ps if p not in self.pieces})
+        self.pieces.update(zip(new, self._encoded(new), strict=True))
         get = self.pieces.__getitem__
+        self.words.update(zip(whole, map(get, whole), strict=True))
         for w, ps in cut.items():
             self.words[w] = b"".join(map(get, ps))
 
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece: many joined by blanks in one call, as a piece's last token ends a word."""
+        out = []
+        for k in range(0, len(pieces), 4096):
+            some = pieces[k : k + 4096]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(some):
+                raw, begin = ids.tobytes(), 0
+                for end in ends:
+                    out.append(raw[begin:end])
+                    begin = end
+            else:
+                out += self._bytes(some)
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = []
         for t in texts:
