@@ -2,7 +2,7 @@
 
 The rank file becomes a model of the tokenizers library: every byte has its character, every token its
 mapped string, and every split of a token into two tokens is a merge of the token's rank. Texts are cut
-by the pattern; each distinct piece is encoded once per batch of misses and kept in a bounded memo.
+by the pattern; each distinct piece is encoded once per batch of misses and kept in a memo of bounded size.
 Pieces for which two splits of one token could compete are decided by exact ranks (an exact check after
 the library's result). Decoding reverses the byte table; characters split over tokens meet again in the bytes.
 
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import prepare
 
-#: Entries of a worker's memo before it starts anew (about 160 bytes each).
-MEMO = 400_000
+#: Entries of a worker's memo before it starts anew (about 160 bytes each), and characters of the longest one kept.
+MEMO, LONG = 400_000, 64
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -93,6 +93,8 @@ class Codec:
         get = self.pieces.__getitem__
         for c, ps in cut.items():
             self.chunks[c] = b"".join(map(get, ps))
+        for p in [p for p in new if len(p) > LONG]:
+            del self.pieces[p]
 
     def chunked(self, text: str) -> list[str]:
         """Cuts before single blanks: no piece spans such a place, so chunks are encoded on their own.
@@ -114,7 +116,10 @@ class Codec:
                 missing = here
             self._learn(missing)
         get = self.chunks.__getitem__
-        return [b"".join(map(get, cs)) for cs in cut]
+        out = [b"".join(map(get, cs)) for cs in cut]
+        for c in [c for c in missing if len(c) > LONG]:
+            del self.chunks[c]
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
