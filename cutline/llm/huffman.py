@@ -77,9 +77,10 @@ class Encoder:
             self.pieces.clear()
         odd = [w for w in missing if not self.plain(w)]
         self.words.update(zip(odd, self._bytes(odd), strict=True))
-        # A word of letters alone is one piece; others are cut into pieces.
+        # A word of letters alone is one piece; others are cut into pieces, in lower case as the tokenizer cuts them
+        # (words of texts beyond Latin-1 come as they stand).
         whole = [w for w in missing if w.isalpha() and w not in self.words]
-        cut = {w: self.split(w) for w in missing if not w.isalpha() and w not in self.words}
+        cut = {w: self.split(w.lower()) for w in missing if not w.isalpha() and w not in self.words}
         new = list({p for ps in (whole, *cut.values()) for p in ps if p not in self.pieces})
         self.pieces.update(zip(new, self._encoded(new), strict=True))
         get = self.pieces.__getitem__

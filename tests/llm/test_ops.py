@@ -57,6 +57,15 @@ def test_token_file(docs, empty):
     assert huffman.round_trip(empty).count() == 0
 
 
+def test_words_of_texts_beyond_latin1():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(huffman.default_path())
+    texts = ["— IT'S DON'T", "“WE'LL” go, I'M 7", "日本 YOU'RE HE'D <|x", "IT'S É'S ÀB'VE", "<| THEY'VE it's"]
+    got = huffman.Encoder(huffman.default_path()).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_code_lengths_are_limited():
     fib = [1, 1]
     while len(fib) < 30:
