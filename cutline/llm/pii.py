@@ -4,9 +4,9 @@ Base patterns find e-mail addresses, ip addresses, card and phone numbers. Aroun
 estimates how strongly a term (a word) reveals an entity of a kind: of all its occurrences in the corpus, the
 share within WINDOW words of such an entity, against the share any word has. A term whose pointwise
 information about a kind reaches BITS, with at least SUPPORT occurrences there and a share of SHARE, exceeds
-the disclosure threshold; its occurrences in documents with an entity of that kind, within the window, become
+the disclosure threshold; all its occurrences in documents with an entity of that kind, near it or not, become
 spans of kind `term`. sanitise replaces entities by their kind, generalises terms that reveal one kind only
-to that kind's context mark, and removes terms that reveal several.
+to that kind's context mark ([EMAIL CONTEXT]), and removes terms that reveal several.
 
 Counts cover all words of all documents. Words of no use are left out by a bit table of fixed size (those
 whose hash no term near an entity has), which may let others in but loses none.
@@ -170,45 +170,103 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bi
     return keep(got.where((part >= share) & (F.col("bits") >= bits)).select("kind", "term", "n", "total", "bits"), f"{folder}/terms")
 
 
-def find(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """doc_id, n of each kind, base_sha256, spans of every text; n_term counts the term spans.
+LETTER = re.compile(r"[^\W\d_]")
+
+
+def places(text: str, words: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of all words of the text that are one of words."""
+    if len(words) > 16:
+        wanted = set(words)
+        return [m.span() for m in WORD.finditer(text) if m[0] in wanted]
+    out = []
+    for w in words:
+        at = text.find(w)
+        while at >= 0:
+            end = at + len(w)
+            if not (at and LETTER.match(text, at - 1)) and not LETTER.match(text, end):
+                out.append((at, end))
+            at = text.find(w, end)
+    return sorted(out)
+
+
+def outside(found: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Those of found, in order, that overlap no span."""
+    out, cut, at = [], sorted((a, z) for _, a, z in spans), 0
+    reach = 0  # the furthest end of the spans that begin before the word ends
+    for s, e in found:
+        while at < len(cut) and cut[at][0] < e:
+            reach = max(reach, cut[at][1])
+            at += 1
+        if s >= reach:
+            out.append((s, e))
+    return out
+
+
+def located(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """find(), with mark (a hash of the text) and cuts: the spans of terms by what sanitise writes for them.
 
-    Words near an entity go to the terms by a join, so the list of terms may be of any size.
+    All words of a document with an entity that pass the bit table go to the terms by a join, so the list of terms
+    may be of any size. A term counts in documents that have an entity of one of its kinds.
     """
     spark = prepare(docs.sparkSession)
     terms = disclosing(docs) if terms is None else terms
     shared = spark.sparkContext.broadcast(bits_of(terms))
 
     def run(iterator):
+        known: dict[str, bool] = {}
         for b in iterator:
             rows = []
-            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if len(known) > 300_000:
+                known.clear()
+            for doc, mark, t in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("text").to_pylist(), strict=True):
                 spans = base_spans(t)
-                words = {(k, t[s:e].lower(), s, e) for k, _, s, e in near(t, spans)} if spans else ()
+                words = []
+                if spans:
+                    seen = set(WORD.findall(t))
+                    for w in seen - known.keys():
+                        known[w] = bool(shared.value[bucket(w.lower())])
+                    words = outside(places(t, [w for w in seen if known[w]]), spans)
                 listed = ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
                 n = Counter(k for k, _, _ in spans)
-                rows.append((doc, *(n[k] for k in range(4)), hashlib.sha256(listed.encode()).hexdigest(), listed, [{"kind": k, "term": w, "start": s, "end": e} for k, w, s, e in sorted(words, key=lambda x: x[2:]) if shared.value[bucket(w)]]))
-            kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.list_(pa.struct([("kind", pa.int32()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))]
+                rows.append((doc, mark, *(n[k] for k in range(4)), hashlib.sha256(listed.encode()).hexdigest(), listed, sorted(n), [{"term": t[s:e].lower(), "start": s, "end": e} for s, e in words]))
+            kinds = [pa.int64()] * 6 + [pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.record_batch(columns, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"])
+            yield pa.record_batch(columns, ["doc_id", "mark", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "has", "words"])
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, base string, near array<struct<kind:int,term:string,start:bigint,end:bigint>>")
-    hit = rows.where(F.size("near") > 0).select("doc_id", "base", F.explode("near").alias("x")).select("doc_id", "base", "x.*")
-    hit = hit.join(terms.select("kind", "term"), ["kind", "term"]).groupBy("doc_id", "base").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("t"))
-    listed = F.array_join(F.transform("t", lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    rows = rows.drop("near").join(hit.select("doc_id", "base", listed.alias("more"), F.size("t").cast("long").alias("n_term")), ["doc_id", "base"], "left")
-    return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.concat_ws(",", F.nullif("base", F.lit("")), "more").alias("spans"), F.coalesce("n_term", F.lit(0)).cast("long").alias("n_term"))
+    schema = f"doc_id long, mark long, {counts}, base_sha256 string, base string, has array<int>, words array<struct<term:string,start:bigint,end:bigint>>"
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, schema)
+    rows = keep(rows, work_folder(spark, "pii-words"))
+    hit = rows.where(F.size("words") > 0).select("doc_id", "mark", "has", F.explode("words").alias("x")).select("doc_id", "mark", "has", "x.*")
+    reveals = terms.groupBy("term").agg(F.collect_set("kind").alias("reveals"))
+    names = F.array(*map(F.lit, KINDS))
+    what = F.when(F.size("reveals") == 1, F.concat(F.element_at(names, F.col("reveals")[0] + 1), F.lit(" context"))).otherwise("")
+    hit = hit.join(reveals, "term").where(F.arrays_overlap("has", "reveals")).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "end", what.alias("what")))).alias("t"))
+
+    def listed(kind) -> F.Column:
+        return F.array_join(F.transform("t", lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    hit = hit.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), listed(lambda x: F.lit("term")).alias("more"), listed(lambda x: x["what"]).alias("cuts"), F.size("t").cast("long").alias("n_term"))
+    rows = rows.drop("has", "words").join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")), "left")
+    base = F.nullif("base", F.lit(""))
+    return rows.select(
+        "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.concat_ws(",", base, "more").alias("spans"), F.coalesce("n_term", F.lit(0)).cast("long").alias("n_term"), "mark", F.concat_ws(",", base, "cuts").alias("cuts")
+    )
+
+
+def find(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """doc_id, n of each kind, base_sha256, spans of every text; n_term counts the term spans."""
+    return located(docs, terms).drop("mark", "cuts")
 
 
 def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """docs with entities replaced by their kind and disclosing terms generalised or removed.
 
-    The terms that can occur in a batch are few; they come as spans of find(), joined by doc_id.
+    The terms that can occur in a batch are few; they come as cuts of located(), joined by doc_id and text.
     """
-    found = find(docs, terms).groupBy("doc_id").agg(F.max("spans").alias("spans of it"))
+    found = located(docs, terms).groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.max("cuts").alias("spans of it"))
     columns = docs.columns
-    joined = docs.join(found, "doc_id", "left").select(*columns, "spans of it")
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_m")), "left").select(*(docs[c] for c in columns), "spans of it")
 
     def run(iterator):
         for b in iterator:
@@ -219,7 +277,7 @@ def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
                     parts, at = [], 0
                     for a, z, k in cut:
                         if a >= at:
-                            parts += [t[at:a], f"[{k.upper()}]"]
+                            parts += [t[at:a], f"[{k.upper()}]" if k else ""]
                         at = max(at, z)
                     t = "".join(parts) + t[at:]
                 out.append(t)

@@ -99,6 +99,18 @@ def test_disclosing_terms(spark):
     assert "hotline" in {r.term for r in pii.disclosing(d, support=5, bits=1.0).collect()}
 
 
+def test_all_occurrences_of_disclosing_terms(spark):
+    far = " pad" * 60
+    texts = ["hotline a@b.com" + far + " Hotline both end", "hotline" + far + " +1 (337) 555-3479 both", "hotline both alone", "x@y.org both" + far + " hotline", None]
+    d = spark.createDataFrame([(7, t) for t in texts] + [(None, texts[0])], "doc_id long, text string")
+    terms = spark.createDataFrame([(0, "hotline"), (0, "both"), (3, "both")], "kind int, term string")
+    got = sorted(r.n_term for r in pii.find(d, terms).collect())
+    assert got == [0, 0, 1, 2, 3, 3]
+    clean = {r.text for r in pii.sanitise(d, terms).where("doc_id = 7").collect()}
+    mark = "[EMAIL CONTEXT]"
+    assert clean == {f"{mark} [EMAIL]{far} {mark}  end", f"hotline{far} [PHONE] ", "hotline both alone", f"[EMAIL] {far} {mark}", None}
+
+
 def test_toxicity(spark, docs, empty):
     clean = "these are calm words about the weather and the garden today number"
     rows = [(i, f"{i} {clean} {i} " + (f"you idiot moron {i}" if i % 3 == 0 else "you friend")) for i in range(90)]
