@@ -3,7 +3,8 @@
 Base patterns (assignments, access keys, long hex runs) give spans by kind. The method adds spans of kind
 `entropy`: candidate strings whose sliding window of WINDOW characters reaches the Shannon entropy set for
 their character class, computed by incremental counts (one character enters, one leaves), unless an
-allow-list pattern matches or a base span overlaps.
+allow-list pattern matches all of it. Base spans and allow-listed words are cut out of the runs beforehand:
+what is left of a run on either side is a candidate of its own, if still as long as the window.
 
 Positions are code points, end exclusive: the match k of a pattern begins after the first k+1 pieces
 between matches and the k matches before it.
@@ -31,12 +32,15 @@ WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes, the first that fits, and the bits a window of each must reach.
 CLASSES = [("hex", r"^[0-9A-Fa-f]+$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^.+$", 3.8)]
+#: Words of sample values: only they are no secrets, not what stands beside them.
+ALLOW_WORDS = ["example", "placeholder", "changeme", "0123456789", "abcdefgh"]
+#: Every x of a run of at least six.
+MANY_X = "(?i)" + "|".join(f"(?<=x{{{k}}})x(?=x{{{5 - k}}})" for k in range(6))
 #: Strings that look random by their kind but are no secrets.
 ALLOW = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"(?i)example|placeholder|changeme|x{6}|0123456789|abcdefgh",
     r"^[A-Za-z]+(?:[/_=-][A-Za-z]+)*[/_=-]?[0-9]{1,4}$",
     r"^[/_=-]*(?:[A-Za-z]{2,}|[0-9]{1,4})(?:[/_=-]+(?:[A-Za-z]{2,}|[0-9]{1,4}))+[/_=-]*$",
 ]
@@ -87,16 +91,33 @@ def entropy_bits(s: Column, window: int = WINDOW) -> Column:
 
 
 def _random(s: Column) -> Column:
-    """Whether a candidate is no allow-listed string and random enough for its class."""
-    bound = F.lit(CLASSES[-1][2])
+    """Whether a candidate is no allow-listed string and random enough for its class (that of it without separators around it)."""
+    bound, core = F.lit(CLASSES[-1][2]), F.regexp_replace(s, r"^[/=_-]+|[/_-]+$", "")
     for _, pattern, bits in reversed(CLASSES[:-1]):
-        bound = F.when(s.rlike(pattern), F.lit(bits)).otherwise(bound)
+        bound = F.when(core.rlike(pattern), F.lit(bits)).otherwise(bound)
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | s.rlike(pattern)
     return F.when(allowed, F.lit(False)).otherwise(entropy_bits(s) >= bound)
 
 
+def without(text: Column, spans: Column) -> Column:
+    """text with blanks, as many characters, in place of spans (ordered by start) and of allow-listed words."""
+
+    def step(s: Column, x: Column) -> Column:
+        start = F.greatest(s["at"], x["start"])
+        gap = F.substring(text, (s["at"] + 1).cast("int"), (start - s["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), x["end"] - start).cast("int"))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap, blank).alias("out"))
+
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    left = F.aggregate(spans, first, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    out = F.when(F.size(spans) > 0, left).otherwise(text)
+    for word in ALLOW_WORDS:
+        out = F.regexp_replace(out, f"(?i){word}", " " * len(word))
+    return F.regexp_replace(out, MANY_X, " ")
+
+
 def with_spans(docs: DataFrame, text: str = "text", name: str = "secret_spans") -> DataFrame:
     """docs with an array of spans, ordered by start, then kind."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -107,10 +128,11 @@ def with_spans(docs: DataFrame, text: str = "text", name: str = "secret_spans")
     access = F.when(t.contains("AKIA"), _found(t, ACCESS, 1, lambda m: F.length(m) >= ACCESS_CHARS)).otherwise(none)
     # Maximal runs: a run that is too short fails as a whole, so asking for the length in the pattern is the same.
     hexes = F.when(t.rlike(r"[0-9a-f]{%d}" % HEX_CHARS), _found(t, r"[0-9a-f]{%d,}" % HEX_CHARS, 2, lambda m: F.lit(True))).otherwise(none)
-    odd = F.when(t.rlike(r"[A-Za-z0-9+/_=-]{%d}" % WINDOW), _found(t, CANDIDATE, 3, _random)).otherwise(none)
-    base = docs.withColumn(name, F.concat(assign, access, hexes)).withColumn(f"{name} added", odd)
-    clear = F.filter(F.col(f"{name} added"), lambda x: ~F.exists(F.col(name), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return base.withColumn(name, F.array_sort(F.concat(F.col(name), clear))).drop(f"{name} added")
+    base = docs.withColumn(name, F.array_sort(F.concat(assign, access, hexes)))
+    base = base.withColumn(f"{name} rest", F.when(t.rlike(r"[A-Za-z0-9+/_=-]{%d}" % WINDOW), without(t, F.col(name))))
+    rest = F.col(f"{name} rest")
+    odd = F.when(rest.rlike(r"[A-Za-z0-9+/_=-]{%d}" % WINDOW), _found(rest, CANDIDATE, 3, _random)).otherwise(none)
+    return base.withColumn(name, F.array_sort(F.concat(F.col(name), odd))).drop(f"{name} rest")
 
 
 def listed(spans: Column) -> Column:
