@@ -3,7 +3,8 @@
 A payload is kept losslessly as 8-bit mono samples in a WAV container, in a binary column of a Parquet
 table in the shared folder. Features come from the stored samples: a polyphase FIR resampler halves the
 rate, overlapped windows give log-mel bands, and hysteresis on the frame energy cuts segments. Each segment
-has its time span and a tensor of fixed shape (SLICES, MELS); as_tensors gives the Arrow extension type.
+has its time span and a tensor of fixed shape (SLICES, MELS). The segments of every row are stored beside the
+media as an Arrow stream whose schema has the fixed-shape tensor type, and what is read back gives the feature text.
 
 Defined results: null text is the empty payload before padding. Everything is computed text by text with
 the same shapes, so equal texts have equal values. Repeated doc_ids give a row each. Extra columns are ignored.
@@ -106,7 +107,7 @@ def hysteresis(energy: np.ndarray, high: float = OPEN, low: float = CLOSE) -> li
 
 
 def analyse(payload: bytes, rate: int = RATE):
-    """Segments (start_ms, end_ms, tensor of shape (SLICES, MELS)) and a short description of all of it."""
+    """Segments (start_ms, end_ms, tensor of shape (SLICES, MELS)) and a short description of all frames."""
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
     y, new_rate = resample(x), rate * UP / DOWN
     bands, energy = log_mel(y, new_rate)
@@ -116,9 +117,13 @@ def analyse(payload: bytes, rate: int = RATE):
         tensor = np.stack([bands[s : max(e, s + 1)].mean(0) for s, e in zip(at[:-1], at[1:], strict=True)])
         out.append((1000 * a * HOP / new_rate, 1000 * ((z - 1) * HOP + FRAME) / new_rate, tensor.astype(np.float32)))
     coarse = bands.mean(0).reshape(4, -1).mean(1)
-    spans = ",".join(f"{a:.0f}-{z:.0f}" for a, z, _ in out)
-    text = f"frames={len(bands)};energy={energy.mean():.2f};mel={'/'.join(f'{v:.2f}' for v in coarse)};segments={len(out)};spans_ms={spans}"
-    return out, text
+    return out, f"frames={len(bands)};energy={energy.mean():.2f};mel={'/'.join(f'{v:.2f}' for v in coarse)}"
+
+
+def described(text: str, starts: list[float], ends: list[float]) -> str:
+    """The description of analyse() with the segments' time spans."""
+    spans = ",".join(f"{a:.0f}-{z:.0f}" for a, z in zip(starts, ends, strict=True))
+    return f"{text};segments={len(starts)};spans_ms={spans}"
 
 
 def store(docs: DataFrame, path: str) -> DataFrame:
@@ -145,6 +150,7 @@ def features(media: DataFrame, tensors: bool = True) -> DataFrame:
             for doc, n, stored in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media").to_pylist(), strict=True):
                 payload, rate = from_wav(stored)
                 segments, text = analyse(payload, rate)
+                text = described(text, [a for a, _, _ in segments], [z for _, z, _ in segments])
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), text))
                 parts.append([{"start_ms": a, "end_ms": z, "tensor": t.ravel().tolist()} for a, z, t in segments] if tensors else None)
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -165,5 +171,55 @@ def as_tensors(segments: list[dict]) -> pa.Table:
     return pa.table({"start_ms": [s["start_ms"] for s in segments], "end_ms": [s["end_ms"] for s in segments], "tensor": pa.ExtensionArray.from_storage(kind, flat)})
 
 
+def packed(segments) -> bytes:
+    """Segments of analyse() as an Arrow stream: start_ms, end_ms and a tensor of the fixed shape (SLICES, MELS)."""
+    table = as_tensors([{"start_ms": a, "end_ms": z, "tensor": t.ravel()} for a, z, t in segments])
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue()
+
+
+def unpacked(stored: bytes) -> pa.Table:
+    """The table of a stored stream; its tensors must have the fixed shape."""
+    table = pa.ipc.open_stream(stored).read_all()
+    if table.schema.field("tensor").type != pa.fixed_shape_tensor(pa.float32(), (SLICES, MELS)):
+        raise ValueError(f"stored tensors are of type {table.schema.field('tensor').type}")
+    return table
+
+
+SIZES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def store_segments(media: DataFrame, path: str) -> DataFrame:
+    """Writes the segments of all stored media at path (sizes and digests, frames, segments) and reads them back."""
+    names = [c.split()[0] for c in SIZES.split(", ")]
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+    def run(iterator):
+        for b in iterator:
+            rows = []
+            for doc, n, stored in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media").to_pylist(), strict=True):
+                payload, rate = from_wav(stored)
+                segments, text = analyse(payload, rate)
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), text, packed(segments)))
+            columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*names, "frames", "segments"])
+
+    return keep(media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{SIZES}, frames string, segments binary"), path)
+
+
 def op9_media(docs: DataFrame) -> DataFrame:
-    return features(store(docs, work_folder(docs.sparkSession, "media")), tensors=False)
+    folder = work_folder(docs.sparkSession, "media")
+    stored = store_segments(store(docs, f"{folder}/media"), f"{folder}/segments")
+    names = [c.split()[0] for c in SIZES.split(", ")]
+
+    def run(iterator):
+        for b in iterator:
+            text = []
+            for frames, segments in zip(b.column("frames").to_pylist(), b.column("segments").to_pylist(), strict=True):
+                t = unpacked(segments)
+                text.append(described(frames, t.column("start_ms").to_pylist(), t.column("end_ms").to_pylist()))
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(text, pa.string())], [*names, "feature"])
+
+    return stored.mapInArrow(run, f"{SIZES}, feature string")

@@ -179,6 +179,23 @@ def test_media(docs, empty):
     assert table.num_rows == len(segments)
 
 
+def test_stored_tensors(docs, tmp_path):
+    stored = media.store_segments(media.store(docs, f"file://{tmp_path}/media"), f"file://{tmp_path}/segments")
+    got = {r.doc_id: r for r in stored.collect()}
+    assert len(got) == len(TEXTS)
+    for i, t in enumerate(TEXTS):
+        want, frames = media.analyse(media.padded((t or "").encode()))
+        table = media.unpacked(got[i].segments)
+        assert tuple(table.schema.field("tensor").type.shape) == (media.SLICES, media.MELS) and got[i].frames == frames
+        assert list(zip(table["start_ms"].to_pylist(), table["end_ms"].to_pylist())) == [(a, z) for a, z, _ in want]
+        if want:
+            tensors = table["tensor"].combine_chunks()
+            tensors = tensors.chunk(0) if hasattr(tensors, "chunk") else tensors
+            assert np.allclose(tensors.to_numpy_ndarray(), np.stack([x for _, _, x in want]), atol=1e-4)  # sums differ in the last bit by alignment
+    old = {r.doc_id: r.feature for r in media.features(media.store(docs, f"file://{tmp_path}/again"), tensors=False).collect()}
+    assert {r.doc_id: r.feature for r in media.op9_media(docs).collect()} == old
+
+
 def test_jaccard(spark, docs, empty):
     got = {r.doc_id: r for r in jaccard.components(docs).collect()}
     assert (got[0].n_shingles, got[2].n_shingles, got[4].n_shingles) == (0, 0, 1)
