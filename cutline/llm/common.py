@@ -11,14 +11,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to a Python task; whole texts are long, so batches stay short.
-ARROW_ROWS = 1024
+#: Rows and bytes of one Arrow batch handed to a Python task; whole texts are long, so batches stay short.
+ARROW_ROWS, ARROW_BYTES = 1024, 32 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches and lets workers import this package from where the driver has it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
@@ -30,6 +31,8 @@ def shared_base(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-cutline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -1,27 +1,34 @@
 """N-gram Jaccard join by token-combination prefixes (operator 10).
 
 A document's set holds hashes (64 bits) of its distinct word shingles. Two documents link when the Jaccard
-similarity of their sets reaches the threshold; components are what links connect.
-
-Candidates. All tokens (shingles) get one global order: rare ones first, then classes of rising frequency,
-from counts of hashed buckets over all documents (a fixed number of buckets, so the table may be broadcast).
-If two sets reach the threshold, the first n - ceil(t * n) + k tokens of each share at least k tokens. With
-k = 1 one shared token suffices; for sets below PAIRED tokens k = 2: a rare token in the extended prefix is
-indexed alone, frequent tokens in combinations of two. (If the k shared tokens include a rare one, its single
-key meets; else a combination of two frequent ones does.) Keys carry the size class, a power of two; a
-set is indexed in its own class and in the next one if a partner within the threshold could lie there.
-
-Links. Buckets (documents of one key) are not expanded into pairs. Buckets with the same members count once,
-and buckets whose members all share a component are done. The first rounds compare each document with the
-smallest pivot (smallest document) of its buckets, which joins groups of copies. Later rounds compare the
-members of a bucket with PIVOTS pivots of it (all of them, if it has at most SMALL) that aren't in the same
-component and take these pivots out; both numbers grow by GROW a round as fewer buckets are left. In the end any two members of a bucket have been compared or are connected. A comparison first bounds the overlap
-by the sets' parity bits, and reads the sets themselves only where that leaves a link possible. Equal sets are joined by their
-digest beforehand. Components come from alternating large-star and small-star steps over Spark tables.
+similarity of their sets reaches the threshold; components are what links connect. The nodes of the join are
+distinct sets (named by 64 bits of their digest), so exact copies, however many, are one node.
+
+Candidates. All tokens (shingles) get one global order: rare ones, then common ones, then those that stand
+out, by counts of hashed buckets over all documents (a fixed number of buckets, so the table may be
+broadcast). If two sets reach the threshold, their first shared token lies in the first n - ceil(t * n) + 1
+tokens of each. If it is rare, they meet at that single token. If not, they share no rare token, and of the
+tokens of its class they differ in at most h, the largest symmetric difference that the threshold allows. So
+the prefix is extended to all tokens of the class and cut into G > h ranges of the order: a key is the
+combination of all tokens of a set in one range. At least G - h ranges agree, and one of them isn't empty
+unless the class has few tokens in both sets, which then also index single tokens. Tokens that collisions
+make look common only become part of a combination, so a full table costs selectivity nowhere. Keys carry
+the size class (steps of the square root of 2); a set is indexed in its own class and in the next one if a
+partner within the threshold could lie there.
+
+Links. Buckets (nodes of one key) of up to SMALL nodes become pairs. In a larger one all nodes are compared
+with one pivot, the node that is most central (shares most with others). That connects groups of near
+copies; what is left of the bucket is indexed anew relative to the pivot: with D = set xor pivot, two sets
+differ by as much as their Ds do, and what the whole bucket shares is gone from the Ds. Prefixes of the Ds,
+tokens outside the pivot first, are the keys of the next level, and so on; a bucket is done when all its
+nodes are in one component. Levels beyond DEEP compare all pairs of what is left. Pairs of small buckets
+are ruled out by parity bits where these suffice, before sets are read. Components come from alternating
+large-star and small-star steps over Spark tables.
 
 Defined results: null text or text without words: no set, linked with nothing, its own component. Texts of
-fewer words than a shingle: one shingle of the whole sequence. Repeated rows with one doc_id count as one
-node and each gets its row. Extra columns are ignored by components and carried along by keep_first.
+fewer words than a shingle: one shingle of the whole sequence. Rows with a null doc_id take part by their text;
+the component_id of a group is its smallest doc_id that is not null, else null. Repeated doc_ids are rows of
+their own. Extra columns are ignored by components and carried along by keep_first.
 """
 
 from __future__ import annotations
@@ -37,14 +44,20 @@ from pyspark.sql import functions as F
 from .common import keep, prepare, work_folder
 from .textvec import batches, mix
 
-WORDS, PERCENT = 4, 85
+#: The operator's defaults; op10_ngram_jaccard passes those of its contract.
+WORDS, PERCENT = 5, 80
 BUCKETS, CHUNKS = 1 << 20, 64
-#: Sets below this size index pairs of frequent tokens.
-PAIRED = 256
-#: Members of a bucket up to which the first full round compares all of it, and pivots of a larger one; both grow by GROW a round.
-SMALL, PIVOTS, GROW = 16, 8, 4
-#: Rounds in which every document is compared with one pivot only, the smallest of all its buckets'.
-FIRST = 2
+#: Bits of the table of documents whose sets are read, and rows of it that a task packs.
+BITS, PARTS = 1 << 26, 256
+#: Occurrences in a bucket of tokens that count as rare; standard deviations above the mean of those that stand out.
+RARE, OUT = 8, 6
+#: Size classes: powers of this.
+STEP_UP = 2**0.5
+TOPS = np.unique(np.floor(STEP_UP ** np.arange(2, 90) + 1e-9).astype(np.int64))
+#: Nodes of a bucket up to which all its pairs are compared; level from which all buckets are treated so.
+SMALL, DEEP = 6, 6
+#: Nodes that may be met by a broadcast: each has at least one in HOT of all rows.
+HOT = 4096
 VECTOR = 3_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -102,11 +115,12 @@ def _texts(iterator):
         t = pa.Table.from_batches(held).combine_chunks()
         text = t.column("text").combine_chunks()
         text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-        yield t.column("doc_id").to_numpy(), text
+        yield t, text
 
 
-def digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def node_of(s: np.ndarray) -> int:
+    """64 bits of the set's digest, as a signed number."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -127,33 +141,31 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def survey(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One pass: a row for each document (doc_id, n, digest of its set, parity bits) and, of each task, CHUNKS rows of token counts by bucket."""
+    """One pass: a row for each document (doc_id, mark, n, node, parity bits) and, of each task, CHUNKS rows of token counts by bucket."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(iterator):
         total = np.zeros(BUCKETS, np.int64)
-        for ids, text in _texts(iterator):
+        for t, text in _texts(iterator):
             sets = shingle_sets(text, words)
             if len(sets):
                 total += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
-            yield pa.record_batch(
-                [pa.nulls(len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())],
-                ["chunk", "doc_id", "n", "data", "bits"],
-            )
+            columns = [[None] * len(sets), t.column("doc_id"), t.column("mark"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [parity(s) if len(s) else None for s in sets]]
+            yield pa.record_batch([c.combine_chunks().cast(k) if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk", "doc_id", "mark", "n", "node", "bits"])
         if total.any():
             yield chunk_rows(total)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "chunk int, doc_id long, n long, data binary, bits binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "chunk int, doc_id long, mark long, n long, node long, bits binary")
 
 
 def chunk_rows(total: np.ndarray) -> pa.RecordBatch:
     packed = [zlib.compress(c.astype("<i8").tobytes(), 1) for c in np.split(total, CHUNKS)]
-    return pa.record_batch(
-        [pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(CHUNKS, pa.binary())], ["chunk", "doc_id", "n", "data", "bits"]
-    )
+    none = pa.nulls(CHUNKS, pa.int64())
+    return pa.record_batch([pa.array(np.arange(CHUNKS, dtype=np.int32)), none, none, none, none, pa.array(packed, pa.binary())], ["chunk", "doc_id", "mark", "n", "node", "bits"])
 
 
-def frequency_classes(surveyed: DataFrame) -> np.ndarray:
-    """Class of each bucket: 0 (rare) unless its count stands out from the mean; then by powers of two.
+def token_classes(surveyed: DataFrame) -> np.ndarray:
+    """Class of each bucket: 0 rare, 2 if its count stands out from the mean, else 1.
 
     Counts of tasks are summed within partitions, then by chunk; what the driver gets has a fixed size.
     """
@@ -161,104 +173,106 @@ def frequency_classes(surveyed: DataFrame) -> np.ndarray:
     def within(iterator):
         total = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.int64)
         for b in iterator:
-            for k, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist(), strict=True):
+            for k, data in zip(b.column("chunk").to_pylist(), b.column("bits").to_pylist(), strict=True):
                 total[k] += np.frombuffer(zlib.decompress(data), "<i8")
         if total.any():
             yield chunk_rows(total.ravel())
 
     def across(key, frame):
-        total = sum(np.frombuffer(zlib.decompress(d.as_py()), "<i8") for d in frame.column("data"))
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        total = sum(np.frombuffer(zlib.decompress(d.as_py()), "<i8") for d in frame.column("bits"))
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    rows = surveyed.where("chunk is not null").mapInArrow(within, surveyed.schema).groupBy("chunk").applyInArrow(across, "chunk int, data binary").collect()
+    rows = surveyed.where("chunk is not null").mapInArrow(within, surveyed.schema).groupBy("chunk").applyInArrow(across, "chunk int, bits binary").collect()
     total = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.int64)
     for r in rows:
-        total[r.chunk] = np.frombuffer(zlib.decompress(r.data), "<i8")
+        total[r.chunk] = np.frombuffer(zlib.decompress(r.bits), "<i8")
     total = total.ravel()
     mean = float(np.median(total))
-    bound = mean + 6 * np.sqrt(mean) + 4
-    return np.where(total > bound, 1 + np.floor(np.log2(np.maximum(1, total - mean))), 0).astype(np.uint8)
+    return np.where(total <= RARE, 0, np.where(total > mean + OUT * np.sqrt(mean) + 4, 2, 1)).astype(np.uint8)
 
 
-def overlap_bound(n: int, percent: int = PERCENT) -> int:
-    return (percent * n + 99) // 100
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(TOPS, n)
 
 
-def keys_of(s: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set, and which of them are of frequent tokens."""
-    n = len(s)
-    if n * 100 < percent * (n + 1):  # only an equal set reaches the threshold, and equal sets are joined by digest
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    own = n.bit_length()
-    sizes = range(own, max(own, (n * 100 // percent).bit_length()) + 1)
-    c = classes[(s >> np.uint64(44)).astype(np.int64)]
-    keys, hot = [], []
+def keys_of(v: np.ndarray, n: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of sets (their tokens one after the other, their sizes): key, set, and whether of tokens that stand out."""
+    n = n.astype(np.int64)
+    doc = np.repeat(np.arange(len(n)), n)
+    least = (percent * n + 99) // 100  # overlap with the smallest partner
+    partner = n * 100 // np.maximum(1, percent)
+    kind = classes[(v >> np.uint64(44)).astype(np.int64)]
+    rare, common = (np.bincount(doc[kind == k], minlength=len(n)) for k in (0, 1))
+    out = []
     with np.errstate(over="ignore"):
-        for z in sizes:
-            k = 2 if (1 << z) <= PAIRED else 1
-            take = np.argsort(c, kind="stable")[: n - overlap_bound(n, percent) + k]
-            token, often = s[take], c[take] > 0
-            mark = np.uint64(z * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            if k == 1:
-                keys.append(mix(token + mark))
-                hot.append(often)
-            else:
-                keys.append(mix(token[~often] + mark))
-                hot.append(np.zeros(len(keys[-1]), bool))
-                f = token[often]
-                i, j = np.triu_indices(len(f), 1)
-                keys.append(mix(f[i] * np.uint64(STEP) + mix(f[j] + mark)))
-                hot.append(np.ones(len(keys[-1]), bool))
-    return np.concatenate(keys), np.concatenate(hot)
+        for slot in range(int((size_class(partner) - size_class(n)).max(initial=0)) + 1):
+            z = size_class(n) + slot
+            here = (n * 100 >= percent * (n + 1)) & (z <= size_class(partner))  # else only an equal set reaches the threshold
+            most = (100 - percent) * 2 * TOPS[z] // (100 + percent)
+            ranges = most + 2 + most // 16
+            mark = mix(z.astype(np.uint64) + np.uint64(11))
+            for k, use, before in ((0, here & (rare > 0), 0), (1, here & (rare <= n - least), rare), (2, here & (n - rare - common >= least), rare + common)):
+                at = np.flatnonzero((kind == k) & use[doc])
+                d, x = doc[at], v[at]
+                has = np.bincount(d, minlength=len(n))
+                single = np.arange(len(at)) - (np.cumsum(has) - has)[d] < (n - least + 1 - before)[d]  # in the first prefix
+                if k:
+                    at_range = ((x >> np.uint64(32)) * ranges[d].astype(np.uint64)) >> np.uint64(32)
+                    edge = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (at_range[1:] != at_range[:-1])])) if len(at) else at
+                    if len(edge):
+                        out.append((mix(np.add.reduceat(mix(x), edge) + mix(at_range[edge] + mark[d[edge]]) + np.uint64(k)), d[edge], np.full(len(edge), k == 2)))
+                    filled = np.bincount(d[edge], minlength=len(n))
+                    single &= (filled <= most)[d]  # too few ranges with tokens to be sure of a meeting
+                out.append((mix(x[single] + mark[d[single]]), d[single], np.full(int(single.sum()), k == 2)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def index(docs: DataFrame, classes: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Key rows (key, hot, doc_id, n). Of equal sets in a task one is enough: the others are joined by digest."""
+    """Rows (key, node, hot), of each set once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(iterator):
         seen = set()
-        for ids, text in _texts(iterator):
-            key, hot, doc, size = [], [], [], []
-            for d, s in zip(ids.tolist(), shingle_sets(text, words), strict=True):
-                if len(s) and (mark := digest(s)) not in seen:
-                    seen.add(mark)
-                    k, h = keys_of(s, shared.value, percent)
-                    key.append(k)
-                    hot.append(h)
-                    doc.append(np.full(len(k), d, np.int64))
-                    size.append(np.full(len(k), len(s), np.int32))
-            if key:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (([k.view(np.int64) for k in key]), hot, doc, size)], ["key", "hot", "doc_id", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, hot boolean, doc_id long, n int")
+        for _, text in _texts(iterator):
+            sets, nodes = [], []
+            for s in shingle_sets(text, words):
+                if len(s) and (node := node_of(s)) not in seen:
+                    seen.add(node)
+                    sets.append(s)
+                    nodes.append(node)
+            if sets:
+                key, at, hot = keys_of(np.concatenate(sets), np.array([len(s) for s in sets]), shared.value, percent)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.array(nodes, np.int64)[at]), pa.array(hot)], ["key", "node", "hot"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long, hot boolean")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows of keys that several documents have. Rare keys are met in sorted order; frequent ones are counted with a combining aggregation."""
+    """Rows (key, node), once each, of keys that several nodes have. They are met in sorted order, row by row; those of tokens that stand out, which may be many of one key, combine before they are shuffled and are counted later."""
 
     def run(iterator):
-        rest = None
+        held, last, open_key = None, None, None  # a first row of its key; the last row; the key of rows given out
         for b in iterator:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            k = t.column("key").to_numpy()
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            rest = t.slice(cut)
-            yield from several(t.slice(0, cut))
-        if rest is not None:
-            yield from several(rest)
-
-    def several(t):
-        k = t.column("key").to_numpy()
-        if len(k) > 1:
+            k, node = b.column("key").to_numpy(), b.column("node").to_numpy()
+            if not len(k):
+                continue
+            if held:
+                k, node = np.append(held[0], k), np.append(held[1], node)
+            fresh = np.append(held is not None or (k[0], node[0]) != last, (k[1:] != k[:-1]) | (node[1:] != node[:-1]))
+            last = (k[-1], node[-1])
+            k, node, held = k[fresh], node[fresh], None
+            if not len(k):
+                continue
             same = k[1:] == k[:-1]
-            many = np.append(same, False) | np.insert(same, 0, False)
-            yield from t.filter(pa.array(many)).combine_chunks().to_batches()
+            many = np.append(k[0] == open_key, same) | np.append(same, False)
+            if many[-1]:
+                open_key = k[-1]
+            else:
+                held = (k[-1], node[-1])
+            yield pa.record_batch([pa.array(k[many]), pa.array(node[many])], ["key", "node"])
 
-    rare = keys.where(~F.col("hot")).select("key", "doc_id", "n").repartition("key").sortWithinPartitions("key")
-    found = rare.mapInArrow(run, rare.schema)
-    hot = keys.where("hot").select("key", "doc_id", "n")
-    return found.unionByName(hot)
+    found = keys.where("not hot").select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+    return found.unionByName(keys.where("hot").select("key", "node").distinct())
 
 
 def connected(edges: DataFrame, folder: str, limit: int = 40) -> DataFrame:
@@ -283,18 +297,53 @@ def connected(edges: DataFrame, folder: str, limit: int = 40) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {limit} rounds")
 
 
-def possible(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) that the bound of apart() doesn't rule out: a few hundred bytes a set tell most apart."""
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) that sizes and the bound of apart() don't rule out: a few hundred bytes a set tell most apart."""
 
     def run(iterator):
         for t in iterator:
             ok = [(100 + percent) * apart(x, y) <= (100 - percent) * n for x, y, n in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), t.column("n").to_pylist(), strict=True)]
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = rows.where("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("r"))
-    left = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("r.bits").alias("x"), F.col("r.n").alias("m")), "a")
-    full = left.join(one.select(F.col("doc_id").alias("b"), F.col("r.bits").alias("y"), F.col("r.n").alias("k")), "b")
-    return full.select("a", "b", "x", "y", (F.col("m") + F.col("k")).alias("n")).mapInArrow(run, "a long, b long")
+    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("na")), "a")
+    full = left.join(nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("nb")), "b")
+    full = full.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return full.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which tokens of x are in y; both sorted."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return y[at] == x
+
+
+def relative_keys(x: np.ndarray, p: np.ndarray, pivot: int, percent: int = PERCENT) -> tuple[bool, np.ndarray]:
+    """Whether x links with the pivot p, and the keys of x relative to it.
+
+    D is x xor p: tokens outside p first. c = (1 - t) / (1 + t), so that sets link if they differ by at most c times the
+    sum of their sizes. Two sets that both don't link with p share more than (|D| + c * (|p| - |x|)) / 2 tokens of
+    their Ds, and at least |D| - h; a set that does (with the D of size d) and one that doesn't share more than
+    d * (1 - c) / 2 and at least |D| - h, where h is c times the largest sum of sizes. Each kind of pair has keys of its own.
+    """
+    common = _overlap(x, p)
+    both = int(common.sum())
+    link = 100 * both >= percent * (len(x) + len(p) - both)
+    d = np.concatenate([x[~common], p[~_overlap(p, x)]])
+    n, below, above = len(d), 100 - percent, 100 + percent
+    mark = [mix(mix(np.array([pivot], np.int64).view(np.uint64)) + np.uint64(k)) for k in (1, 2)]
+    with np.errstate(over="ignore"):
+        if link:
+            return True, mix(d[: n - n * percent // above] + mark[1])
+        far = max(1, n - below * len(x) // percent)
+        near = max(far, (n * above + below * (len(p) - len(x))) // (2 * above) + 1)
+        return False, np.concatenate([mix(d[: n - near + 1] + mark[0]), mix(d[: n - far + 1] + mark[1])])
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, x, y: first the sets of b (the pivots), which few rows are shuffled for, then those of a."""
+    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+    return left.join(sets.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").select("a", "b", "x", "y")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -303,114 +352,179 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     def run(iterator):
         for t in iterator:
             ok = []
-            for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum()) if len(y) else 0
+            for x, y in zip(t.column("x"), t.column("y"), strict=True):
+                x, y = sorted((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)), key=len)
+                both = int(_overlap(x, y).sum())
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("data").alias("x")), "a")
-    full = left.join(sets.select(F.col("doc_id").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
-    return full.mapInArrow(run, "a long, b long")
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def against_pivots(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """For each pair (a, its pivot b): link, and the keys of a relative to b."""
+
+    def run(iterator):
+        for t in iterator:
+            got = [relative_keys(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), b, percent) for x, y, b in zip(t.column("x"), t.column("y"), t.column("b").to_pylist(), strict=True)]
+            ends = np.cumsum([0, *(len(k) for _, k in got)]).astype(np.int32)
+            flat = np.concatenate([k for _, k in got]).view(np.int64) if got else np.zeros(0, np.int64)
+            yield pa.record_batch([t.column("a"), t.column("b"), pa.array([ok for ok, _ in got], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["a", "b", "link", "keys"])
+
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long, link boolean, keys array<long>")
 
 
-def needed(ids: DataFrame) -> np.ndarray:
-    """A bit table of doc_ids by hash; the driver gets at most BUCKETS numbers."""
-    table = np.zeros(BUCKETS, bool)
-    table[ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("h")).distinct().toPandas()["h"].to_numpy(np.int64)] = True
-    return table
+def bit_table(ids: DataFrame) -> np.ndarray:
+    """A packed table of BITS bits with those of the hashes of doc_id set. Tasks pack parts of it; the driver gets BITS / 8 bytes at most."""
+    width = BITS // PARTS
+
+    def pack(key, frame):
+        part = np.zeros(width, np.uint8)
+        part[frame.column("h").to_numpy() % width] = 1
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())})
+
+    hashed = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h")).distinct()  # at most as many of a part as it has bits
+    table = np.zeros((PARTS, width // 8), np.uint8)
+    for r in hashed.select((F.col("h") / width).cast("int").alias("part"), "h").groupBy("part").applyInArrow(pack, "part int, data binary").collect():
+        table[r.part] = np.frombuffer(zlib.decompress(r.data), np.uint8)
+    return table.ravel()
 
 
 def set_rows(docs: DataFrame, table: np.ndarray, words: int = WORDS) -> DataFrame:
-    """doc_id and set of the documents in the bit table, so that texts needn't be shuffled."""
+    """node and set of the documents in the bit table, so that texts needn't be shuffled; of each set once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(iterator):
+        seen = set()
         for b in iterator:
-            t = b.filter(pa.array(shared.value[b.column("h").to_numpy()]))
+            h = b.column("h").to_numpy()
+            t = b.filter(pa.array((shared.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1))
             if t.num_rows:
-                for ids, text in _texts([t.select(["doc_id", "text"])]):
-                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(text, words)], pa.binary())], ["doc_id", "data"])
+                for _, text in _texts([t]):
+                    new = {node: s for s in shingle_sets(text, words) if len(s) and (node := node_of(s)) not in seen}
+                    seen.update(new)
+                    yield pa.record_batch([pa.array(list(new), pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())], ["node", "data"])
 
-    hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("h"))
-    return hashed.mapInArrow(run, "doc_id long, data binary")
+    return docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h")).mapInArrow(run, "node long, data binary")
 
 
-def merged(roots: DataFrame, new: DataFrame, folder: str) -> DataFrame:
+def merged(roots: DataFrame | None, new: DataFrame, folder: str) -> DataFrame:
     """roots (node, root) after the links (a, b) of new: only components that links touch are connected anew."""
+    if roots is None:
+        return connected(new, folder)
     root_a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     root_b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    lifted = new.join(root_a, "a", "left").join(root_b, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-    lifted = keep(lifted, f"{folder}/lifted")
-    moved = connected(lifted.select(F.col("ra").alias("a"), F.col("rb").alias("b")), folder)
-    ends = lifted.select(F.col("a").alias("node"), F.col("ra").alias("root")).unionByName(lifted.select(F.col("b").alias("node"), F.col("rb").alias("root")))
-    known = roots.unionByName(ends).distinct()
-    out = known.join(moved.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    return keep(out.select("node", F.coalesce("top", "root").alias("root")), f"{folder}/all")
+    lifted = new.join(root_a, "a", "left").join(root_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = connected(lifted, folder)
+    out = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = moved.join(roots, "node", "left_anti")
+    return keep(out.unionByName(alone), f"{folder}/all")
+
+
+def placed(rows: DataFrame, roots: DataFrame | None, name: str = "node", root: str = "root") -> DataFrame:
+    """rows with the root of the node in column name; a node without links is its own."""
+    if roots is None:
+        return rows.withColumn(root, F.col(name))
+    return rows.join(roots.select(F.col("node").alias(name), F.col("root").alias("_r")), name, "left").withColumn(root, F.coalesce("_r", name)).drop("_r")
+
+
+def node_roots(docs: DataFrame, seen: DataFrame, folder: str, words: int, percent: int, say) -> DataFrame | None:
+    """(node, root) of all nodes that have links; None if there are none."""
+    nodes = seen.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+    members = keep(shared_keys(index(docs, token_classes(seen), words, percent)), f"{folder}/members")
+    roots = sets = None
+    level = 0
+    while True:
+        level += 1
+        size = placed(members, roots).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+        alive = keep(members.join(size, "key"), f"{folder}/alive-{level}")
+        if alive.isEmpty():
+            return roots
+        if sets is None:
+            need = nodes.join(alive.select("node").distinct(), "node")
+            need = keep(need, f"{folder}/need")
+            sets = keep(set_rows(docs, bit_table(need), words).join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{folder}/sets")
+            nodes = need
+        small = F.col("size") <= SMALL if level <= DEEP else F.lit(True)
+        large, members = alive.where(~small), None
+        say("level", level, "rows", alive.count, "of large buckets", large.count)
+        if not large.isEmpty():
+            # The pivot of a bucket shares most with others: the sizes of all its buckets add up to the largest sum.
+            score = large.groupBy("node").agg(F.sum("size").alias("score"))
+            pivot = large.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("b"))
+            pairs = keep(large.join(pivot, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), f"{folder}/pivots-{level}")
+            got = keep(against_pivots(pairs, sets, percent), f"{folder}/relative-{level}")
+            links = got.where("link").select("a", "b")
+            say("pivot pairs", pairs.count, "links", links.count)
+            if not links.isEmpty():
+                roots = keep(merged(roots, links, f"{folder}/roots-{level}-large"), f"{folder}/roots-{level}-a")
+            # Groups of one pivot that are in one component by now are done.
+            ends = placed(placed(got.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")
+            open_groups = ends.groupBy("b").agg(F.min(F.least("ra", "rb")).alias("lo"), F.max(F.greatest("ra", "rb")).alias("hi")).where("lo < hi").select("b")
+            keys = got.join(open_groups, "b", "left_semi").select(F.col("a").alias("node"), F.explode("keys").alias("key")).distinct()
+            many = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+            members = keep(keys.join(many, "key").select("key", "node"), f"{folder}/members-{level}")
+        few = placed(alive.where(small), roots)
+        pairs = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")).join(few.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("a < b and ra <> rb").select("a", "b").distinct()
+        close = keep(possible(pairs, nodes, percent), f"{folder}/close-{level}")
+        if not close.isEmpty():
+            links = keep(verified(close, sets, percent), f"{folder}/links-{level}")
+            say("close pairs", close.count, "links", links.count)
+            if not links.isEmpty():
+                roots = keep(merged(roots, links, f"{folder}/roots-{level}-small"), f"{folder}/roots-{level}-b")
+        if members is None:
+            return roots
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trace=None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+def _grouped(docs: DataFrame, words: int, percent: int, trace=None) -> DataFrame:
+    """doc_id, mark (hash of the text), n, root and the first (doc_id, mark) of its component, of every row of docs."""
     spark = prepare(docs.sparkSession)
     folder = work_folder(spark, "jaccard")
-    say = trace or (lambda *a: None)
     seen = keep(survey(docs, words), f"{folder}/survey")
-    classes = frequency_classes(seen)
-    rows = seen.where("chunk is null").select("doc_id", "n", "data")
-    first = rows.where("n > 0").groupBy("data").agg(F.min("doc_id").alias("root"), F.max("doc_id").alias("z")).where("root < z").select("data", "root")
-    roots = keep(rows.join(first, "data").select(F.col("doc_id").alias("node"), "root").distinct(), f"{folder}/equal")
-    members = keep(shared_keys(index(docs, classes, words, percent)), f"{folder}/members")
-    say("classes", int((classes > 0).sum()), "members", members.count)
-    done = sets = None
-    k = 0
-    while True:
-        k += 1
-        # Members with their component; buckets of a single component are done, and of buckets with the same members one stays.
-        placed = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-        same = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
-        size = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), *same).where("lo < hi")
-        size = size.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key", "size")
-        alive = keep(placed.join(size, "key"), f"{folder}/alive-{k}")
-        if alive.isEmpty():
-            break
-        left = alive.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "size")
-        # Pivots: of a bucket that is small by now every member, else a few; at first only one.
-        small, few = SMALL * GROW ** max(0, k - FIRST - 1), PIVOTS * GROW ** max(0, k - FIRST - 1)
-        spread = F.lit(0) if k <= FIRST else F.when(F.col("size") <= small, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(few)))
-        pivot = alive.groupBy("key", spread.alias("s")).agg(F.min(F.struct("doc_id", "n", "root")).alias("p")).select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb"), F.col("p.root").alias("rb"))
-        pivot = keep(pivot, f"{folder}/pivots-{k}")
-        near = (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = left.join(pivot, "key").where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if k <= FIRST else pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = keep(pairs, f"{folder}/pairs-{k}")
-        say("round", k, "alive", alive.count, "large", alive.where(F.col("size") > small).count, "pairs", pairs.count)
-        close = keep(possible(pairs, seen, percent), f"{folder}/close-{k}")
-        done = pairs if done is None else done.unionByName(pairs)
-        if not close.isEmpty():
-            need = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
-            if sets is not None:
-                need = need.join(sets.select("doc_id"), "doc_id", "left_anti")
-            fresh = set_rows(docs, needed(need), words).join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            fresh = keep(fresh, f"{folder}/sets-{k}")
-            sets = fresh if sets is None else sets.unionByName(fresh)
-            new = keep(verified(close, sets, percent), f"{folder}/links-{k}")
-            say("close", close.count, "links", new.count)
-            if not new.isEmpty():
-                roots = merged(roots, new, f"{folder}/roots-{k}")
-        members = alive.select("key", "doc_id", "n")
-        if k > FIRST:
-            members = members.join(pivot.select("key", F.col("b").alias("doc_id")), ["key", "doc_id"], "left_anti")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"))
-    return out.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    rows = seen.where("chunk is null").select("doc_id", "mark", "n", "node")
+    roots = node_roots(docs, seen, folder, words, percent, trace or (lambda *a: None))
+    # One row for each node, whose first document is found by a combining minimum; then one for each root.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    each = placed(rows.where("n > 0").groupBy("node").agg(first.alias("f"), F.count("*").alias("k")), roots)
+    each = keep(each, f"{folder}/nodes")
+    top = each.groupBy("root").agg(F.min("f").alias("f"))
+    table = keep(each.select("node", "root", "k").join(top, "root").select("node", "k", F.col("f.doc_id").alias("top_id"), F.col("f.mark").alias("top_mark")), f"{folder}/top")
+    # Nodes of so many rows that there can't be more than HOT of them are met by a broadcast, the others by a shuffle.
+    bound = max(1000, rows.count() // HOT)
+    hot = F.broadcast(table.where(F.col("k") >= bound).drop("k"))
+    cold = table.where(F.col("k") < bound).drop("k")
+    flagged = rows.where("n > 0").join(hot.withColumn("is_hot", F.lit(True)), "node", "left")
+    columns = ["doc_id", "mark", "n", "top_id", "top_mark"]
+    met = flagged.where("is_hot").select(columns)
+    rest = flagged.where("is_hot is null").select("doc_id", "mark", "n", "node").join(cold, "node").select(columns)
+    alone = rows.where("n = 0").select("doc_id", "mark", "n", F.col("doc_id").alias("top_id"), F.col("mark").alias("top_mark"))
+    return met.unionByName(rest).unionByName(alone)
+
+
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trace=None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    return _grouped(docs, words, percent, trace).select("doc_id", F.col("n").alias("n_shingles"), F.col("top_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; of repeated doc_ids one row."""
-    drop = components(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
+    """The rows of docs, all columns, that stay: of each component the row with the smallest doc_id (of rows that share it,
+    the one whose text has the smaller hash, once), and all rows without words.
+
+    Rows that go are few and named by (doc_id, hash of the text), so rows of one id with different texts are told apart.
+    """
+    got = keep(_grouped(docs, words, percent), work_folder(docs.sparkSession, "jaccard-groups"))
+    same = F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("mark") == F.col("top_mark"))
+    names = [F.col("doc_id").alias("_d"), F.col("mark").alias("_m")]
+    drop = got.where((F.col("n") > 0) & ~same).select(*names).distinct()
+    again = got.where((F.col("n") > 0) & same).groupBy(*names).agg(F.count("*").alias("k")).where("k > 1").select("_d", "_m")
+    marked = docs.withColumn("mark of it", F.xxhash64("text"))
+
+    def on(right: DataFrame):
+        return marked["doc_id"].eqNullSafe(right["_d"]) & (marked["mark of it"] == right["_m"])
+
+    if again.isEmpty():
+        return marked.join(drop, on(drop), "left_anti").select(docs.columns)
+    both = drop.unionByName(again)
+    out = marked.join(both, on(both), "left_anti").select(docs.columns)
+    once = marked.join(again, on(again), "left_semi").dropDuplicates(["doc_id", "mark of it"]).select(docs.columns)
+    return out.unionByName(once)

@@ -48,7 +48,8 @@ def op9_media(spark, sf_dir):
 
 
 def op10_ngram_jaccard(spark, sf_dir):
-    return jaccard.components(table(spark, sf_dir, "documents"))
+    """The contract of this query: sets of 4 words, 85 %."""
+    return jaccard.components(table(spark, sf_dir, "documents"), 4, 85)
 
 
 def pipeline(spark, sf_dir):

@@ -197,29 +197,91 @@ def test_stored_tensors(docs, tmp_path):
 
 
 def test_jaccard(spark, docs, empty):
-    got = {r.doc_id: r for r in jaccard.components(docs).collect()}
+    got = {r.doc_id: r for r in jaccard.components(docs, 4, 85).collect()}
     assert (got[0].n_shingles, got[2].n_shingles, got[4].n_shingles) == (0, 0, 1)
     assert (got[7].component_id, got[8].component_id, got[9].component_id) == (7, 7, 7) and got[0].component_id == 0
     assert jaccard.components(empty).count() == 0
     kept = jaccard.keep_first(docs)
     assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 2
-
-
-def test_jaccard_brute_force(spark):
-    rng = np.random.default_rng(3)
-    base = [[f"w{v}" for v in rng.integers(0, 5000, 80)] for _ in range(6)]
+    assert jaccard.keep_first(empty).count() == 0
+
+
+def brute_components(rows, words, percent):
+    sets = [{tuple(t.lower().split()[k : k + words]) for k in range(len(t.split()) - words + 1)} for _, t in rows]
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        near = {}
+        for x in s:
+            for j in where[x]:
+                if j < i:
+                    near[j] = near.get(j, 0) + 1
+        for j, both in near.items():
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {rows[i][0]: rows[top(i)][0] for i in range(len(rows))}
+
+
+def near_copies(rng, groups, copies, size, edits, vocabulary=5000):
     rows = []
-    for i in range(90):
-        words = list(base[i % 6])
-        for at in rng.integers(0, 80, i % 4):
-            words[at] = f"new{rng.integers(0, 99)}"
-        rows.append((i, " ".join(words)))
-    sets = [{tuple(t.lower().split()[k : k + 4]) for k in range(len(t.split()) - 3)} for _, t in rows]
-    root = list(range(90))
-    for _ in range(90):
-        for i in range(90):
-            for j in range(i):
-                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
-                    root[i] = root[j] = min(root[i], root[j])
-    got = {r.doc_id: r.component_id for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == dict(enumerate(root))
+    for g in range(groups):
+        base = [f"w{v}" for v in rng.integers(0, vocabulary, size)]
+        for c in range(copies):
+            words = list(base)
+            for at in rng.integers(0, size, rng.integers(0, edits + 1)):
+                words[at] = f"new{rng.integers(0, 60)}"
+            rows.append(words[: size - c % 3])
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("case", [(6, 15, 80, 3), (1, 500, 90, 6), (2, 60, 700, 40), (3, 120, 24, 2), (40, 3, 12, 1)])
+@pytest.mark.parametrize("contract", [(4, 85), (5, 80)])
+def test_jaccard_brute_force(spark, case, contract):
+    rows = near_copies(np.random.default_rng(3), *case)
+    got = {r.doc_id: r.component_id for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), *contract).collect()}
+    assert got == brute_components(rows, *contract)
+
+
+def test_jaccard_with_a_crowded_token_table(spark, monkeypatch):
+    """All tokens common or standing out, as in a large corpus: combinations alone find the same links."""
+    rows = near_copies(np.random.default_rng(4), 3, 100, 120, 9) + [(1000 + i, f"one line that all texts have {i} " * 1 + "and its end") for i in range(50)]
+    monkeypatch.setattr(jaccard, "RARE", -1)
+    for out in (6, -1e9):
+        monkeypatch.setattr(jaccard, "OUT", out)
+        got = {r.doc_id: r.component_id for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+        assert got == brute_components(rows, 4, 85)
+
+
+def test_jaccard_equal_copies_null_ids_and_repeats(spark):
+    a, b, c = "a b c d e f g h", "p q r s t u v w", "k l m n o x y z"
+    rows = [(i, a) for i in range(10, 510)] + [(None, a), (None, b), (7, b), (7, c), (7, c), (None, c + " more of it and more"), (3, None), (3, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.components(d, 4, 85).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {10, 7, None, 3}
+    kept = sorted((r.doc_id or 0, r.text or "") for r in jaccard.keep_first(d).collect())
+    assert kept == sorted([(10, a), (7, b), (7, c), (0, c + " more of it and more"), (3, ""), (3, "")])
+
+
+def test_relative_keys_meet():
+    """Sets that link share a key relative to any pivot, or both link with it."""
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        base = rng.choice(1 << 60, 60, replace=False).astype(np.uint64)
+        x, y, p = (np.unique(np.concatenate([rng.choice(base, rng.integers(30, 61), replace=False), rng.choice(base + np.uint64(1), rng.integers(0, 9))])) for _ in range(3))
+        if rng.integers(2):
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], y[:3]]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 85 * (len(x) + len(y) - both) and not np.array_equal(x, p) and not np.array_equal(y, p):
+            (i, kx), (j, ky) = jaccard.relative_keys(x, p, 9, 85), jaccard.relative_keys(y, p, 9, 85)
+            assert i and j or np.array_equal(x, y) or len(np.intersect1d(kx, ky))
