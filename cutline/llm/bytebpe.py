@@ -3,8 +3,9 @@
 The rank file becomes a model of the tokenizers library: every byte has its character, every token its
 mapped string, and every split of a token into two tokens is a merge of the token's rank. Texts are cut
 by the pattern; each distinct piece is encoded once per batch of misses and kept in a memo of bounded size.
-Pieces for which two splits of one token could compete are decided by exact ranks (an exact check after
-the library's result). Decoding reverses the byte table; characters split over tokens meet again in the bytes.
+Where two splits of one token could compete (its ends are alike, so that two of it may overlap), the library
+may merge them in another order than ranks and position say; pieces that hold such a token are merged by rank
+instead. Decoding reverses the byte table; characters split over tokens meet again in the bytes.
 
 Defined results: null text counts as empty: no ids, empty bytes. Unknown ids in decode raise. Invalid
 UTF-8 in decoded bytes is kept in `bytes` and shown with replacement characters in `text`.
@@ -16,7 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +57,6 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        import tiktoken
         from tokenizers import Tokenizer, models
 
         with open(path, "rb") as f:
@@ -64,7 +66,14 @@ class Codec:
         shown = {t: "".join(table[b] for b in t) for t in ranks}
         merges = [(shown[t[:i]], shown[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.library = Tokenizer(models.BPE(vocab={shown[t]: i for t, i in ranks.items()}, merges=merges, cache_capacity=0))
-        self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = ranks
+        ways = {t for t in ranks if sum(t[:i] in ranks and t[i:] in ranks for i in range(1, len(t))) > 1}
+        unsure = sorted((t for t in ways if any(t[:i] == t[-i:] for i in range(1, len(t)))), key=len)
+        least: list[bytes] = []  # a longer one that holds one of these needs no test of its own
+        for t in unsure:
+            if not any(s in t for s in least):
+                least.append(t)
+        self.unsure = re.compile(b"|".join(map(re.escape, least)) or b"(?!)").search
         self.split = regex.compile(pattern).findall
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
@@ -84,11 +93,10 @@ class Codec:
             self.pieces.clear()
         cut = {c: self.split(c) for c in missing}
         new = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        tokenize, single = self.library.model.tokenize, self.exact._encode_single_piece
+        tokenize = self.library.model.tokenize
         for p in new:
-            ids = [t.id for t in tokenize(self.mapped(p))]
-            if len(ids) > 1 and ids != (exact := single(p)):
-                ids = exact
+            raw = p.encode("utf-8", "surrogatepass")
+            ids = [self.ranks[raw]] if raw in self.ranks else self.by_rank(raw) if self.unsure(raw) else [t.id for t in tokenize(self.mapped(p))]
             self.pieces[p] = np.array(ids, "<u4").tobytes()
         get = self.pieces.__getitem__
         for c, ps in cut.items():
@@ -96,6 +104,30 @@ class Codec:
         for p in [p for p in new if len(p) > LONG]:
             del self.pieces[p]
 
+    def by_rank(self, raw: bytes) -> list[int]:
+        """Merges the neighbours whose token has the least rank, the leftmost first, until no two make a token."""
+        ranks, n = self.ranks, len(raw)
+        after, before, end = [*range(1, n + 1)], [*range(-1, n - 1)], [*range(1, n + 1)]
+        gone = [False] * n
+        queue = [(ranks[raw[i : i + 2]], i, i + 2) for i in range(n - 1) if raw[i : i + 2] in ranks]
+        heapify(queue)
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n and (rank := ranks.get(raw[i : end[after[i]]])) is not None:
+                heappush(queue, (rank, i, end[after[i]]))
+
+        while queue:
+            _, i, stop = heappop(queue)
+            if gone[i] or after[i] >= n or end[after[i]] != stop:
+                continue
+            j = after[i]
+            gone[j], end[i], after[i] = True, stop, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            offer(before[i])
+        return [ranks[raw[i : end[i]]] for i in range(n) if not gone[i]]
+
     def chunked(self, text: str) -> list[str]:
         """Cuts before single blanks: no piece spans such a place, so chunks are encoded on their own.
 
@@ -122,6 +154,8 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
+        if ids and not (0 <= min(ids) and max(ids) < len(self.tokens) and self.known[ids].all()):
+            raise ValueError("ids that no token has")
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -140,8 +174,8 @@ def _id_lists(blobs: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return flat, ends
 
 
-def encode_rows(docs: DataFrame, path: str | None = None, pattern: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (all, if none are given), with ids array<int> and offsets array<int>.
+def encode_rows(docs: DataFrame, path: str | None = None, pattern: str | None = None, columns: list[str] | None = None, confirm: bool = False) -> DataFrame:
+    """The given columns of docs (all, if none are given), with ids array<int> and offsets array<int>; confirm decodes the ids again and raises where they don't give the text.
 
     offsets: where each token begins in the UTF-8 bytes of the text. Columns of docs named ids or offsets give way.
     """
@@ -154,7 +188,12 @@ def encode_rows(docs: DataFrame, path: str | None = None, pattern: str | None =
     def run(iterator):
         c = codec(path, pattern)
         for b in iterator:
-            flat, ends = _id_lists(c.encode(b.column("text").to_pylist()))
+            texts = b.column("text").to_pylist()
+            flat, ends = _id_lists(c.encode(texts))
+            if confirm:
+                for t, x, y in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    if c.decode(flat[x:y].tolist()) != (t or "").encode("utf-8", "surrogatepass"):
+                        raise ValueError("a text's ids don't decode to it")
             size = c.sizes[flat]
             begin = np.cumsum(size) - size
             counts = np.diff(ends)

@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, prepare, work_folder
+from .textvec import batches
 
 LIMIT, CHECK, BLOCK, END = 16, 512, 1 << 16, 1
 MEMO = 400_000
 TOKENIZER = "word_bpe_49k.json"
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 BLOCKS = "part int, block int, first long, doc_ids array<long>, counts array<int>, marks array<long>, data binary"
 
 
@@ -53,10 +56,18 @@ class Encoder:
         self.size = max(vocab.values()) + 1
         self.last = np.zeros(self.size, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._refuse_others()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def _refuse_others(self) -> None:
+        """Raises if the tokenizer doesn't split texts as this class does: at blanks, and lower-casing."""
+        probe = "IT'S one2 Two,three ÉA don't"
+        whole = self.library.encode(probe, add_special_tokens=False).ids
+        if whole != [i for w in probe.lower().split(" ") for i in self.library.encode(w, add_special_tokens=False).ids]:
+            raise ValueError("the tokenizer doesn't cut texts into lower-case words at blanks")
+
     @staticmethod
     def plain(text: str) -> bool:
         if "<|" in text:
@@ -104,20 +115,67 @@ class Encoder:
                 out += self._bytes(some)
         return out
 
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the words, which are distinct."""
+        if missing := [w for w in words if w not in self.words]:
+            if len(self.words) + len(missing) > MEMO:
+                self.words.clear()
+                missing = words
+            self._learn(missing)
+        return list(map(self.words.__getitem__, words))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, cut into words in Python."""
         cut = []
         for t in texts:
             t = t or ""
             cut.append([w for w in (t.lower() if self.plain(t) else t).replace("\n", " ").split(" ") if w])
-        here = {w for ws in cut for w in ws}
-        if missing := here.difference(self.words):
-            if len(self.words) + len(missing) > MEMO:
-                self.words.clear()
-                missing = here
-            self._learn(list(missing))
-        get = self.words.__getitem__
+        here = list({w for ws in cut for w in ws})
+        get = dict(zip(here, self._known(here), strict=True)).__getitem__
         return [b"".join(map(get, ws)) for ws in cut]
 
+    def encode_column(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Texts within Latin-1 are lower-cased and cut into words as bytes, side by side; the others one by one."""
+        column = column.fill_null("")
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = column.buffers()[2]
+        b = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy() if data is not None else np.zeros(0, np.uint8)
+        offsets -= offsets[0]
+        if not len(b):
+            return [np.zeros(0, np.uint32)] * len(column)
+        beyond = np.concatenate([[0], np.cumsum(b >= 0xC4)])
+        mark = np.concatenate([[0], np.cumsum((b[:-1] == 0x3C) & (b[1:] == 0x7C)), [0]])
+        mark[-1] = mark[-2]
+        plain = (beyond[offsets[1:]] == beyond[offsets[:-1]]) & (mark[np.maximum(offsets[1:] - 1, 0)] == mark[np.minimum(offsets[:-1], np.maximum(offsets[1:] - 1, 0))])
+        second = np.flatnonzero(b[:-1] == 0xC3) + 1
+        second = second[(b[second] >= 0x80) & (b[second] <= 0x9E) & (b[second] != 0x97)]
+        b[second] += 0x20  # the capital letters of Latin-1
+        b = LOWER[b]
+        inside = (b != 0x20) & (b != 10)
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        begins = offsets[:-1][offsets[:-1] < len(b)]
+        first[begins] |= inside[begins]
+        keep_byte = inside & np.repeat(plain, np.diff(offsets))
+        start = np.flatnonzero(first & keep_byte)
+        kept = b[keep_byte]
+        place = np.concatenate([[0], np.cumsum(keep_byte)])
+        ends = np.append(place[start], len(kept)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(kept)]).dictionary_encode()
+        ids = self._known([w.decode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()])
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        at = words.indices.to_numpy()
+        n, begin = size[at], (np.cumsum(size) - size)[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        got = flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)]
+        cut = total[np.searchsorted(start, offsets)]
+        out = [got[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        odd = np.flatnonzero(~plain)
+        for i, x in zip(odd.tolist(), self.encode(column.take(pa.array(odd)).to_pylist()), strict=True):
+            out[i] = np.frombuffer(x, np.uint32)
+        return out
+
 
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
@@ -132,11 +190,13 @@ def token_ids(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
     def run(iterator):
         e = encoder(path)
         kind = "<u2" if e.size <= 1 << 16 else "<u4"
-        close = np.array([end], "<u4").tobytes()
-        for b in iterator:
-            ids = [np.frombuffer(x + close, "<u4") for x in e.encode(b.column("text").to_pylist())]
+        for held in batches(lambda b: b.column("text"), iterator):
+            b = pa.Table.from_batches(held).combine_chunks()
+            text = b.column("text").combine_chunks()
+            text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+            ids = [np.append(x, np.uint32(end)) for x in e.encode_column(text)]
             yield pa.record_batch(
-                [b.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(x) * 0 + int(kind[-1]) for x in ids], pa.int32()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
+                [b.column("doc_id").combine_chunks().cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(x) * 0 + int(kind[-1]) for x in ids], pa.int32()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
                 ["doc_id", "n", "width", "ids"],
             )
 

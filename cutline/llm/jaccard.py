@@ -16,7 +16,7 @@ make look common only become part of a combination, so a full table costs select
 the size class (steps of the square root of 2); a set is indexed in its own class and in the next one if a
 partner within the threshold could lie there.
 
-Links. Buckets (nodes of one key) of up to SMALL nodes become pairs. In a larger one all nodes are compared
+Links. Buckets (nodes of one key) of up to SMALL nodes (LATER after the first level) become pairs. In a larger one all nodes are compared
 with one pivot, the node that is most central (shares most with others). That connects groups of near
 copies; what is left of the bucket is indexed anew relative to the pivot: with D = set xor pivot, two sets
 differ by as much as their Ds do, and what the whole bucket shares is gone from the Ds. Prefixes of the Ds,
@@ -54,8 +54,8 @@ RARE, OUT = 8, 6
 #: Size classes: powers of this.
 STEP_UP = 2**0.5
 TOPS = np.unique(np.floor(STEP_UP ** np.arange(2, 90) + 1e-9).astype(np.int64))
-#: Nodes of a bucket up to which all its pairs are compared; level from which all buckets are treated so.
-SMALL, DEEP = 6, 6
+#: Nodes of a bucket up to which all its pairs are compared, at the first level and at later ones; the level after which all buckets are treated so.
+SMALL, LATER, DEEP = 6, 64, 6
 #: Nodes that may be met by a broadcast: each has at least one in HOT of all rows.
 HOT = 4096
 VECTOR = 3_000_000
@@ -318,26 +318,30 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[at] == x
 
 
-def relative_keys(x: np.ndarray, p: np.ndarray, pivot: int, percent: int = PERCENT) -> tuple[bool, np.ndarray]:
-    """Whether x links with the pivot p, and the keys of x relative to it.
+def relative_keys(x: np.ndarray, p: np.ndarray, pivot: int, percent: int = PERCENT) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether x links with the pivot p, and the keys of x relative to it: those for two sets that don't link with p, and those for one that does and one that doesn't.
 
-    D is x xor p: tokens outside p first. c = (1 - t) / (1 + t), so that sets link if they differ by at most c times the
-    sum of their sizes. Two sets that both don't link with p share more than (|D| + c * (|p| - |x|)) / 2 tokens of
+    D is x xor p, the added tokens (outside p) first. c = (1 - t) / (1 + t), so that sets link if they differ by at most c
+    times the sum of their sizes. Two sets that both don't link with p share more than (|D| + c * (|p| - |x|)) / 2 tokens of
     their Ds, and at least |D| - h; a set that does (with the D of size d) and one that doesn't share more than
-    d * (1 - c) / 2 and at least |D| - h, where h is c times the largest sum of sizes. Each kind of pair has keys of its own.
+    d * (1 - c) / 2 and at least |D| - h, where h is c times the largest sum of sizes. If such two share no added token,
+    they differ by all of these and by at least as much as their numbers of removed tokens do; with the other set not
+    linked with p, that is too much unless a set has more removed tokens than added ones. So only such a set meets
+    others by removed tokens, whose number in a group of copies may be large.
     """
     common = _overlap(x, p)
     both = int(common.sum())
     link = 100 * both >= percent * (len(x) + len(p) - both)
     d = np.concatenate([x[~common], p[~_overlap(p, x)]])
-    n, below, above = len(d), 100 - percent, 100 + percent
+    n, added, below, above = len(d), len(x) - both, 100 - percent, 100 + percent
+    shrunk = n > 2 * added
     mark = [mix(mix(np.array([pivot], np.int64).view(np.uint64)) + np.uint64(k)) for k in (1, 2)]
     with np.errstate(over="ignore"):
         if link:
-            return True, mix(d[: n - n * percent // above] + mark[1])
+            return True, np.zeros(0, np.uint64), mix(d[: min(n - n * percent // above, n if shrunk else added)] + mark[1])
         far = max(1, n - below * len(x) // percent)
         near = max(far, (n * above + below * (len(p) - len(x))) // (2 * above) + 1)
-        return False, np.concatenate([mix(d[: n - near + 1] + mark[0]), mix(d[: n - far + 1] + mark[1])])
+        return False, mix(d[: min(n - near + 1, n if shrunk else added)] + mark[0]), mix(d[: n - far + 1] + mark[1])
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -364,14 +368,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 def against_pivots(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For each pair (a, its pivot b): link, and the keys of a relative to b."""
 
+    def lists(arrays):
+        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
     def run(iterator):
         for t in iterator:
             got = [relative_keys(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), b, percent) for x, y, b in zip(t.column("x"), t.column("y"), t.column("b").to_pylist(), strict=True)]
-            ends = np.cumsum([0, *(len(k) for _, k in got)]).astype(np.int32)
-            flat = np.concatenate([k for _, k in got]).view(np.int64) if got else np.zeros(0, np.int64)
-            yield pa.record_batch([t.column("a"), t.column("b"), pa.array([ok for ok, _ in got], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["a", "b", "link", "keys"])
+            yield pa.record_batch([t.column("a"), t.column("b"), pa.array([g[0] for g in got], pa.bool_()), lists([g[1] for g in got]), lists([g[2] for g in got])], ["a", "b", "link", "alike", "across"])
 
-    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long, link boolean, keys array<long>")
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long, link boolean, alike array<long>, across array<long>")
 
 
 def bit_table(ids: DataFrame) -> np.ndarray:
@@ -445,7 +451,7 @@ def node_roots(docs: DataFrame, seen: DataFrame, folder: str, words: int, percen
             need = keep(need, f"{folder}/need")
             sets = keep(set_rows(docs, bit_table(need), words).join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{folder}/sets")
             nodes = need
-        small = F.col("size") <= SMALL if level <= DEEP else F.lit(True)
+        small = F.col("size") <= (SMALL if level == 1 else LATER) if level <= DEEP else F.lit(True)
         large, members = alive.where(~small), None
         say("level", level, "rows", alive.count, "of large buckets", large.count)
         if not large.isEmpty():
@@ -461,9 +467,11 @@ def node_roots(docs: DataFrame, seen: DataFrame, folder: str, words: int, percen
             # Groups of one pivot that are in one component by now are done.
             ends = placed(placed(got.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")
             open_groups = ends.groupBy("b").agg(F.min(F.least("ra", "rb")).alias("lo"), F.max(F.greatest("ra", "rb")).alias("hi")).where("lo < hi").select("b")
-            keys = got.join(open_groups, "b", "left_semi").select(F.col("a").alias("node"), F.explode("keys").alias("key")).distinct()
-            many = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-            members = keep(keys.join(many, "key").select("key", "node"), f"{folder}/members-{level}")
+            left = got.join(open_groups, "b", "left_semi")
+            alike = left.select(F.col("a").alias("node"), F.explode("alike").alias("key"), F.lit(None).cast("boolean").alias("link"))
+            keys = alike.unionByName(left.select(F.col("a").alias("node"), F.explode("across").alias("key"), "link"))
+            met = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("link").alias("lo"), F.max("link").alias("hi")).where("k > 1 and (lo is null or lo <> hi)").select("key")
+            members = keep(keys.join(met, "key").select("key", "node").distinct(), f"{folder}/members-{level}")
         few = placed(alive.where(small), roots)
         pairs = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")).join(few.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("a < b and ra <> rb").select("a", "b").distinct()
         close = keep(possible(pairs, nodes, percent), f"{folder}/close-{level}")

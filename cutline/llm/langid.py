@@ -18,13 +18,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, prepare
 from .textvec import SCRIPT_NAMES, Words, batches, lanes, letters, scripts
 
-#: Model parameters. PER_LANG bounds the labelled texts of one language that the model is fitted on.
+#: Model parameters. PER_LANG: labelled texts of one language that the model is fitted on (chosen by a hash, so about as many).
 GRAMS = 1 << 17
 PER_LANG = 1500
 SWITCH = 9.0
@@ -88,31 +88,31 @@ class Model:
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Counts trigrams over at most per_lang texts of each language, those with the smallest id hash."""
+    """Counts trigrams over texts of each language: all of up to per_lang, else about per_lang, those with a small id hash."""
     spark = prepare(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang).select("doc_id").distinct()
-    picked = known.join(F.broadcast(ids), "doc_id").select("text", "lang")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n of it"))  # a row a language
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("n of it") < per_lang << 30
+    picked = known.join(F.broadcast(sizes), "lang").where(share).select("text", "lang")
     rows = picked.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     return Model(list(rows.itertuples(index=False, name=None)))
 
 
 def viterbi(emit: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each word, for all texts side by side; emit[word, label]."""
-    best = np.zeros(len(emit), np.int8)
+    best = np.zeros(len(emit), np.int32)
     order, begin, active = lanes(first, count)
     v = np.zeros((len(order), emit.shape[1]), np.float32)
-    back = np.zeros(emit.shape, np.int8)
-    own = np.arange(emit.shape[1], dtype=np.int8)
+    back = np.zeros(emit.shape, np.int32)
+    own = np.arange(emit.shape[1], dtype=np.int32)
     for t, k in enumerate(active):
         at = begin[:k] + t
         u = v[:k]
         top = u.argmax(1)
         switched = u[np.arange(k), top][:, None] - np.float32(penalty)
-        back[at] = np.where(u >= switched, own, top[:, None].astype(np.int8))
+        back[at] = np.where(u >= switched, own, top[:, None].astype(np.int32))
         v[:k] = np.maximum(u, switched) + emit[at]
-    label = v.argmax(1).astype(np.int8) if len(order) else np.zeros(0, np.int8)
+    label = v.argmax(1).astype(np.int32) if len(order) else np.zeros(0, np.int32)
     for t in range(len(active) - 1, -1, -1):
         k = active[t]
         at = begin[:k] + t
@@ -150,6 +150,15 @@ def label(texts: list[str], m: Model):
     return code, score, tuple(x[ok] for x in spans)
 
 
+def script_share(texts: list[str], m: Model) -> np.ndarray:
+    """Share of each text's letters that are of scripts which learned languages use; 0 without letters."""
+    w = Words(texts)
+    at = np.flatnonzero(letters()[w.cp])
+    doc = np.searchsorted(w.base, at, side="right") - 1
+    used = m.allowed.any(1)[scripts()[w.cp[at]]].astype(float) if m.langs else np.zeros(len(at))
+    return np.bincount(doc, weights=used, minlength=w.docs) / np.maximum(1, np.bincount(doc, minlength=w.docs))
+
+
 def _predict(model):
     def run(iterator):
         m = model.value
@@ -174,15 +183,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose text is in some learned language (lang_pred is not `und`)."""
+    """The rows of docs, all columns, whose text is in some learned language: lang_pred is not `und`, and at least half of its letters are of scripts that learned languages use."""
     shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(iterator):
         m = shared.value
         for held in batches(lambda b: b.column("text"), iterator):
             b = pa.Table.from_batches(held)
-            code, _, _ = label(b.column("text").to_pylist(), m)
-            yield from b.filter(pa.array(code >= 0)).to_batches()
+            texts = b.column("text").to_pylist()
+            code, _, _ = label(texts, m)
+            yield from b.filter(pa.array((code >= 0) & (script_share(texts, m) >= 0.5))).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
 

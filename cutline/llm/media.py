@@ -1,8 +1,8 @@
 """Media columns: texts as stored audio, and features of what is read back (operator 9).
 
 A payload is kept losslessly as 8-bit mono samples in a WAV container, in a binary column of a Parquet
-table in the shared folder. Features come from the stored samples: a polyphase FIR resampler halves the
-rate, overlapped windows give log-mel bands, and hysteresis on the frame energy cuts segments. Each segment
+table in the shared folder. Features come from the stored samples: a polyphase FIR resampler changes the
+rate by UP / DOWN, overlapped windows give log-mel bands, and hysteresis on the frame energy cuts segments. Each segment
 has its time span and a tensor of fixed shape (SLICES, MELS). The segments of every row are stored beside the
 media as an Arrow stream whose schema has the fixed-shape tensor type, and what is read back gives the feature text.
 
@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 
 from .common import keep, prepare, work_folder
 
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 32
+RATE, UP, DOWN, TAPS = 16_000, 2, 3, 32
 FRAME, HOP, MELS, SLICES = 256, 128, 32, 4
 PAD, UNIT = 255, 576
+#: Outputs of the resampler computed at a time.
+ROWS = 1 << 16
 #: Decibels over and under the median frame energy at which a segment opens and closes.
 OPEN, CLOSE = 1.0, -1.0
 SEGMENTS = f"array<struct<start_ms:double,end_ms:double,tensor:array<float>>>"
@@ -69,9 +71,11 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) ->
     edge = np.concatenate([np.zeros(taps - 1, np.float32), x.astype(np.float32), np.zeros(taps, np.float32)])
     windows = np.lib.stride_tricks.sliding_window_view(edge, taps)
     out = np.zeros(total, np.float32)
-    for first in range(min(up, total)):
-        n = np.arange(first, total, up)  # outputs of one phase: n * down has one remainder modulo up
-        out[n] = windows[n * down // up] @ h[n[0] * down % up][::-1]
+    for first in range(min(up, total)):  # outputs of one phase: first, first + up, ...; their windows are down apart
+        some, phase = windows[first * down // up :: down], np.ascontiguousarray(h[first * down % up][::-1])
+        count = len(range(first, total, up))
+        for k in range(0, count, ROWS):
+            out[first + k * up : first + min(count, k + ROWS) * up : up] = some[k : min(count, k + ROWS)] @ phase
     return out
 
 

@@ -16,6 +16,7 @@ residual. Repeated doc_ids are rows of their own. Extra columns are ignored by r
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -84,17 +85,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     return {"names": names, "start": fitted.interceptVector.toArray().tolist(), "weights": {w: matrix[:, j].tolist() for j, w in enumerate(chosen)}}
 
 
-def posteriors(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, tokens (words of the text) and p, the posterior of each domain in the model's order."""
-    rows = with_signs(docs, "doc_id").select("doc_id", "tokens", (F.array_intersect("w", F.array(*map(F.lit, model["weights"]))) if model["weights"] else F.array().cast("array<string>")).alias("hits"))
+def posteriors(docs: DataFrame, model: dict, *kept: str) -> DataFrame:
+    """The kept columns (doc_id, if none are given), tokens (words of the text) and p, the posterior of each domain in the model's order."""
+    kept = kept or ("doc_id",)
+    rows = with_signs(docs, *kept).select(*kept, "tokens", (F.array_intersect("w", F.array(*map(F.lit, model["weights"]))) if model["weights"] else F.array().cast("array<string>")).alias("hits"))
     table = F.create_map(*(x for w, v in model["weights"].items() for x in (F.lit(w), F.array(*map(F.lit, v))))) if model["weights"] else None
     start = F.array(*map(F.lit, model["start"]))
     score = F.aggregate("hits", start, lambda s, w: F.zip_with(s, F.element_at(table, w), lambda a, b: a + b)) if table is not None else start
-    rows = rows.select("doc_id", "tokens", score.alias("s"))
+    rows = rows.select(*kept, "tokens", score.alias("s"))
     top = F.array_max("s")
-    odds = rows.select("doc_id", "tokens", F.transform("s", lambda x: F.exp(x - top)).alias("e"))
+    odds = rows.select(*kept, "tokens", F.transform("s", lambda x: F.exp(x - top)).alias("e"))
     whole = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return odds.select("doc_id", "tokens", F.transform("e", lambda x: x / whole).alias("p"))
+    return odds.select(*kept, "tokens", F.transform("e", lambda x: x / whole).alias("p"))
 
 
 def rate(p: Column, steps: list[list[float]]) -> Column:
@@ -124,26 +126,40 @@ def solve(members: DataFrame, names: list[str], weights: dict[str, float], budge
         steps.append([float(x) for x in whiten @ residual])
         got = members.select("tokens", "p", rate(F.col("p"), steps).alias("r")).agg(*(F.sum(F.col("tokens") * F.col("p")[i] * F.col("r")).alias(f"t{i}") for i in range(k))).first()
         now = np.array([got[f"t{i}"] or 0.0 for i in range(k)])
+    if k > 1 and np.abs(target - now).sum() > 0.01 * max(1.0, target.sum()):
+        warnings.warn(f"the totals {now.tolist()} miss the targets {target.tolist()} after {STEPS} steps", stacklevel=2)
     return steps, {"domains": names, "before": before, "target": target.tolist(), "after": now.tolist()}
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET) -> tuple[DataFrame, dict]:
-    """doc_id, tokens, p (posteriors), rate and copies of every document; and a report of the totals.
-
-    copies: the whole part of the rate, and one more with the probability of the rest, by the id's hash.
-    """
+def _fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None, budget: float):
     spark = prepare(docs.sparkSession)
     model = fit(docs, labels)
     members = keep(posteriors(docs, model), work_folder(spark, "mixing"))
-    steps, report = solve(members, model["names"], WEIGHTS if weights is None else weights, budget)
-    out = members.select("doc_id", "tokens", "p", F.round(rate(F.col("p"), steps), 9).alias("rate"))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
+    return model, members, *solve(members, model["names"], WEIGHTS if weights is None else weights, budget)
+
+
+def _copies(rows: DataFrame, doc_id: Column, steps: list[list[float]], *kept: str) -> DataFrame:
+    """rows (the kept columns, p) with the rate and the copies: its whole part, and one more with the probability of the rest, by the id's hash."""
+    out = rows.select(*kept, "p", F.round(rate(F.col("p"), steps), 9).alias("rate"))
+    chance = F.pmod(F.xxhash64(doc_id, F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return out.withColumn("copies", copies), report
+    return out.withColumn("copies", copies)
+
+
+def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET) -> tuple[DataFrame, dict]:
+    """doc_id, tokens, p (posteriors), rate and copies of every document; and a report of the totals."""
+    _, members, steps, report = _fitted(docs, labels, weights, budget)
+    return _copies(members, F.col("doc_id"), steps, "doc_id", "tokens"), report
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The rows of docs, all columns, each as often as its copies say."""
-    got, _ = rates(docs, labels, weights, budget)
-    once = got.groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies of it"))
-    return docs.join(once, "doc_id").where(F.col("copies of it") > 0).withColumn("copies of it", F.explode(F.sequence(F.lit(1), F.col("copies of it")))).select(docs.columns)
+    """The rows of docs, all columns, each as often as its copies say.
+
+    Copies follow from the row alone, so texts aren't shuffled; rows of one id with different texts have rates of their own,
+    and rows with a null id count like others.
+    """
+    model, _, steps, _ = _fitted(docs, labels, weights, budget)
+    row = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row of it"))
+    got = _copies(posteriors(row, model, "row of it"), F.col("row of it.doc_id"), steps, "row of it")
+    again = got.where(F.col("copies") > 0).select("row of it", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.select(*(F.col("row of it")[c].alias(c) for c in docs.columns))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from .common import keep, prepare, work_folder
 
 KINDS = ["email", "ip", "card", "phone"]
-# The base patterns.
+# The base patterns. (An ip that begins inside a run of digits would begin at its first digit too.)
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Parameters of the method.
@@ -92,16 +93,13 @@ def bucket(term: str) -> int:
 
 
 def near(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(kind, entity start, start, end) of the words within the window of an entity, outside all entities."""
+    """(kind, entity start, start, end) of the window words before and after each entity; words of entities don't count."""
+    words = outside([m.span() for m in WORD.finditer(text)], spans)
+    starts = [s for s, _ in words]
     out = []
     for kind, a, z in spans:
-        left = text[max(0, a - 40 * window) : a]
-        words = [(m.start() + a - len(left), m.end() + a - len(left)) for m in WORD.finditer(left)][-window:]
-        for m in WORD.finditer(text, z):
-            words.append(m.span())
-            if m.start() > z and len(words) >= 2 * window or m.end() > z + 40 * window:
-                break
-        out += [(kind, a, s, e) for s, e in words[: 2 * window] if not any(s < y and x < e for _, x, y in spans)]
+        left, right = bisect_left(starts, a), bisect_left(starts, z)
+        out += [(kind, a, s, e) for s, e in (*words[max(0, left - window) : left], *words[right : right + window])]
     return out
 
 

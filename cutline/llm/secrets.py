@@ -73,21 +73,23 @@ def entropy_bits(s: Column, window: int = WINDOW) -> Column:
     def f(n: Column) -> Column:  # n log2 n
         return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
-    def index(k: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substring(s, k, F.lit(1)))
-
-    def step(state: Column, k: Column) -> Column:
-        come, go = index(k), F.when(k > window, index(k - window)).otherwise(F.lit(0))
-        n = state["n"]
-        gone = F.when(go > 0, F.element_at(n, F.greatest(go, F.lit(1)))).otherwise(F.lit(0))
-        here = F.element_at(n, come) - F.when(come == go, 1).otherwise(0)
-        total = state["sum"] - f(gone) + F.when(go > 0, f(gone - 1)).otherwise(F.lit(0.0)) - f(here) + f(here + 1)
-        bits = F.log2(F.lit(float(window))) - total / window
-        counts = F.transform(n, lambda c, i: c + F.when(i + 1 == come, 1).otherwise(0) - F.when(i + 1 == go, 1).otherwise(0))
-        return F.struct(total.alias("sum"), F.when(k >= window, F.greatest(state["best"], bits)).otherwise(state["best"]).alias("best"), counts.alias("n"))
-
-    first = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"))
-    return F.when(F.length(s) >= window, F.aggregate(F.sequence(F.lit(1), F.length(s)), first, step, lambda z: z["best"])).otherwise(F.lit(0.0))
+    def highest(codes: Column) -> Column:
+        def step(state: Column, k: Column) -> Column:
+            come, go = F.element_at(codes, k), F.when(k > window, F.element_at(codes, F.greatest(k - window, F.lit(1)))).otherwise(F.lit(0))
+            n = state["n"]
+            gone = F.when(go > 0, F.element_at(n, F.greatest(go, F.lit(1)))).otherwise(F.lit(0))
+            here = F.element_at(n, come) - F.when(come == go, 1).otherwise(0)
+            total = state["sum"] - f(gone) + F.when(go > 0, f(gone - 1)).otherwise(F.lit(0.0)) - f(here) + f(here + 1)
+            bits = F.log2(F.lit(float(window))) - total / window
+            counts = F.transform(n, lambda c, i: c + F.when(i + 1 == come, 1).otherwise(0) - F.when(i + 1 == go, 1).otherwise(0))
+            return F.struct(total.alias("sum"), F.when(k >= window, F.greatest(state["best"], bits)).otherwise(state["best"]).alias("best"), counts.alias("n"))
+
+        first = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), first, step, lambda z: z["best"])
+
+    # The places of all characters in ALPHABET, found once: as the one element of an array they are a variable of the lambda.
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return F.when(F.length(s) >= window, F.element_at(F.transform(F.array(codes), highest), 1)).otherwise(F.lit(0.0))
 
 
 def _random(s: Column) -> Column:

@@ -1,15 +1,15 @@
 """Exact top-k inner-product search by the threshold algorithm (operator 8).
 
 Vectors are dealt by id hash into blocks of bounded size; a block holds, for each dimension, its rows in
-value order. Every query block meets every candidate block (a stated query set against all rows). There a
+value order. Every query block is sent to every candidate block (a stated query set against all rows). There a
 query reads its dimensions' lists from the end that helps it, in steps of doubling depth, scores what it has
 not seen, and stops when the bound of all unread rows (the sum of the values at the lists' current depth)
 can no longer reach its kth score. The k best of all blocks are merged by a window over each query.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; of
 repeated vec_ids the row with the smallest vector does. Vectors of different lengths are never compared.
-Fewer than k candidates: all of them. Ties go to the smaller vec_id. Components beyond 2^31 / 256 in size
-are out of range and raise. Extra columns are ignored.
+Fewer than k candidates: all of them. Ties go to the smaller vec_id. Inner products that may not
+fit into 64 bits raise. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and floor(scale * x) of each component, of the vectors that take part."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & fine)
-    return kept.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int")).alias("v"))
+    return kept.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
 
 
 def blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
 
     def pack(frame):
         ids = frame.column("vec_id").to_numpy()
-        x = np.array(frame.column("v").to_pylist(), np.int32)
+        x = np.array(frame.column("v").to_pylist(), np.int64)
         order = np.lexsort((*x.T[::-1], ids))
         ids, x = ids[order], x[order]
         one = np.concatenate([[True], ids[1:] != ids[:-1]])
@@ -49,6 +49,11 @@ def blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
     return dealt.groupBy(name, "d").applyInArrow(pack, f"{name} int, d int, {name}_ids binary, {name}_x binary")
 
 
+def longest(x: np.ndarray) -> float:
+    """The largest length of a row."""
+    return float(np.sqrt((x.astype(np.float64) ** 2).sum(1).max(initial=0)))
+
+
 def threshold_search(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The k best rows of a block for one query: positions, scores, and how many rows were scored.
 
@@ -89,26 +94,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     prepare(vectors.sparkSession)
     rows, asked = quantised(vectors, scale), quantised(queries, scale)
     n, m = max(1, -(-vectors.count() // ROWS)), max(1, -(-queries.count() // QUERIES))
-    left = blocks(rows, n, "c").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    right = blocks(asked, m, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = blocks(rows, n, "c").select("c", "d", F.lit(-1).alias("q"), F.col("c_ids").alias("ids"), F.col("c_x").alias("x"))
+    right = blocks(asked, m, "q").select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("c"), "d", "q", F.col("q_ids").alias("ids"), F.col("q_x").alias("x"))
 
     def run(iterator):
+        at = None  # the block in hand: a block comes before the query tiles that meet it, so its lists are made once
         for b in iterator:
             for r in b.to_pylist():
-                ids, x = np.frombuffer(r["c_ids"], np.int64), np.frombuffer(r["c_x"], np.int32).reshape(-1, r["d"])
-                asked_ids, asked_x = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_x"], np.int32).reshape(-1, r["d"])
-                big = int(np.abs(x.astype(np.int64)).max()) * int(np.abs(asked_x.astype(np.int64)).max()) * r["d"] >= 1 << 53
-                kind = np.int64 if big else np.float64  # exact either way; doubles multiply faster
-                x, asked_x = x.astype(kind), asked_x.astype(kind)
-                lists = np.argsort(-x, axis=0, kind="stable")
-                out = [(own, ids[p], s) for own, q in zip(asked_ids.tolist(), asked_x, strict=True) for p, s, _ in [threshold_search(ids, x, lists, q, own, k)]]
-                if out:
-                    yield pa.record_batch(
-                        [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
-                        ["query_id", "vec_id", "score"],
-                    )
-
-    met = left.join(right.withColumnRenamed("d", "dq"), ["c", "q"]).where("d = dq").select("c_ids", "c_x", "q_ids", "q_x", "d")
+                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"], np.int64).reshape(-1, r["d"])
+                if r["q"] < 0:
+                    at, mine, block, lists, top = (r["c"], r["d"]), ids, x, None, longest(x)
+                elif at == (r["c"], r["d"]):
+                    big = top * longest(x)  # no inner product is larger
+                    if big >= 2.0**63:
+                        raise OverflowError("an inner product may not fit into 64 bits")
+                    kind = np.int64 if big >= 2.0**52 else np.float64  # exact either way; doubles multiply faster
+                    if lists is None:
+                        lists = np.argsort(-block, axis=0, kind="stable")
+                    values = block.astype(kind)
+                    out = [(own, mine[p], s) for own, q in zip(ids.tolist(), x.astype(kind), strict=True) for p, s, _ in [threshold_search(mine, values, lists, q, own, k)]]
+                    if out:
+                        yield pa.record_batch(
+                            [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
+                            ["query_id", "vec_id", "score"],
+                        )
+
+    met = left.unionByName(right).repartition("c", "d").sortWithinPartitions("c", "d", "q")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

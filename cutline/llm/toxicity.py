@@ -8,14 +8,13 @@ of all texts run side by side in vectors; their aggregates become a calibrated d
 likely tokens are the offending offsets.
 
 Defined results: null text and text without words: the score of a text without toxic tokens, no spans. No
-labelled rows, or none toxic: score 0 everywhere. A null label counts as 0; of repeated labels of a document
+labelled rows, or none toxic: score 0 everywhere. Labels of one kind only in the sample: the labels' share of toxic
+rows as the score of all. Too few labels for a calibrating half: the training texts calibrate too. A null label counts as 0; of repeated labels of a document
 the larger holds. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +24,7 @@ from .common import fold, keep, prepare, work_folder
 from .textvec import Words, batches, lanes, mix
 
 #: Labelled documents the model is fitted on: this many of each label, those with the smallest id hash. Half of
-#: them train the field, the others calibrate the score. Of texts that begin or end alike one is used.
+#: them train the field, the others calibrate the score. Of texts of one label that begin or end alike one is used.
 SAMPLE, ALIKE = 3000, 64
 FEATURES, STEPS, RATE, DECAY = 1 << 17, 18, 0.7, 1e-4
 PREFIXES = (3, 4, 5, 6)
@@ -134,9 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> dict | N
     folder = work_folder(spark, "toxicity")
     both = keep(_sample(docs, labels, per_label), f"{folder}/all").withColumn("from", F.substring("text", 1, ALIKE)).withColumn("to", F.substring("text", -ALIKE, ALIKE))
     for end in ("from", "to"):
-        both = both.groupBy(end).agg(F.min(F.struct("text", "toxic", "half", "from", "to")).alias("r")).select("r.*")
+        both = both.groupBy(end, F.col("toxic").alias("y")).agg(F.min(F.struct("text", "toxic", "half", "from", "to")).alias("r")).select("r.*")
     both = keep(both.select("text", "toxic", "half").repartition(6), f"{folder}/one")
-    sample = both.where("half = 0").select("text", "toxic")
+    cells = {(r["half"], r["toxic"]): r["count"] for r in both.groupBy("half", "toxic").count().collect()}
+    few = min(cells.get((h, k), 0) for h in (0, 1) for k in (0, 1)) < 2 * SUPPORT
+    sample, apart = (both.where(F.col("half") == h) if not few else both for h in (0, 1))  # too few labels: the same texts train and calibrate
+    sample, apart = sample.select("text", "toxic"), apart.select("text", "toxic")
     if not sample.where("toxic = 1").head(1):
         return None
     odds = _lexicon(sample)
@@ -178,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> dict | N
             m[k] = m[k] + RATE * v / np.sqrt(step[k])
         m["weights"][0] = 0.0
         shared.destroy()
-    m["calibration"] = _calibrated(both.where("half = 1").select("text", "toxic"), m, labels)
+    m["calibration"] = _calibrated(apart, m, labels)
     return m
 
 
@@ -205,6 +207,9 @@ def _calibrated(sample: DataFrame, m: dict, labels: DataFrame) -> list[float]:
     rows = sample.mapInArrow(run, "a double, b double, c double, y int").toPandas()  # as many rows as the sample, at most
     share = labels.agg(F.avg((F.coalesce("toxic", F.lit(0)) == 1).cast("double"))).first()[0] or 0.0
     y = rows["y"].to_numpy(float)
+    if not 0 < y.mean() < 1:  # one label only: the share of that label in the labelled table, whatever the text
+        odds = np.clip(share, 0.01, 0.99)
+        return [0.0, 0.0, 0.0, float(np.log(odds / (1 - odds)))]
     x = np.column_stack([rows[["a", "b", "c"]].to_numpy(), np.ones(len(y))])
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     beta = np.zeros(4)
