@@ -1,10 +1,10 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
-1. language_id: rows in no learned language (no text, no letter) go.
+1. language_id: rows in no learned language (no text, no letter, or mostly letters of scripts that no learned language uses) go.
 2. ngram_jaccard: of each group of near copies (5-word Jaccard of at least 0.8) the document with the smallest doc_id stays.
 3. secret_scan: secrets in the text become a mark; every row stays.
 4. mixing: rows are kept, dropped or repeated as the fitted rates of their domains say.
-5. byte_bpe: texts become token ids; every row stays.
+5. byte_bpe: texts become token ids, which are decoded again to confirm them; every row stays.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from cutline.llm import bytebpe, jaccard, langid, mixing, secrets
 from cutline.llm.common import keep, prepare, table, work_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The near-copy stage's contract; the 4 words and 85 % of jaccard.py are those of the query op10_ngram_jaccard.
+#: The near-copy stage's contract; the 4 words and 85 % are those of the query op10_ngram_jaccard.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bytebpe.encode_rows(docs, columns=["doc_id", "lang", "source", "n_chars"]).drop("offsets")
+    return bytebpe.encode_rows(docs, columns=["doc_id", "lang", "source", "n_chars"], confirm=True).drop("offsets")
 
 
 STAGES = [
