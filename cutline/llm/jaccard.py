@@ -55,7 +55,7 @@ RARE, OUT = 8, 6
 STEP_UP = 2**0.5
 TOPS = np.unique(np.floor(STEP_UP ** np.arange(2, 90) + 1e-9).astype(np.int64))
 #: Nodes of a bucket up to which all its pairs are compared, at the first level and at later ones; the level after which all buckets are treated so.
-SMALL, LATER, DEEP = 6, 64, 6
+SMALL, LATER, DEEP = 6, 256, 6
 #: Nodes that may be met by a broadcast: each has at least one in HOT of all rows.
 HOT = 4096
 VECTOR = 3_000_000
@@ -278,7 +278,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 def connected(edges: DataFrame, folder: str, limit: int = 40) -> DataFrame:
     """(node, root): the smallest node of each component; edges (a, b). Nodes without edges are left out.
 
-    Alternates large-star and small-star until nothing changes; hubs are grouped by a combining min.
+    Alternates large-star and small-star until only stars are left; hubs are grouped by a combining min.
     """
     now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0")
     for k in range(1, limit):
@@ -290,10 +290,10 @@ def connected(edges: DataFrame, folder: str, limit: int = 40) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         after = keep(small, f"{folder}/{k}")
-        same = now.select(F.xxhash64("a", "b").cast("decimal(38,0)").alias("h")).agg(F.sum("h"), F.count("*")).first() == after.select(F.xxhash64("a", "b").cast("decimal(38,0)").alias("h")).agg(F.sum("h"), F.count("*")).first()
         now = after
-        if same:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        # Done when every node has one root and no root has a root.
+        if now.groupBy("a").count().where("count > 1").isEmpty() and now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     raise RuntimeError(f"components didn't settle in {limit} rounds")
 
 
@@ -454,16 +454,29 @@ def node_roots(docs: DataFrame, seen: DataFrame, folder: str, words: int, percen
         small = F.col("size") <= (SMALL if level == 1 else LATER) if level <= DEEP else F.lit(True)
         large, members = alive.where(~small), None
         say("level", level, "rows", alive.count, "of large buckets", large.count)
+        new = got = None
         if not large.isEmpty():
             # The pivot of a bucket shares most with others: the sizes of all its buckets add up to the largest sum.
             score = large.groupBy("node").agg(F.sum("size").alias("score"))
             pivot = large.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("b"))
             pairs = keep(large.join(pivot, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), f"{folder}/pivots-{level}")
             got = keep(against_pivots(pairs, sets, percent), f"{folder}/relative-{level}")
-            links = got.where("link").select("a", "b")
-            say("pivot pairs", pairs.count, "links", links.count)
-            if not links.isEmpty():
-                roots = keep(merged(roots, links, f"{folder}/roots-{level}-large"), f"{folder}/roots-{level}-a")
+            new = got.where("link").select("a", "b")
+            say("pivot pairs", pairs.count, "links", new.count)
+        # Two nodes of a small bucket that link with one pivot needn't be compared.
+        few = placed(alive.where(small).select("key", "node"), roots)
+        hub = None if new is None else new.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+        few = placed(few, hub, root="hub")
+        left, right = (few.select("key", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("hub").alias(f"h{x}")) for x in "ab")
+        pairs = left.join(right, "key").where("a < b and ra <> rb and ha <> hb").select("a", "b").distinct()
+        close = keep(possible(pairs, nodes, percent), f"{folder}/close-{level}")
+        if not close.isEmpty():
+            links = keep(verified(close, sets, percent), f"{folder}/links-{level}")
+            say("close pairs", close.count, "links", links.count)
+            new = links if new is None else new.unionByName(links)
+        if new is not None and not new.isEmpty():
+            roots = keep(merged(roots, new, f"{folder}/merge-{level}"), f"{folder}/roots-{level}")
+        if got is not None:
             # Groups of one pivot that are in one component by now are done.
             ends = placed(placed(got.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")
             open_groups = ends.groupBy("b").agg(F.min(F.least("ra", "rb")).alias("lo"), F.max(F.greatest("ra", "rb")).alias("hi")).where("lo < hi").select("b")
@@ -472,14 +485,6 @@ def node_roots(docs: DataFrame, seen: DataFrame, folder: str, words: int, percen
             keys = alike.unionByName(left.select(F.col("a").alias("node"), F.explode("across").alias("key"), "link"))
             met = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("link").alias("lo"), F.max("link").alias("hi")).where("k > 1 and (lo is null or lo <> hi)").select("key")
             members = keep(keys.join(met, "key").select("key", "node").distinct(), f"{folder}/members-{level}")
-        few = placed(alive.where(small), roots)
-        pairs = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")).join(few.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("a < b and ra <> rb").select("a", "b").distinct()
-        close = keep(possible(pairs, nodes, percent), f"{folder}/close-{level}")
-        if not close.isEmpty():
-            links = keep(verified(close, sets, percent), f"{folder}/links-{level}")
-            say("close pairs", close.count, "links", links.count)
-            if not links.isEmpty():
-                roots = keep(merged(roots, links, f"{folder}/roots-{level}-small"), f"{folder}/roots-{level}-b")
         if members is None:
             return roots
 
