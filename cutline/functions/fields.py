@@ -95,17 +95,17 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def text_lines(x: Column) -> Column:
     """The lines of a text that aren't blank, trimmed, with runs of blanks as one."""
     t = F.translate(F.coalesce(x, F.lit("")), "\0", " ")
-    t = F.regexp_replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), "[ \t]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, "\r\n?", "\n"), "[ \t]+", " ")
     lines = F.transform(F.split(F.regexp_replace(t, "\n{3,}", "\n\n"), "\n"), lambda s: F.regexp_replace(s, "^[ \t\r\f]+|[ \t\r\f]+$", ""))
     return F.filter(lines, lambda s: s != "")
 
 
 def is_category_line(line: Column) -> Column:
-    """Every token of the line is of 2 to 15 upper-case letters, digits or hyphens and no number, numeral or STAGE."""
-    return F.forall(F.split(line, " "), lambda t: t.rlike("^[A-Z0-9-]{2,15}$") & ~t.rlike("^[0-9]+$") & ~t.isin(*NUMERALS, "STAGE"))
+    """Every token of the line is an upper-case letter and 1 to 14 more, digits or hyphens, and no numeral or STAGE."""
+    return F.forall(F.split(line, " "), lambda t: t.rlike("^[A-Z][A-Z0-9-]{1,14}$") & ~t.isin(*NUMERALS, "STAGE"))
 
 
 def ranked_values(line: Column) -> Column:
-    """Array of struct(rnk, letter, pct) of each 'rank[letter] (percentage)' of a line."""
-    found = F.regexp_extract_all(line, F.lit(r"[0-9]+[A-Z]?\s*\([0-9]+\.[0-9]+\)"), F.lit(0))
-    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, "^([0-9]+)", 1).try_cast("bigint").alias("rnk"), F.regexp_extract(m, "^[0-9]+([A-Z]?)", 1).alias("letter"), F.regexp_extract(m, r"\(([0-9.]+)\)", 1).try_cast("double").alias("pct")))
+    """Array of struct(rnk, letter, pct) of each 'rank[letter] (percentage)' of a line; a rank has at most six digits."""
+    found = F.regexp_extract_all(line, F.lit(r"[0-9]{1,6}[A-Za-z]?\s*\([0-9]+(?:\.[0-9]+)?\)"), F.lit(0))
+    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, "^([0-9]+)", 1).try_cast("bigint").alias("rnk"), F.regexp_extract(m, "^[0-9]+([A-Za-z]?)", 1).alias("letter"), F.regexp_extract(m, r"\(([0-9.]+)\)", 1).try_cast("double").alias("pct")))

@@ -59,3 +59,43 @@ def test_check_steps(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "b")], "u int, t int, s string")
     got = op.check_steps(df, ["u"], ["t"], "s", {"a": ["b"]}, ["a"])
     assert sorted((r.u, r.t, r.allowed) for r in got.collect()) == [(1, 1, True), (1, 2, True), (1, 3, False), (2, 1, False)]
+
+
+def test_keys_with_nulls(spark):
+    t = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "a int, b int")
+    assert sorted((r.b, r.duplicate) for r in op.flag_duplicates(t, ["a"]).collect()) == [(1, True), (2, True), (3, False)]
+    dim = spark.createDataFrame([("x", None, 4)], "f string, n string, id long")
+    new = spark.createDataFrame([(None, "p"), ("x", None), (None, None)], "f string, n string")
+    assert sorted(r.id for r in op.get_or_create(dim, new, ["f", "n"], "id").collect()) == [4, 5, 6]
+    patch = spark.createDataFrame([(1, 9), (1, 8), (None, 7)], "a int, b int")
+    assert sorted((r.a or 0, r.b) for r in op.upsert(t, patch, ["a"], [F.desc("b")]).collect()) == [(0, 7), (1, 9)]
+
+
+def test_text_rules(spark):
+    from cutline.functions import vocabulary as v
+
+    df = spark.createDataFrame([("a\rb\r\nc",)], "t string")
+    assert df.select(fields.text_lines(F.col("t"))).first()[0] == ["a", "b", "c"]
+    line = spark.createDataFrame([("02113 - Some College ", "12 (3) 7b (80.25)", "Intake: 60", "x Stage-I y stage II z", "1 2 3")], "h string, v string, n string, s string, c string")
+    r = line.select(v.headings(F.col("h")).alias("h"), fields.ranked_values(F.col("v")).alias("v"), v.labelled_number(F.col("n"), "intake").alias("n"), v.stage_parts(F.col("s")).alias("s"), v.numeric_cells(F.col("c"), 3).alias("c"), v.numeric_cells(F.col("c"), 2).alias("d")).first()
+    assert (r.h.institute, r.h.institute_name, r.h.program, r.n, r.c, r.d) == ("02113", "Some College", None, 60.0, [1, 2, 3], None)
+    assert [tuple(x) for x in r.v] == [(12, "", 3.0), (7, "b", 80.25)] and r.s == ["x", "Stage-I y", "stage II z"]
+    assert spark.createDataFrame([(["12", "(3.5)", "x", "(4)", "(5)"],)], "l array<string>").select(v.merged_lines(F.col("l"))).first()[0] == ["12 (3.5)", "x", "(4)", "(5)"]
+
+
+def test_scans(spark, tmp_path):
+    from cutline.sources import scans
+
+    (tmp_path / "MCA_25_C2_x.csv").write_text("\ufeffcode,name\n007,\n,b\n", encoding="utf-8")
+    rows = scans.strings(spark, scans.files(spark, f"file://{tmp_path}"), required=["code"])
+    assert sorted((r.code, r.name, r.source_file) for r in rows.collect()) == [("", "b", "MCA_25_C2_x.csv"), ("007", "", "MCA_25_C2_x.csv")]
+    assert scans.missing_columns(spark, f"file://{tmp_path}/MCA_25_C2_x.csv", ["code", "zip"]) == ["zip"]
+    name = scans.named(rows, F.col("source_file")).first()
+    assert (name.family, name.year, name.round, name.file_error) == ("MCA", 2025, 2, None)
+    (tmp_path / "none").mkdir()
+    for call in (lambda: scans.files(spark, f"file://{tmp_path}/none"), lambda: scans.strings(spark, f"file://{tmp_path}/MCA_25_C2_x.csv", required=["zip"])):
+        try:
+            call()
+            raise AssertionError
+        except (FileNotFoundError, ValueError):
+            pass
