@@ -153,11 +153,18 @@ class Codec:
             del self.chunks[c]
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        if ids and not (0 <= min(ids) and max(ids) < len(self.tokens) and self.known[ids].all()):
+    def check(self, ids: np.ndarray) -> None:
+        if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.tokens) and self.known[ids].all()):
             raise ValueError("ids that no token has")
+
+    def joined(self, ids: list[int]) -> bytes:
+        """The bytes of ids that have been checked."""
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode(self, ids: list[int]) -> bytes:
+        self.check(np.asarray(ids, np.int64))
+        return self.joined(ids)
+
 
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
@@ -191,8 +198,9 @@ def encode_rows(docs: DataFrame, path: str | None = None, pattern: str | None =
             texts = b.column("text").to_pylist()
             flat, ends = _id_lists(c.encode(texts))
             if confirm:
+                c.check(flat)
                 for t, x, y in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    if c.decode(flat[x:y].tolist()) != (t or "").encode("utf-8", "surrogatepass"):
+                    if c.joined(flat[x:y].tolist()) != (t or "").encode("utf-8", "surrogatepass"):
                         raise ValueError("a text's ids don't decode to it")
             size = c.sizes[flat]
             begin = np.cumsum(size) - size
@@ -235,10 +243,12 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         for b in iterator:
             n, a, z = [], [], []
             for blob in c.encode(b.column("text").to_pylist()):
-                ids = np.frombuffer(blob, "<u4").tolist()
+                array = np.frombuffer(blob, "<u4")
+                c.check(array)
+                ids = array.tolist()
                 n.append(len(ids))
                 a.append(hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest())
-                z.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                z.append(hashlib.sha256(c.joined(ids)).hexdigest())
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,7 +26,7 @@ from .common import keep, prepare, work_folder
 from .textvec import batches
 
 LIMIT, CHECK, BLOCK, END = 16, 512, 1 << 16, 1
-MEMO = 400_000
+MEMO = 900_000
 TOKENIZER = "word_bpe_49k.json"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -59,7 +59,6 @@ class Encoder:
         self._refuse_others()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _refuse_others(self) -> None:
         """Raises if the tokenizer doesn't split texts as this class does: at blanks, and lower-casing."""
@@ -83,21 +82,24 @@ class Encoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        odd = [w for w in missing if not self.plain(w)]
-        self.words.update(zip(odd, self._bytes(odd), strict=True))
-        # A word of letters alone is one piece; others are cut into pieces, in lower case as the tokenizer cuts them
-        # (words of texts beyond Latin-1 come as they stand).
-        whole = [w for w in missing if w.isalpha() and w not in self.words]
-        cut = {w: self.split(w.lower()) for w in missing if not w.isalpha() and w not in self.words}
-        new = list({p for ps in (whole, *cut.values()) for p in ps if p not in self.pieces})
-        self.pieces.update(zip(new, self._encoded(new), strict=True))
-        get = self.pieces.__getitem__
-        self.words.update(zip(whole, map(get, whole), strict=True))
+    def _learn(self, missing: list[str], plain: bool = False) -> None:
+        """Encodes new words; plain: they are known to be within Latin-1 and in lower case.
+
+        A word of letters alone is one piece; others are cut into pieces, in lower case as the tokenizer cuts them (words
+        of texts beyond Latin-1 come as they stand). A piece has the ids that it has as a word, so one memo serves both.
+        """
+        if not plain:
+            odd = [w for w in missing if not self.plain(w)]
+            self.words.update(zip(odd, self._bytes(odd), strict=True))
+            missing = [w for w in missing if w not in self.words]
+        known = self.words
+        whole = [w for w in missing if w.isalpha()]
+        cut = {w: self.split(w if plain else w.lower()) for w in missing if not w.isalpha()}
+        new = list({p for ps in cut.values() for p in ps if p not in known}.difference(whole))
+        known.update(zip(whole + new, self._encoded(whole + new), strict=True))
         for w, ps in cut.items():
-            self.words[w] = b"".join(map(get, ps))
+            if len(ps) != 1 or ps[0] != w:
+                known[w] = b"".join(map(known.__getitem__, ps))
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece: many joined by blanks in one call, as a piece's last token ends a word."""
@@ -115,13 +117,13 @@ class Encoder:
                 out += self._bytes(some)
         return out
 
-    def _known(self, words: list[str]) -> list[bytes]:
+    def _known(self, words: list[str], plain: bool = False) -> list[bytes]:
         """Ids of each of the words, which are distinct."""
         if missing := [w for w in words if w not in self.words]:
             if len(self.words) + len(missing) > MEMO:
                 self.words.clear()
                 missing = words
-            self._learn(missing)
+            self._learn(missing, plain)
         return list(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -162,7 +164,7 @@ class Encoder:
         place = np.concatenate([[0], np.cumsum(keep_byte)])
         ends = np.append(place[start], len(kept)).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(kept)]).dictionary_encode()
-        ids = self._known([w.decode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()])
+        ids = self._known([w.decode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()], plain=True)
         flat = np.frombuffer(b"".join(ids), np.uint32)
         size = np.array([len(x) // 4 for x in ids], np.int64)
         at = words.indices.to_numpy()

@@ -30,6 +30,8 @@ PER_LANG = 1500
 SWITCH = 9.0
 SCRIPT_SHARE = 0.005
 FOLDS, HELD = 5, 0
+#: Bytes of text labelled at a time.
+VECTOR = 2_000_000
 SPANS = "array<struct<start:int,end:int,lang:string>>"
 SCHEMA = f"doc_id long, lang_pred string, score double, spans {SPANS}"
 
@@ -122,12 +124,12 @@ def viterbi(emit: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: flo
 
 
 def label(texts: list[str], m: Model):
-    """Language code of each text (-1: none), its score, and spans as (text, start, end, code)."""
+    """Language code of each text (-1: none), its score, spans as (text, start, end, code), and the share of its letters in words of scripts that learned languages use."""
     w = Words(texts)
     none = np.zeros(0, np.int64)
     has = np.bincount(np.searchsorted(w.base, np.flatnonzero(true_letters()[w.cp]), side="right") - 1, minlength=w.docs) > 0 if w.docs else np.zeros(0, bool)
     if not m.langs or not len(w.start):
-        return np.full(w.docs, -1), np.zeros(w.docs), (none, none, none, none)
+        return np.full(w.docs, -1), np.zeros(w.docs), (none, none, none, none), np.zeros(w.docs)
     is_letter = letters()[w.cp]
     gram = gram_index(w.cp, is_letter)
     at = np.flatnonzero(is_letter)
@@ -147,25 +149,17 @@ def label(texts: list[str], m: Model):
     d = w.doc[turn]
     spans = (d, w.start[turn] - w.base[d], w.end[last] - w.base[d], best[turn].astype(np.int64))
     ok = has[d]
-    return code, score, tuple(x[ok] for x in spans)
-
-
-def script_share(texts: list[str], m: Model) -> np.ndarray:
-    """Share of each text's letters that are of scripts which learned languages use; 0 without letters."""
-    w = Words(texts)
-    at = np.flatnonzero(letters()[w.cp])
-    doc = np.searchsorted(w.base, at, side="right") - 1
-    used = m.allowed.any(1)[scripts()[w.cp[at]]].astype(float) if m.langs else np.zeros(len(at))
-    return np.bincount(doc, weights=used, minlength=w.docs) / np.maximum(1, np.bincount(doc, minlength=w.docs))
+    known = np.bincount(w.doc, weights=size * narrowed, minlength=w.docs) / np.maximum(1, np.bincount(w.doc, weights=size, minlength=w.docs))
+    return code, score, tuple(x[ok] for x in spans), known
 
 
 def _predict(model):
     def run(iterator):
         m = model.value
         names = np.array([*m.langs, "und"], dtype=object)
-        for held in batches(lambda b: b.column("text"), iterator):
+        for held in batches(lambda b: b.column("text"), iterator, VECTOR):
             b = pa.Table.from_batches(held).combine_chunks()
-            code, score, (d, start, end, lang) = label(b.column("text").to_pylist(), m)
+            code, score, (d, start, end, lang), _ = label(b.column("text").to_pylist(), m)
             offsets = np.searchsorted(d, np.arange(b.num_rows + 1)).astype(np.int32)
             span = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(names[lang], pa.string())], ["start", "end", "lang"])
             yield pa.record_batch(
@@ -188,11 +182,10 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(iterator):
         m = shared.value
-        for held in batches(lambda b: b.column("text"), iterator):
+        for held in batches(lambda b: b.column("text"), iterator, VECTOR):
             b = pa.Table.from_batches(held)
-            texts = b.column("text").to_pylist()
-            code, _, _ = label(texts, m)
-            yield from b.filter(pa.array((code >= 0) & (script_share(texts, m) >= 0.5))).to_batches()
+            code, _, _, known = label(b.column("text").to_pylist(), m)
+            yield from b.filter(pa.array((code >= 0) & (known >= 0.5))).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -104,7 +104,12 @@ def rate(p: Column, steps: list[list[float]]) -> Column:
     if not steps:
         return F.lit(1.0)
     moves = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    return F.aggregate(moves, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r + F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)))
+
+    def stepped(q: Column) -> Column:
+        return F.aggregate(moves, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r + F.aggregate(F.zip_with(q, s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)))
+
+    # As the one element of an array the posteriors are a variable of the lambda, computed once and not once a step.
+    return F.element_at(F.transform(F.array(p), stepped), 1)
 
 
 def solve(members: DataFrame, names: list[str], weights: dict[str, float], budget: float) -> tuple[list[list[float]], dict]:
@@ -131,11 +136,12 @@ def solve(members: DataFrame, names: list[str], weights: dict[str, float], budge
     return steps, {"domains": names, "before": before, "target": target.tolist(), "after": now.tolist()}
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None, budget: float):
+def _fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None, budget: float, rows: DataFrame | None = None, *kept: str):
+    """The members of the mixture (written once: kept columns of rows, tokens, p), the steps and the report."""
     spark = prepare(docs.sparkSession)
     model = fit(docs, labels)
-    members = keep(posteriors(docs, model), work_folder(spark, "mixing"))
-    return model, members, *solve(members, model["names"], WEIGHTS if weights is None else weights, budget)
+    members = keep(posteriors(docs if rows is None else rows, model, *kept), work_folder(spark, "mixing"))
+    return members, *solve(members, model["names"], WEIGHTS if weights is None else weights, budget)
 
 
 def _copies(rows: DataFrame, doc_id: Column, steps: list[list[float]], *kept: str) -> DataFrame:
@@ -148,18 +154,18 @@ def _copies(rows: DataFrame, doc_id: Column, steps: list[list[float]], *kept: st
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET) -> tuple[DataFrame, dict]:
     """doc_id, tokens, p (posteriors), rate and copies of every document; and a report of the totals."""
-    _, members, steps, report = _fitted(docs, labels, weights, budget)
+    members, steps, report = _fitted(docs, labels, weights, budget)
     return _copies(members, F.col("doc_id"), steps, "doc_id", "tokens"), report
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
     """The rows of docs, all columns, each as often as its copies say.
 
-    Copies follow from the row alone, so texts aren't shuffled; rows of one id with different texts have rates of their own,
+    Rows are written once with their posteriors, and copies follow from these, so texts aren't shuffled; rows of one id with different texts have rates of their own,
     and rows with a null id count like others.
     """
-    model, _, steps, _ = _fitted(docs, labels, weights, budget)
     row = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row of it"))
-    got = _copies(posteriors(row, model, "row of it"), F.col("row of it.doc_id"), steps, "row of it")
-    again = got.where(F.col("copies") > 0).select("row of it", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return again.select(*(F.col("row of it")[c].alias(c) for c in docs.columns))
+    members, steps, _ = _fitted(docs, labels, weights, budget, row, "row of it")
+    got = _copies(members, F.col("row of it.doc_id"), steps, "row of it")
+    again = got.select("row of it", F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int")))).alias("copy of it"))
+    return again.where(F.col("copy of it").isNotNull()).select(*(F.col("row of it")[c].alias(c) for c in docs.columns))
