@@ -18,18 +18,17 @@ SECTION_SUFFIX = {"H": "HU", "O": "OHU", "S": "SL"}
 
 def decompose_category(raw: Column) -> Column:
     """struct(base, ladies, section) of a coded category; null where it can't be one."""
-    code = F.upper(F.trim(raw))
-    whole = F.lit(None).cast("string")
-    for k, v in {**WHOLE_CODES, **ORPHAN_CODES}.items():
-        whole = F.when(code == k, v).otherwise(whole)
-    tail = F.regexp_extract(code, "([HOS])$", 1)
-    section = F.lit("SL")
-    for k, v in SECTION_SUFFIX.items():
-        section = F.when(tail == k, v).otherwise(section)
-    body = F.when(tail != "", F.regexp_extract(code, "^(.*).$", 1)).otherwise(code)
-    base = F.regexp_replace(body, "^[LG]", "")
-    parsed = F.struct(base.alias("base"), body.startswith("L").alias("ladies"), section.alias("section"))
-    return F.when(whole.isNotNull(), F.struct(whole.alias("base"), F.lit(False).alias("ladies"), F.lit("SL").alias("section"))).when(base != "", parsed)
+    def parts(code: Column) -> Column:
+        whole = F.try_element_at(F.create_map(*(F.lit(x) for kv in {**WHOLE_CODES, **ORPHAN_CODES}.items() for x in kv)), code)
+        tail = F.regexp_extract(code, "([HOS])$", 1)
+        section = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SECTION_SUFFIX.items() for x in kv)), tail), F.lit("SL"))
+        base = F.regexp_replace(code, "^[LG]|[HOS]$", "")
+        ladies = code.startswith("L") & (F.length(code) > F.length(tail))
+        parsed = F.struct(base.alias("base"), ladies.alias("ladies"), section.alias("section"))
+        return F.when(whole.isNotNull(), F.struct(whole.alias("base"), F.lit(False).alias("ladies"), F.lit("SL").alias("section"))).when(base != "", parsed)
+
+    # As the one element of an array the code is a variable of the lambda, computed once.
+    return F.element_at(F.transform(F.array(F.upper(F.trim(raw))), parts), 1)
 
 
 def zero_filled(x: Column, size: int = 5) -> Column:
