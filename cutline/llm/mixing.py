@@ -100,16 +100,11 @@ def posteriors(docs: DataFrame, model: dict, *kept: str) -> DataFrame:
 
 
 def rate(p: Column, steps: list[list[float]]) -> Column:
-    """Rate after some steps: each adds the product with the posteriors, cut at zero; the first rate is 1."""
+    """Rate after some steps: each adds the product with the posteriors, cut at zero; the first rate is 1. p must be a stored column, since each step reads it."""
     if not steps:
         return F.lit(1.0)
     moves = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-
-    def stepped(q: Column) -> Column:
-        return F.aggregate(moves, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r + F.aggregate(F.zip_with(q, s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)))
-
-    # As the one element of an array the posteriors are a variable of the lambda, computed once and not once a step.
-    return F.element_at(F.transform(F.array(p), stepped), 1)
+    return F.aggregate(moves, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r + F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)))
 
 
 def solve(members: DataFrame, names: list[str], weights: dict[str, float], budget: float) -> tuple[list[list[float]], dict]:
