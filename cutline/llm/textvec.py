@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: Scripts by code-point range (fixed values: Unicode blocks).
 SCRIPTS = [
@@ -75,14 +77,20 @@ class Words:
 
 
 def batches(texts_of, batch_iter, limit: int = 6_000_000):
-    """Joins Arrow batches up to about limit bytes of text, so that vectors are long but bounded."""
-    held, size = [], 0
+    """Joins Arrow batches up to limit bytes of text and cuts longer ones there, so that vectors are long but bounded: each holds less than limit bytes before its last text."""
+    held, last, done = [], 0, 0
     for b in batch_iter:
-        held.append(b)
-        size += texts_of(b).nbytes
-        if size >= limit:
-            yield held
-            held, size = [], 0
+        if not b.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(texts_of(b)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        window = (done + np.cumsum(size) - size) // limit
+        done += int(size.sum())
+        for i, j in pairwise([0, *(np.flatnonzero(np.diff(window)) + 1).tolist(), b.num_rows]):
+            if held and window[i] != last:
+                yield held
+                held = []
+            held.append(b.slice(i, j - i))
+            last = window[i]
     if held:
         yield held
 
