@@ -13,12 +13,14 @@ side by side, the shorter first. An empty table gives an empty file. Extra colum
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,12 @@ from .common import keep, prepare, work_folder
 from .textvec import batches
 
 LIMIT, CHECK, BLOCK, END = 16, 512, 1 << 16, 1
-MEMO = 900_000
+#: Words of a worker's memo before it starts anew, and new ones that one call of the library encodes.
+MEMO, JOINED = 900_000, 8192
 TOKENIZER = "word_bpe_49k.json"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+LOWER[10] = 0x20
 BLOCKS = "part int, block int, first long, doc_ids array<long>, counts array<int>, marks array<long>, data binary"
 
 
@@ -51,13 +55,20 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        with open(path) as f:
+            spec = json.load(f)
+        self.library = Tokenizer.from_str(json.dumps(spec))
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.last = np.zeros(self.size, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._refuse_others()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # The same model for pieces that are cut and in lower case already.
+        spec["normalizer"] = None
+        cutters = (spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"]])
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *(x for x in cutters if x and x["type"] == "ByteLevel")]}
+        self.pieces = Tokenizer.from_str(json.dumps(spec))
         self.words: dict[str, bytes] = {}
 
     def _refuse_others(self) -> None:
@@ -85,16 +96,19 @@ class Encoder:
     def _learn(self, missing: list[str], plain: bool = False) -> None:
         """Encodes new words; plain: they are known to be within Latin-1 and in lower case.
 
-        A word of letters alone is one piece; others are cut into pieces, in lower case as the tokenizer cuts them (words
-        of texts beyond Latin-1 come as they stand). A piece has the ids that it has as a word, so one memo serves both.
+        A word of letters alone is one piece; others are cut into pieces as the tokenizer cuts them. A piece has the ids
+        that it has as a word, so one memo serves both.
         """
+        known = self.words
         if not plain:
             odd = [w for w in missing if not self.plain(w)]
-            self.words.update(zip(odd, self._bytes(odd), strict=True))
-            missing = [w for w in missing if w not in self.words]
-        known = self.words
+            known.update(zip(odd, self._bytes(odd), strict=True))
+            low = {w: w.lower() for w in missing if w not in known}
+            self._learn([w for w in dict.fromkeys(low.values()) if w not in known], plain=True)
+            known.update({w: known[x] for w, x in low.items()})
+            return
         whole = [w for w in missing if w.isalpha()]
-        cut = {w: self.split(w if plain else w.lower()) for w in missing if not w.isalpha()}
+        cut = {w: self.split(w) for w in missing if not w.isalpha()}
         new = list({p for ps in cut.values() for p in ps if p not in known}.difference(whole))
         known.update(zip(whole + new, self._encoded(whole + new), strict=True))
         for w, ps in cut.items():
@@ -104,9 +118,9 @@ class Encoder:
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece: many joined by blanks in one call, as a piece's last token ends a word."""
         out = []
-        for k in range(0, len(pieces), 4096):
-            some = pieces[k : k + 4096]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        for k in range(0, len(pieces), JOINED):
+            some = pieces[k : k + JOINED]
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) == len(some):
                 raw, begin = ids.tobytes(), 0
@@ -118,11 +132,11 @@ class Encoder:
         return out
 
     def _known(self, words: list[str], plain: bool = False) -> list[bytes]:
-        """Ids of each of the words, which are distinct."""
-        if missing := [w for w in words if w not in self.words]:
+        """Ids of each of the words."""
+        if missing := list(dict.fromkeys(w for w in words if w not in self.words)):
             if len(self.words) + len(missing) > MEMO:
                 self.words.clear()
-                missing = words
+                missing = list(dict.fromkeys(words))
             self._learn(missing, plain)
         return list(map(self.words.__getitem__, words))
 
@@ -139,44 +153,44 @@ class Encoder:
     def encode_column(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text. Texts within Latin-1 are lower-cased and cut into words as bytes, side by side; the others one by one."""
         column = column.fill_null("")
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        data = column.buffers()[2]
-        b = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy() if data is not None else np.zeros(0, np.uint8)
-        offsets -= offsets[0]
-        if not len(b):
-            return [np.zeros(0, np.uint32)] * len(column)
-        beyond = np.concatenate([[0], np.cumsum(b >= 0xC4)])
-        mark = np.concatenate([[0], np.cumsum((b[:-1] == 0x3C) & (b[1:] == 0x7C)), [0]])
-        mark[-1] = mark[-2]
-        plain = (beyond[offsets[1:]] == beyond[offsets[:-1]]) & (mark[np.maximum(offsets[1:] - 1, 0)] == mark[np.minimum(offsets[:-1], np.maximum(offsets[1:] - 1, 0))])
+        b, offsets = _bytes_of(column)
+        odd = np.zeros(len(column), bool)
+        bar = np.flatnonzero(b[:-1] == 0x3C)
+        for at in (np.flatnonzero(b >= 0xC4), bar[b[bar + 1] == 0x7C]):
+            odd[np.searchsorted(offsets, at, side="right") - 1] = True
+        if not odd.any():
+            return self._encode_plain(b, offsets)
+        rest = iter(self._encode_plain(*_bytes_of(column.filter(pa.array(~odd)))))
+        others = iter(self.encode(column.filter(pa.array(odd)).to_pylist()))
+        return [np.frombuffer(next(others), np.uint32) if o else next(rest) for o in odd.tolist()]
+
+    def _encode_plain(self, b: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts within Latin-1, given as the UTF-8 bytes of all of them. A word holds the blanks up to the next one, until it is looked up."""
+        b = LOWER[b]
         second = np.flatnonzero(b[:-1] == 0xC3) + 1
         second = second[(b[second] >= 0x80) & (b[second] <= 0x9E) & (b[second] != 0x97)]
         b[second] += 0x20  # the capital letters of Latin-1
-        b = LOWER[b]
-        inside = (b != 0x20) & (b != 10)
+        inside = b != 0x20
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         begins = offsets[:-1][offsets[:-1] < len(b)]
-        first[begins] |= inside[begins]
-        keep_byte = inside & np.repeat(plain, np.diff(offsets))
-        start = np.flatnonzero(first & keep_byte)
-        kept = b[keep_byte]
-        place = np.concatenate([[0], np.cumsum(keep_byte)])
-        ends = np.append(place[start], len(kept)).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(kept)]).dictionary_encode()
-        ids = self._known([w.decode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()], plain=True)
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        at = words.indices.to_numpy()
-        n, begin = size[at], (np.cumsum(size) - size)[at]
-        total = np.concatenate([[0], np.cumsum(n)])
-        got = flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)]
-        cut = total[np.searchsorted(start, offsets)]
-        out = [got[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        odd = np.flatnonzero(~plain)
-        for i, x in zip(odd.tolist(), self.encode(column.take(pa.array(odd)).to_pylist()), strict=True):
-            out[i] = np.frombuffer(x, np.uint32)
-        return out
+        first[begins] = inside[begins]
+        start = np.flatnonzero(first)
+        ends = np.append(start, len(b)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(b)]).dictionary_encode()
+        ids = pa.array(self._known(pc.utf8_rtrim(words.dictionary, " ").to_pylist(), plain=True), pa.binary()).take(words.indices)
+        flat, total = _bytes_of(ids)
+        flat, cut = flat.view(np.uint32), (total // 4)[np.searchsorted(start, offsets)]
+        return [flat[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a string or binary array without nulls, and where each begins, with the end of the last."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data if data is not None else b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 @lru_cache(1)
