@@ -3,9 +3,8 @@
 The rank file becomes a model of the tokenizers library: every byte has its character, every token its
 mapped string, and every split of a token into two tokens is a merge of the token's rank. Texts are cut
 by the pattern; each distinct piece is encoded once per batch of misses and kept in a memo of bounded size.
-Where two splits of one token could compete (its ends are alike, so that two of it may overlap), the library
-may merge them in another order than ranks and position say; pieces that hold such a token are merged by rank
-instead. Decoding reverses the byte table; characters split over tokens meet again in the bytes.
+Where two splits of one token could compete (two of it overlap in a piece), the library may merge them in
+another order than ranks and position say; such pieces are merged by rank instead. Decoding reverses the byte table; characters split over tokens meet again in the bytes.
 
 Defined results: null text counts as empty: no ids, empty bytes. Unknown ids in decode raise. Invalid
 UTF-8 in decoded bytes is kept in `bytes` and shown with replacement characters in `text`.
@@ -17,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -28,8 +26,8 @@ from pyspark.sql import types as T
 
 from .common import prepare
 
-#: Entries of a worker's memo before it starts anew (about 160 bytes each), and characters of the longest one kept.
-MEMO, LONG = 400_000, 64
+#: Entries of a task's memo before it starts anew (about 200 bytes each), characters of the longest one kept, and new pieces that one call of the library encodes.
+MEMO, LONG, JOINED = 400_000, 64, 8192
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -56,8 +54,9 @@ def byte_characters() -> list[str]:
 class Codec:
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import ahocorasick
         import regex
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -66,14 +65,16 @@ class Codec:
         shown = {t: "".join(table[b] for b in t) for t in ranks}
         merges = [(shown[t[:i]], shown[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.library = Tokenizer(models.BPE(vocab={shown[t]: i for t, i in ranks.items()}, merges=merges, cache_capacity=0))
+        self.library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # no byte's character is white space, so blanks part pieces
         self.ranks = ranks
         ways = {t for t in ranks if sum(t[:i] in ranks and t[i:] in ranks for i in range(1, len(t))) > 1}
-        unsure = sorted((t for t in ways if any(t[:i] == t[-i:] for i in range(1, len(t)))), key=len)
-        least: list[bytes] = []  # a longer one that holds one of these needs no test of its own
-        for t in unsure:
-            if not any(s in t for s in least):
-                least.append(t)
-        self.unsure = re.compile(b"|".join(map(re.escape, least)) or b"(?!)").search
+        self.unsure = ahocorasick.Automaton()
+        for t in ways:
+            for i in range(1, len(t)):
+                if t[:i] == t[-i:]:  # two of t that share their ends
+                    self.unsure.add_word((t + t[i:]).decode("latin-1"), True)
+        if len(self.unsure):
+            self.unsure.make_automaton()
         self.split = regex.compile(pattern).findall
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
@@ -81,28 +82,44 @@ class Codec:
         self.known = np.array([bool(t) for t in self.tokens])
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.names = [str(i) for i in range(len(self.tokens))]
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known_ids: dict[str, bytes] = {}
+        self.long: list[str] = []
 
-    def mapped(self, piece: str) -> str:
-        return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
+    def forget(self) -> None:
+        """Empties the memo; for the end of a task, as workers live on with other stages."""
+        self.known_ids.clear()
 
     def _learn(self, missing: set[str]) -> None:
-        """Encodes the pieces of new chunks."""
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
+        """Encodes new chunks by their pieces. A piece has the ids that it has as a chunk, so one memo serves both."""
+        known, ranks = self.known_ids, self.ranks
+        overlaps = self.unsure.iter if len(self.unsure) else lambda s: iter(())
         cut = {c: self.split(c) for c in missing}
-        new = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        tokenize = self.library.model.tokenize
-        for p in new:
+        rest, raws = [], []
+        for p in {p for ps in cut.values() for p in ps if p not in known}:
             raw = p.encode("utf-8", "surrogatepass")
-            ids = [self.ranks[raw]] if raw in self.ranks else self.by_rank(raw) if self.unsure(raw) else [t.id for t in tokenize(self.mapped(p))]
-            self.pieces[p] = np.array(ids, "<u4").tobytes()
-        get = self.pieces.__getitem__
+            if (one := ranks.get(raw)) is not None:
+                known[p] = one.to_bytes(4, "little")
+            elif next(overlaps(raw.decode("latin-1")), None):
+                known[p] = np.array(self.by_rank(raw), "<u4").tobytes()
+            else:
+                rest.append(p)
+                raws.append(raw)
+        for k in range(0, len(rest), JOINED):
+            known.update(zip(rest[k : k + JOINED], self._encoded(raws[k : k + JOINED]), strict=True))
         for c, ps in cut.items():
-            self.chunks[c] = b"".join(map(get, ps))
-        for p in [p for p in new if len(p) > LONG]:
-            del self.pieces[p]
+            if len(ps) != 1 or ps[0] != c:
+                known[c] = b"".join(map(known.__getitem__, ps))
+        self.long = [p for ps in cut.values() for p in ps if len(p) > LONG] + [c for c in missing if len(c) > LONG]
+
+    def _encoded(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of each piece by the library, in one call; a piece ends where its bytes do."""
+        shown = b"".join(raws).decode("latin-1").translate(self.table)
+        ends = np.cumsum([len(r) for r in raws]).tolist()
+        text = " ".join([shown[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)])
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
+        data = ids.tobytes()
+        return [data[a:z] for a, z in zip([0, *at[:-1]], at, strict=True)]
 
     def by_rank(self, raw: bytes) -> list[int]:
         """Merges the neighbours whose token has the least rank, the leftmost first, until no two make a token."""
@@ -142,15 +159,16 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.chunked(t) if t else [] for t in texts]
         here = {c for cs in cut for c in cs}
-        if missing := here.difference(self.chunks):
-            if len(self.chunks) + len(missing) > MEMO:
-                self.chunks.clear()
+        known = self.known_ids
+        if missing := here.difference(known):
+            if len(known) + len(missing) > MEMO:
+                known.clear()
                 missing = here
             self._learn(missing)
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, cs)) for cs in cut]
-        for c in [c for c in missing if len(c) > LONG]:
-            del self.chunks[c]
+        out = [b"".join(map(known.__getitem__, cs)) for cs in cut]
+        for c in self.long:
+            known.pop(c, None)
+        self.long = []
         return out
 
     def check(self, ids: np.ndarray) -> None:
@@ -210,6 +228,7 @@ def encode_rows(docs: DataFrame, path: str | None = None, pattern: str | None =
             at = (begin - np.repeat(first, counts)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (flat, at)]
             yield pa.record_batch([*(b.column(k) for k in kept), *lists], [*kept, "ids", "offsets"])
+        c.forget()
 
     return frame.mapInArrow(run, schema)
 
@@ -250,5 +269,6 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 a.append(hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest())
                 z.append(hashlib.sha256(c.joined(ids)).hexdigest())
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
