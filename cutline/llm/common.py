@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python task; whole texts are long, so batches stay short.
-ARROW_ROWS, ARROW_BYTES = 1024, 32 << 20
+ARROW_ROWS, ARROW_BYTES = 1024, 8 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
