@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python task; whole texts are long, so batches stay short.
 ARROW_ROWS, ARROW_BYTES = 1024, 8 << 20
+#: Environment of Python workers: what a batch frees goes back to the system, as workers outlive tasks beside the JVM's memory.
+FREED = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches and lets workers import this package from where the driver has it."""
+    """Bounds Arrow batches and workers' freed memory, and lets workers import this package from where the driver has it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
+    for name, value in FREED.items():
+        env.setdefault(name, value)
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = ROOT + (os.pathsep + have if have else "")

@@ -58,7 +58,8 @@ TOPS = np.unique(np.floor(STEP_UP ** np.arange(2, 90) + 1e-9).astype(np.int64))
 SMALL, LATER, DEEP = 6, 256, 6
 #: Nodes that may be met by a broadcast: each has at least one in HOT of all rows.
 HOT = 4096
-VECTOR = 3_000_000
+#: Bytes of text whose shingles a task computes at once.
+VECTOR = 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
