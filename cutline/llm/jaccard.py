@@ -111,7 +111,8 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _texts(iterator):
+def texts_of(iterator):
+    """Tables of at most VECTOR bytes of text (but for one long text), with the texts as one array."""
     for held in batches(lambda b: b.column("text"), iterator, VECTOR):
         t = pa.Table.from_batches(held).combine_chunks()
         text = t.column("text").combine_chunks()
@@ -147,7 +148,7 @@ def survey(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(iterator):
         total = np.zeros(BUCKETS, np.int64)
-        for t, text in _texts(iterator):
+        for t, text in texts_of(iterator):
             sets = shingle_sets(text, words)
             if len(sets):
                 total += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
@@ -234,7 +235,7 @@ def index(docs: DataFrame, classes: np.ndarray, words: int = WORDS, percent: int
 
     def run(iterator):
         seen = set()
-        for _, text in _texts(iterator):
+        for _, text in texts_of(iterator):
             sets, nodes = [], []
             for s in shingle_sets(text, words):
                 if len(s) and (node := node_of(s)) not in seen:
@@ -407,7 +408,7 @@ def set_rows(docs: DataFrame, table: np.ndarray, words: int = WORDS) -> DataFram
             h = b.column("h").to_numpy()
             t = b.filter(pa.array((shared.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1))
             if t.num_rows:
-                for _, text in _texts([t]):
+                for _, text in texts_of([t]):
                     new = {node: s for s in shingle_sets(text, words) if len(s) and (node := node_of(s)) not in seen}
                     seen.update(new)
                     yield pa.record_batch([pa.array(list(new), pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())], ["node", "data"])
@@ -435,10 +436,14 @@ def placed(rows: DataFrame, roots: DataFrame | None, name: str = "node", root: s
     return rows.join(roots.select(F.col("node").alias(name), F.col("root").alias("_r")), name, "left").withColumn(root, F.coalesce("_r", name)).drop("_r")
 
 
-def node_roots(docs: DataFrame, seen: DataFrame, folder: str, words: int, percent: int, say) -> DataFrame | None:
-    """(node, root) of all nodes that have links; None if there are none."""
-    nodes = seen.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
-    members = keep(shared_keys(index(docs, token_classes(seen), words, percent)), f"{folder}/members")
+def node_rows(seen: DataFrame) -> DataFrame:
+    """node, n, bits and a doc_id of each distinct set."""
+    return seen.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+
+
+def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str, words: int, percent: int, say, rule_out=possible) -> DataFrame | None:
+    """(node, root) of all nodes that have links; None if there are none. keys: (key, node) rows in which partners meet."""
+    members = keep(keys, f"{folder}/members")
     roots = sets = None
     level = 0
     while True:
@@ -470,7 +475,7 @@ def node_roots(docs: DataFrame, seen: DataFrame, folder: str, words: int, percen
         few = placed(few, hub, root="hub")
         left, right = (few.select("key", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("hub").alias(f"h{x}")) for x in "ab")
         pairs = left.join(right, "key").where("a < b and ra <> rb and ha <> hb").select("a", "b").distinct()
-        close = keep(possible(pairs, nodes, percent), f"{folder}/close-{level}")
+        close = keep(rule_out(pairs, nodes, percent), f"{folder}/close-{level}")
         if not close.isEmpty():
             links = keep(verified(close, sets, percent), f"{folder}/links-{level}")
             say("close pairs", close.count, "links", links.count)
@@ -491,12 +496,17 @@ def node_roots(docs: DataFrame, seen: DataFrame, folder: str, words: int, percen
 
 
 def _grouped(docs: DataFrame, words: int, percent: int, trace=None) -> DataFrame:
-    """doc_id, mark (hash of the text), n, root and the first (doc_id, mark) of its component, of every row of docs."""
+    """doc_id, mark (hash of the text), n and the first (doc_id, mark) of its component, of every row of docs."""
     spark = prepare(docs.sparkSession)
     folder = work_folder(spark, "jaccard")
     seen = keep(survey(docs, words), f"{folder}/survey")
-    rows = seen.where("chunk is null").select("doc_id", "mark", "n", "node")
-    roots = node_roots(docs, seen, folder, words, percent, trace or (lambda *a: None))
+    keys = shared_keys(index(docs, token_classes(seen), words, percent))
+    roots = node_roots(docs, node_rows(seen), keys, folder, words, percent, trace or (lambda *a: None))
+    return rooted(seen.where("chunk is null").select("doc_id", "mark", "n", "node"), roots, folder)
+
+
+def rooted(rows: DataFrame, roots: DataFrame | None, folder: str) -> DataFrame:
+    """rows (doc_id, mark, n, node) with the first (doc_id, mark) of their component."""
     # One row for each node, whose first document is found by a combining minimum; then one for each root.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     each = placed(rows.where("n > 0").groupBy("node").agg(first.alias("f"), F.count("*").alias("k")), roots)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bytebpe, filters, huffman, jaccard, langid, media, merkle, mixing, pii, secrets, topk, toxicity
+from . import bytebpe, filters, huffman, jaccard, langid, media, merkle, minhash, mixing, pii, secrets, topk, toxicity
 from .common import table
 
 
@@ -60,12 +60,17 @@ def op12_filter_audit(spark, sf_dir):
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_minhash(spark, sf_dir):
+    """The contract of this query: sets of 4 words, 80 %."""
+    return minhash.duplicates(table(spark, sf_dir, "documents"), 4, 80)
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_token_ids, op3_byte_bpe, op4_pii, op5_toxicity, op6_mixing, op7_secret_scan, op8_top_k, op9_media, op10_ngram_jaccard, op11_merkle, op12_filter_audit, pipeline)
+    for f in (op1_language_id, op2_token_ids, op3_byte_bpe, op4_pii, op5_toxicity, op6_mixing, op7_secret_scan, op8_top_k, op9_media, op10_ngram_jaccard, op11_merkle, op12_filter_audit, op13_minhash, pipeline)
 }
 ORACLES: dict[str, str] = {"op8_top_k": topk.ORACLE, "op11_merkle": merkle.ORACLE, "op12_filter_audit": filters.ORACLE}
