@@ -16,13 +16,14 @@ make look common only become part of a combination, so a full table costs select
 the size class (steps of the square root of 2); a set is indexed in its own class and in the next one if a
 partner within the threshold could lie there.
 
-Links. Buckets (nodes of one key) of up to SMALL nodes (LATER after the first level) become pairs. In a larger one all nodes are compared
+Links. Buckets (nodes of one key) of up to SMALL nodes become pairs. In a larger one all nodes are compared
 with one pivot, the node that is most central (shares most with others). That connects groups of near
 copies; what is left of the bucket is indexed anew relative to the pivot: with D = set xor pivot, two sets
 differ by as much as their Ds do, and what the whole bucket shares is gone from the Ds. Prefixes of the Ds,
 tokens outside the pivot first, are the keys of the next level, and so on; a bucket is done when all its
-nodes are in one component. Levels beyond DEEP compare all pairs of what is left. Pairs of small buckets
-are ruled out by parity bits where these suffice, before sets are read. Components come from alternating
+nodes are in one component. Buckets of up to LATER nodes are compared inside a task there, by parity bits (an exact bound of the
+difference of two sets, a few dozen bytes a set): only pairs that these leave open, first so many as could
+connect them, become rows and are confirmed. Pairs of small buckets are ruled out in the same way before sets are read. Components come from alternating
 large-star and small-star steps over Spark tables.
 
 Defined results: null text or text without words: no set, linked with nothing, its own component. Texts of
@@ -54,8 +55,8 @@ RARE, OUT = 8, 6
 #: Size classes: powers of this.
 STEP_UP = 2**0.5
 TOPS = np.unique(np.floor(STEP_UP ** np.arange(2, 90) + 1e-9).astype(np.int64))
-#: Nodes of a bucket up to which all its pairs are compared, at the first level and at later ones; the level after which all buckets are treated so.
-SMALL, LATER, DEEP = 6, 256, 6
+#: Nodes of a bucket up to which its pairs become rows at the first level, and up to which they are compared inside a task at later ones.
+SMALL, LATER = 6, 4096
 #: Nodes that may be met by a broadcast: each has at least one in HOT of all rows.
 HOT = 4096
 #: Bytes of text whose shingles a task computes at once.
@@ -313,6 +314,49 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
     return full.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
 
 
+def bucket_pairs(n: np.ndarray, bits: list[bytes], root: np.ndarray, hub: np.ndarray, forest: bool, percent: int) -> list[np.ndarray]:
+    """Pairs of a bucket's nodes, sorted by n, of different roots and hubs that sizes and parity bits don't rule out: all, or of each node those with the first node of other roots so far (a forest)."""
+    width = np.array([len(x) for x in bits])
+    folded = {}
+    for w in np.unique(width).tolist():
+        wide = np.flatnonzero(width >= w)
+        rows = [np.frombuffer(bits[i], np.uint8).reshape(-1, w) for i in wide]
+        folded[w] = wide, np.array([np.bitwise_xor.reduce(x, axis=0) for x in rows])
+    last = np.searchsorted(n, n * 100 // percent, side="right")
+    group = np.arange(len(n)) if forest else None
+    out = [np.zeros((0, 2), np.int64)]
+    for i in range(len(n) - 1):
+        index, m = folded[int(width[i])]
+        at = int(np.searchsorted(index, i))
+        k = np.arange(at + 1, int(np.searchsorted(index, last[i])))
+        j = index[k]
+        ok = (root[j] != root[i]) & (hub[j] != hub[i])
+        if forest:
+            ok &= group[j] != group[i]
+        j, k = j[ok], k[ok]
+        if len(j):
+            least = np.bitwise_count(m[k] ^ m[at]).sum(1, dtype=np.int64)
+            j = j[(100 + percent) * least <= (100 - percent) * (n[i] + n[j])]
+            if forest and len(j):
+                j = j[np.unique(group[j], return_index=True)[1]]
+                group[np.isin(group, group[j])] = group[i]
+            out.append(np.stack([np.full(len(j), i), j], 1))
+    return np.concatenate(out).T
+
+
+def within_buckets(few: DataFrame, forest: bool, percent: int = PERCENT, bits_from: int = 0) -> DataFrame:
+    """Pairs (a, b) of buckets of at most LATER nodes (key, node, n, bits, root, hub), compared by parity bits inside a task: only pairs that these leave open become rows."""
+
+    def compare(key, t):
+        t = t.sort_by([("n", "ascending"), ("node", "ascending")])
+        node, n, root, hub = (t.column(c).to_numpy() for c in ("node", "n", "root", "hub"))
+        i, j = bucket_pairs(n, [x[bits_from:] for x in t.column("bits").to_pylist()], root, hub, forest, percent)
+        return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    mixed = few.join(few.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "key", "left_semi")
+    return mixed.groupBy("key").applyInArrow(compare, "a long, b long")
+
+
 def _overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which tokens of x are in y; both sorted."""
     at = np.searchsorted(y, x)
@@ -441,11 +485,21 @@ def node_rows(seen: DataFrame) -> DataFrame:
     return seen.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
 
 
-def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str, words: int, percent: int, say, rule_out=possible) -> DataFrame | None:
-    """(node, root) of all nodes that have links; None if there are none. keys: (key, node) rows in which partners meet."""
+def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str, words: int, percent: int, say, rule_out=possible, bits_from: int = 0) -> DataFrame | None:
+    """(node, root) of all nodes that have links; None if there are none. keys: (key, node) rows in which partners meet; rule_out: the filter of pairs of small buckets; bits_from: where the parity bits begin in bits."""
     members = keep(keys, f"{folder}/members")
     roots = sets = None
     level = 0
+
+    def linked(roots, pairs, new, name):
+        """roots after the links among pairs and those of new."""
+        close = keep(pairs, f"{folder}/close-{name}")
+        if not close.isEmpty():
+            links = keep(verified(close, sets, percent), f"{folder}/links-{name}")
+            say("close pairs", close.count, "links", links.count)
+            new = links if new is None else new.unionByName(links)
+        return roots if new is None or new.isEmpty() else keep(merged(roots, new, f"{folder}/merge-{name}"), f"{folder}/roots-{name}")
+
     while True:
         level += 1
         size = placed(members, roots).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
@@ -457,7 +511,7 @@ def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str,
             need = keep(need, f"{folder}/need")
             sets = keep(set_rows(docs, bit_table(need), words).join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{folder}/sets")
             nodes = need
-        small = F.col("size") <= (SMALL if level == 1 else LATER) if level <= DEEP else F.lit(True)
+        small = F.col("size") <= (SMALL if level == 1 else LATER)
         large, members = alive.where(~small), None
         say("level", level, "rows", alive.count, "of large buckets", large.count)
         new = got = None
@@ -469,19 +523,19 @@ def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str,
             got = keep(against_pivots(pairs, sets, percent), f"{folder}/relative-{level}")
             new = got.where("link").select("a", "b")
             say("pivot pairs", pairs.count, "links", new.count)
-        # Two nodes of a small bucket that link with one pivot needn't be compared.
-        few = placed(alive.where(small).select("key", "node"), roots)
+        # Two nodes that link with one pivot needn't be compared.
         hub = None if new is None else new.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-        few = placed(few, hub, root="hub")
-        left, right = (few.select("key", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("hub").alias(f"h{x}")) for x in "ab")
-        pairs = left.join(right, "key").where("a < b and ra <> rb and ha <> hb").select("a", "b").distinct()
-        close = keep(rule_out(pairs, nodes, percent), f"{folder}/close-{level}")
-        if not close.isEmpty():
-            links = keep(verified(close, sets, percent), f"{folder}/links-{level}")
-            say("close pairs", close.count, "links", links.count)
-            new = links if new is None else new.unionByName(links)
-        if new is not None and not new.isEmpty():
-            roots = keep(merged(roots, new, f"{folder}/merge-{level}"), f"{folder}/roots-{level}")
+        few = alive.where(small).select("key", "node")
+        if level == 1:
+            few = placed(placed(few, roots), hub, root="hub")
+            left, right = (few.select("key", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("hub").alias(f"h{x}")) for x in "ab")
+            pairs = left.join(right, "key").where("a < b and ra <> rb and ha <> hb").select("a", "b").distinct()
+            roots = linked(roots, rule_out(pairs, nodes, percent), new, f"{level}")
+        else:
+            # First so many pairs as could connect what parity bits leave open, then all that are still of different components.
+            bits = keep(few.join(nodes.select("node", "n", "bits"), "node"), f"{folder}/few-{level}")
+            roots = linked(roots, within_buckets(placed(placed(bits, roots), hub, root="hub"), True, percent, bits_from).distinct(), new, f"{level}-forest")
+            roots = linked(roots, within_buckets(placed(bits, roots).withColumn("hub", F.col("root")), False, percent, bits_from).distinct(), None, f"{level}-rest")
         if got is not None:
             # Groups of one pivot that are in one component by now are done.
             ends = placed(placed(got.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")

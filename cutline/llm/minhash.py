@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, prepare, work_folder
-from .jaccard import node_of, node_roots, node_rows, rooted, shared_keys, shingle_sets, texts_of
+from .jaccard import apart, node_of, node_roots, node_rows, parity, rooted, shared_keys, shingle_sets, texts_of
 from .textvec import mix
 
 WORDS, PERCENT = 5, 80
 CHUNKS, WIDTH, ERRORS, BITS = 16, 4, 1, 16
 SYMBOLS = CHUNKS * WIDTH
+BYTES = SYMBOLS * BITS // 8
 #: Distance within which all pairs meet, and beyond which pairs that meet are not compared.
 LIMIT, FAR = CHUNKS * (ERRORS + 1) - 1, 40
 #: Places of a chunk that a key keeps: all choices of the others are the errors allowed.
@@ -69,14 +70,14 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, mark (hash of the text), n, node and signature (bits) of every row of docs."""
+    """doc_id, mark (hash of the text), n, node and bits (signature, then parity bits of the set) of every row of docs."""
 
     def run(iterator):
         for t, text in texts_of(iterator):
             sets = shingle_sets(text, words)
             full = [s for s in sets if len(s)]
             rows = iter(signatures(full) if full else [])
-            bits = [next(rows).tobytes() if len(s) else None for s in sets]
+            bits = [next(rows).tobytes() + parity(s) if len(s) else None for s in sets]
             node = [node_of(s) if len(s) else None for s in sets]
             columns = [t.column("doc_id").combine_chunks(), t.column("mark").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())]
             yield from pa.table(columns, ["doc_id", "mark", "n", "node", "bits"]).to_batches()
@@ -84,8 +85,9 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n long, node long, bits binary")
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+def matrix(bits: list[bytes]) -> np.ndarray:
+    """The signatures that bits begin with, one a row."""
+    return np.frombuffer(b"".join(x[:BYTES] for x in bits), np.uint16).reshape(-1, SYMBOLS)
 
 
 def multi_index(nodes: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def multi_index(nodes: DataFrame) -> DataFrame:
     def run(iterator):
         for b in iterator:
             if b.num_rows:
-                keys = keys_of(matrix(b.column("bits")))
+                keys = keys_of(matrix(b.column("bits").to_pylist()))
                 node = np.repeat(b.column("node").to_numpy(), keys.shape[1])
                 yield pa.record_batch([pa.array(keys.ravel()), pa.array(node), pa.array(np.zeros(len(node), bool))], ["key", "node", "hot"])
 
@@ -102,18 +104,21 @@ def multi_index(nodes: DataFrame) -> DataFrame:
 
 
 def near(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) that neither their sizes nor the distance of their signatures rules out."""
+    """Pairs (a, b) that neither sizes, nor the distance of signatures, nor parity bits rule out."""
 
     def run(iterator):
         for t in iterator:
             if t.num_rows:
-                distance = (matrix(t.column("x")) != matrix(t.column("y"))).sum(1)
-                yield t.select(["a", "b"]).filter(pa.array(distance <= FAR))
+                x, y, n = (t.column(c).to_pylist() for c in ("x", "y", "n"))
+                ok = (matrix(x) != matrix(y)).sum(1) <= FAR
+                for i in np.flatnonzero(ok).tolist():
+                    ok[i] = (100 + percent) * apart(x[i][BYTES:], y[i][BYTES:]) <= (100 - percent) * n[i]
+                yield t.select(["a", "b"]).filter(pa.array(ok))
 
     left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("na")), "a")
     full = left.join(nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("nb")), "b")
     full = full.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
 
 
 def duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trace=None) -> DataFrame:
@@ -124,6 +129,6 @@ def duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trac
     folder = work_folder(spark, "minhash")
     seen = keep(signed(docs, words), f"{folder}/signed")
     nodes = keep(node_rows(seen), f"{folder}/nodes-all")
-    roots = node_roots(docs, nodes, shared_keys(multi_index(nodes)), folder, words, percent, trace or (lambda *a: None), near)
+    roots = node_roots(docs, nodes, shared_keys(multi_index(nodes)), folder, words, percent, trace or (lambda *a: None), near, BYTES)
     out = rooted(seen.select("doc_id", "mark", "n", "node"), roots, folder)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("top_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("top_id")).alias("kept"))
