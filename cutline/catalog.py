@@ -415,4 +415,4 @@ def q52_health_counts(spark, sf_dir):
     return out
 
 
-from . import catalog_load, catalog_search  # noqa: E402, F401  they add their queries
+from . import catalog_load, catalog_search, catalog_state  # noqa: E402, F401  they add their queries

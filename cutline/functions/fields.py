@@ -41,10 +41,20 @@ def safe_int(x: Column) -> Column:
     return F.when(x.rlike("^[0-9]+$"), x.try_cast("int"))
 
 
+#: A number as delivered files write it; neither NaN, Infinity nor a type's letter belongs to it.
+NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def safe_double(x: Column) -> Column:
-    """A number, else null; NaN is no number here."""
-    d = x.try_cast("double")
-    return F.when(~F.isnan(d), d)
+    """A number, else null."""
+    return F.when(x.rlike(NUMBER), F.trim(x).try_cast("double"))
+
+
+def json_merge(left: Column, right: Column) -> Column:
+    """The union of two JSON objects by key; the right one wins, null values stay, numbers keep their digits. Null or no object counts as empty."""
+    empty = F.from_json(F.lit("{}"), "map<string,variant>")
+    a, b = (F.coalesce(F.from_json(x, "map<string,variant>"), empty) for x in (left, right))
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b))
 
 
 def no_artifact(rank: Column, score: Column) -> Column:

@@ -12,7 +12,7 @@ from .relational import insert_new, reconcile
 def cutoff_checks(rows: DataFrame, categories: list[str] | None = None, programs: list[str] | None = None) -> DataFrame:
     """rows with base, ladies, stage_code, section_code, number, percentile, and a flag for each check."""
     parts = fields.decompose_category(F.col("category"))
-    out = rows.withColumns({"_c": parts, "stage_code": vocabulary.stage(F.col("stage")), "section_code": vocabulary.section(F.col("section")), "number": fields.safe_int(F.trim("rank_number")), "percentile": F.trim("percentage").try_cast("double")})
+    out = rows.withColumns({"_c": parts, "stage_code": vocabulary.stage(F.col("stage")), "section_code": vocabulary.section(F.col("section")), "number": fields.safe_int(F.trim("rank_number")), "percentile": fields.safe_double(F.trim("percentage"))})
     base = F.col("_c.base")
     known = base.isin(categories) if categories else F.lit(True)
     bad = F.coalesce(base.isNull() | ~known, F.lit(True))

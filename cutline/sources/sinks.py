@@ -17,14 +17,27 @@ def csv(rows: DataFrame, path: str, columns: list[str], lists: list[str] | None
     """CSV with a header and columns in the given order; cells of list columns are joined by ', '."""
     cells = [F.concat_ws(", ", c).alias(c) if c in (lists or []) else F.col(c).cast("string").alias(c) for c in columns]
     out = rows.select(*cells, *([by] if by and by not in columns else []))
-    writer = out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer = out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
-def wide(rows: DataFrame, base: list[str], key: str, value: str, names: list[str] | None = None) -> DataFrame:
-    """base columns and one column for each value of key; names gives their order (else they are sorted)."""
+def first_seen(rows: DataFrame, key: str, order: list[str], most: int = 10_000) -> list[str]:
+    """The values of key in the order in which they first appear; each task keeps one place a value. More than `most` can't be columns."""
+    seen = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("_o")).orderBy("_o", key).limit(most + 1).collect()
+    if len(seen) > most:
+        raise ValueError(f"{key} has more than {most} values")
+    return [r[key] for r in seen]
+
+
+def wide(rows: DataFrame, base: list[str], key: str, value: str, order: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """base columns and one column for each value of key: as names gives them, else as they are first seen by order, else sorted.
+
+    A cell that several rows give raises when it is read.
+    """
+    names = names or (first_seen(rows, key, order) if order else None)
     grouped = rows.groupBy(*base).pivot(key, names) if names else rows.groupBy(*base).pivot(key)
-    return grouped.agg(F.first(value))
+    repeat = F.raise_error(F.lit(f"several rows for one cell of {key}"))
+    return grouped.agg(F.when(F.count(F.lit(1)) > 1, repeat.cast(rows.schema[value].dataType)).otherwise(F.min(value)))
 
 
 def json(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
