@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import fields
 from .operators import relational as op
+from .registered import ORACLES, QUERIES, query, read
 
-QUERIES, ORACLES = {}, {}
 FLAGSHIP = "q01_closing_cutoff"
 
 CUT = """WITH cut AS (SELECT l_suppkey AS inst, p_brand AS family, l_partkey AS prog, CAST(year(l_shipdate) AS INTEGER) AS yr,
@@ -19,18 +19,6 @@ SEATS = """WITH seats AS (SELECT o_custkey AS inst, o_orderpriority AS lane, CAS
 LINE = "WITH li AS (SELECT *, l_partkey % 97 = 0 AS bad, l_suppkey % 13 = 0 AS odd FROM lineitem) "
 
 
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-def read(spark, sf_dir, name) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def cut(spark, sf_dir, family: bool = False) -> DataFrame:
     """Line items as cutoff rows; the family comes from another table, which is joined only where it is asked for."""
     rows = read(spark, sf_dir, "lineitem")
@@ -415,4 +403,4 @@ def q52_health_counts(spark, sf_dir):
     return out
 
 
-from . import catalog_load, catalog_search, catalog_state  # noqa: E402, F401  they add their queries
+from . import catalog_load, catalog_panel, catalog_search, catalog_state  # noqa: E402, F401  they add their queries

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import query, read
+from .registered import query, read
 from .functions import vocabulary
 from .operators import gates
 from .operators import relational as op
@@ -23,7 +23,7 @@ k AS (SELECT *, (trim(institution_code) = '' AND trim(institution_name) = '') OR
 FIELDS = ["institution_code", "institution_name", "category", "stage", "section", "program_name", "rank_number", "percentage"]
 
 
-def cells(spark, sf_dir):
+def cells(spark, sf_dir, more=()):
     li, k = read(spark, sf_dir, "lineitem"), F.col
     return li.select(
         "l_orderkey", "l_linenumber", F.concat(F.lit("BCA_24_C"), "l_linenumber", F.lit("_cutoffs.csv")).alias("source_file"), k("l_suppkey").cast("string").alias("institution_code"),
@@ -32,7 +32,7 @@ def cells(spark, sf_dir):
         F.when(k("l_linenumber") == 1, "Stage I").when(k("l_linenumber") == 2, "").when(k("l_linenumber") == 3, "Stage Q").otherwise("Stage-VII").alias("stage"),
         F.when(k("l_orderkey") % 11 == 0, "").when(k("l_orderkey") % 7 == 0, "Elsewhere").otherwise(STATE_LEVEL).alias("section"),
         F.concat(F.lit("Program "), k("l_partkey") % 20).alias("program_name"), k("l_partkey").cast("string").alias("rank_number"),
-        F.when(k("l_quantity") > 45, "n/a").otherwise(k("l_quantity").cast("int").cast("string")).alias("percentage"),
+        F.when(k("l_quantity") > 45, "n/a").otherwise(k("l_quantity").cast("int").cast("string")).alias("percentage"), *more,
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import query, read
+from .registered import query, read
 from .operators import search
 
 FACT = """WITH f AS (SELECT l_suppkey AS institution_code, l_partkey AS program_id, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(quarter(l_shipdate) AS INTEGER) AS round, l_returnflag AS base_category, l_linestatus = 'O' AS is_ladies,
@@ -56,9 +56,9 @@ def q72_lookup_categories(spark, sf_dir):
 ELIGIBLE = "SELECT institution_name, institution_code, program_name, year, round, stage_code, section_code, cutoff_percentile, cutoff_rank FROM x WHERE cutoff_percentile <= {} AND base_category = '{}' AND program_family = '{}' AND NOT is_ladies"
 
 
-@query(FACT + ELIGIBLE.format(45.0, "R", "Brand#23") + " AND year = 1994 AND round = 2")
+@query(FACT + ELIGIBLE.format(45.0, "R", "Brand#23") + " AND year = 1996 AND round = 2")
 def q73_eligible_in_round(spark, sf_dir):
-    return search.eligible(fact(spark, sf_dir), institutes(spark, sf_dir), programs(spark, sf_dir), 45.0, "R", "Brand#23", year=1994, round_no=2)
+    return search.eligible(fact(spark, sf_dir), institutes(spark, sf_dir), programs(spark, sf_dir), 45.0, "R", "Brand#23", year=1996, round_no=2)
 
 
 @query(FACT + ELIGIBLE.format(45.0, "R", "Brand#23"))
@@ -107,16 +107,28 @@ def q79_seat_matrix(spark, sf_dir):
     return search.seat_matrix(seat_rows(spark, sf_dir), 7, "O")
 
 
-@query(FACT + SEATS.replace("WITH", ",") + """, g AS (SELECT institution_code, base_category AS fam, section_code AS cat, year, percentile FROM f WHERE NOT (rank_number = 0 AND percentile = 0.0)),
-y AS (SELECT institution_code, fam, year, min(percentile) AS low, max(percentile) AS high, row_number() OVER (PARTITION BY institution_code, fam ORDER BY year DESC) AS n FROM g GROUP BY institution_code, fam, year),
-h AS (SELECT institution_code, fam, string_agg(year, ',' ORDER BY year DESC) AS years, min(low) AS low, max(high) AS high FROM y WHERE n <= 4 GROUP BY ALL), o AS (SELECT institution_code, fam, string_agg(DISTINCT cat, ',' ORDER BY cat) AS categories FROM g GROUP BY ALL),
-t AS (SELECT institution_code, program_family AS fam, CAST(sum(seats) AS BIGINT) AS seats FROM s WHERE NOT is_total AND capture_year = (SELECT max(capture_year) FROM s z WHERE NOT z.is_total AND z.institution_code = s.institution_code AND z.program_family = s.program_family) GROUP BY ALL)
-SELECT institution_code, institution_name, fam AS program_family, years, low, high, categories, coalesce(seats, 0) AS seats FROM h JOIN o USING (institution_code, fam) LEFT JOIN t USING (institution_code, fam) JOIN i USING (institution_code)""")
+@query(FACT + SEATS.replace("WITH", ",") + """, g AS (SELECT institution_code, base_category AS fam, section_code AS cat, CAST(stage_code AS VARCHAR) AS sec, is_ladies, year, percentile, rank_number FROM f WHERE NOT (rank_number = 0 AND percentile = 0.0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY institution_code, fam, year ORDER BY percentile, rank_number DESC) AS n FROM g WHERE cat = 'S1' AND NOT is_ladies),
+y AS (SELECT institution_code, fam, year, min(percentile) AS low, max(percentile) AS high, any_value(rank_number) FILTER (n = 1) AS rank, row_number() OVER (PARTITION BY institution_code, fam ORDER BY year DESC) AS back FROM r GROUP BY institution_code, fam, year),
+h AS (SELECT institution_code, fam, string_agg(concat(year, ' ', rank), ',' ORDER BY year) AS history, min(low) AS low, max(high) AS high, any_value(rank) FILTER (back = 1) AS cutoff, any_value(low) FILTER (back = 1) AS percentile FROM y WHERE back <= 4 GROUP BY ALL),
+yr AS (SELECT institution_code, fam, string_agg(DISTINCT year, ',' ORDER BY year) AS years FROM g GROUP BY ALL), o AS (SELECT institution_code, fam, is_ladies, cat, string_agg(DISTINCT sec, '+' ORDER BY sec) AS secs FROM g GROUP BY ALL),
+c AS (SELECT institution_code, fam, coalesce(string_agg(concat(cat, ':', secs), ',' ORDER BY cat) FILTER (NOT is_ladies), '') AS general, coalesce(string_agg(concat(cat, ':', secs), ',' ORDER BY cat) FILTER (is_ladies), '') AS ladies FROM o GROUP BY ALL),
+z AS (SELECT * REPLACE (['A', 'N', 'R'][ascii(program_family) % 3 + 1] AS program_family) FROM s),
+t AS (SELECT institution_code, program_family AS fam, CAST(sum(seats) AS BIGINT) AS seats FROM z WHERE is_total AND capture_year = (SELECT max(capture_year) FROM z w WHERE w.institution_code = z.institution_code AND w.program_family = z.program_family) GROUP BY ALL)
+SELECT institution_code, institution_name, fam AS program_family, cutoff, percentile, history, low, high, years, general, ladies, seats FROM h JOIN yr USING (institution_code, fam) JOIN c USING (institution_code, fam) LEFT JOIN t USING (institution_code, fam) JOIN i USING (institution_code)""")
 def q80_search_index(spark, sf_dir):
-    f = fact(spark, sf_dir).withColumns({"program_family": F.col("base_category"), "base_category": F.col("section_code")})
-    got = search.search_index(f, seat_rows(spark, sf_dir), institutes(spark, sf_dir))
-    years = F.array_join(F.transform("history", lambda h: h["year"].cast("string")), ",")
-    return got.select("institution_code", "institution_name", "program_family", years.alias("years"), F.array_min("history.low").alias("low"), F.array_max("history.high").alias("high"), F.array_join("categories", ",").alias("categories"), "seats")
+    f = fact(spark, sf_dir).withColumns({"program_family": F.col("base_category"), "base_category": F.col("section_code"), "section_code": F.col("stage_code").cast("string")})
+    seats = seat_rows(spark, sf_dir).withColumn("program_family", F.element_at(F.array(*map(F.lit, "ANR")), (F.ascii("program_family") % 3 + 1).cast("int")))
+    got = search.search_index(f, seats, institutes(spark, sf_dir), category="S1")
+
+    def listed(options):
+        return F.array_join(F.transform(options, lambda o: F.concat(o["category"], F.lit(":"), F.array_join(o["sections"], "+"))), ",")
+
+    history = F.array_join(F.transform("history", lambda h: F.concat(h["year"].cast("string"), F.lit(" "), h["rank"].cast("string"))), ",")
+    return got.select(
+        "institution_code", "institution_name", "program_family", "cutoff", "percentile", "seats", history.alias("history"), F.array_min("history.low").alias("low"), F.array_max("history.high").alias("high"),
+        F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years"), listed(F.col("general")).alias("general"), listed(F.col("ladies")).alias("ladies"),
+    )
 
 
 @query(FACT + """, y AS (SELECT institution_code, year, min(percentile) AS low, max(percentile) AS high FROM f GROUP BY ALL)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import query, read
+from .registered import query, read
 from .functions import fields
 from .operators import ranges, states
 from .operators import relational as op

@@ -64,10 +64,8 @@ def no_artifact(rank: Column, score: Column) -> Column:
 
 def mapped(x: Column, names: dict[str, str], default: Column | None = None) -> Column:
     """Vocabulary lookup of a small fixed map; the default (null, if none) where it isn't listed."""
-    out = F.lit(None).cast("string") if default is None else default
-    for k, v in names.items():
-        out = F.when(x == k, v).otherwise(out)
-    return out
+    found = F.try_element_at(F.create_map(*(F.lit(t) for pair in names.items() for t in pair)), x)
+    return found if default is None else F.coalesce(found, default)
 
 
 # The least ratio of two names that count as one institution, and numerals that are no category.

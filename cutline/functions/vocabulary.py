@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fields import mapped
+from .fields import mapped, zero_filled
 
 # Stages in both spellings, and the blank one.
-STAGES = {f"Stage{sep}{n}": f"Stage-{n}" for n in ("I", "II", "III", "IV", "V", "VI", "VII", "MI") for sep in "- "} | {"": "Unknown"}
+STAGES = {
+    "Stage-I": "Stage-I", "Stage I": "Stage-I", "Stage-II": "Stage-II", "Stage II": "Stage-II", "Stage-III": "Stage-III", "Stage III": "Stage-III",
+    "Stage-IV": "Stage-IV", "Stage IV": "Stage-IV", "Stage-V": "Stage-V", "Stage V": "Stage-V", "Stage-VI": "Stage-VI", "Stage VI": "Stage-VI",
+    "Stage-VII": "Stage-VII", "Stage VII": "Stage-VII", "Stage-MI": "Stage-MI", "Stage MI": "Stage-MI", "": "Unknown",
+}
 # Headings of sections and their codes.
 SECTIONS = {
     "Home University Seats Allotted to Home University Candidates": "HU",
@@ -19,6 +23,11 @@ SECTIONS = {
     "Minority Seats : Minority Seats Allotted to Minority Candidates": "MI-MIN",
     "Minority Seats : Minority Seats Allotted to Non Minority Candidates": "MI-NONMIN",
 }
+# Patterns of heading lines, of a stage's mark within a line, and of a number in a cell.
+INSTITUTE_LINE, PROGRAM_LINE = r"^\s*([0-9]{3,5})\s*-\s*(.+?)\s*$", r"^\s*([0-9]{7,12}[Ff]?)\s*-\s*(.+?)\s*$"
+STATUS_LINE, UNIVERSITY_LINE = r"(?i)^\s*Status\s*:\s*(.+?)\s*$", r"(?i)^\s*Home University\s*:\s*(.+?)\s*$"
+STAGE_MARK = r"(?i)Stage[-\s]*[IVXLCDM]+"
+NUMBER_CELL = r"^-?[0-9]+(\.[0-9]+)?$"
 # Texts in the category cell that are no category, a spelling of one, the row of a lane's printed sum.
 NO_CATEGORIES = ["GOVERNMENT"]
 CATEGORY_ALIASES = {"VJDT": "VJ/DT"}
@@ -50,8 +59,6 @@ def anomaly(code: Column, name: Column, category: Column) -> Column:
 
 def institution_code(code: Column, choice: Column) -> Column:
     """struct(code, ok): the first five characters of the choice code; ok unless the code column is filled and differs when zero-padded."""
-    from .fields import zero_filled
-
     short = F.substring(choice, 1, 5)
     own = F.trim(F.coalesce(code, F.lit("")))
     return F.struct(short.alias("code"), ((own == "") | (zero_filled(own) == short)).alias("ok"))
@@ -81,9 +88,24 @@ def shown(x: Column, digits: int = 2) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x.cast("double")), "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
 
 
-def slug(x: Column) -> Column:
-    """Lower case, anything but letters and digits as one underscore."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+def slug(x: Column, default: str = "field") -> Column:
+    """Lower case, anything but letters and digits as one underscore; the default where nothing is left."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(name == "", default).otherwise(name)
+
+
+def slugs(labels: Column, default: str = "field") -> Column:
+    """The slugs of an array of labels; the second of equal ones gets _2, the third _3, and so on."""
+    names = F.transform(labels, lambda x: slug(F.coalesce(x, F.lit("")), default))
+    # As the one element of an array the names are a variable of the lambda, made once.
+    def numbered(all_names: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            n = F.size(F.filter(F.slice(all_names, 1, i + 1), lambda y: y == x))
+            return F.when(n == 1, x).otherwise(F.concat(x, F.lit("_"), n.cast("string")))
+
+        return F.transform(all_names, one)
+
+    return F.element_at(F.transform(F.array(names), numbered), 1)
 
 
 def artifact_name(family: Column, year: Column, number: Column) -> Column:
@@ -92,29 +114,58 @@ def artifact_name(family: Column, year: Column, number: Column) -> Column:
 
 
 def labelled_number(line: Column, label: str) -> Column:
-    """The number after a label and a colon, else null."""
-    return F.nullif(F.regexp_extract(line, rf"(?i){label}\s*:\s*([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    """The number after a label in any case, with or without a colon, else null. The label is text, no pattern."""
+    return F.nullif(F.regexp_extract(line, rf"(?i)\Q{label}\E\s*:?\s*([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
 
 
 def headings(line: Column) -> Column:
-    """struct(institute, institute_name, program, program_name, status, university) of a heading line; null where it is none of them."""
+    """struct(institute, institute_name, program, program_name, status, university) of a heading line; null where it is none of them. Institute codes have five digits."""
     part = lambda pattern, k: F.nullif(F.regexp_extract(line, pattern, k), F.lit(""))
-    inst, prog = r"^\s*([0-9]{3,5})\s*-\s*(.+?)\s*$", r"^\s*([0-9]{7,12}[Ff]?)\s*-\s*(.+?)\s*$"
     return F.struct(
-        part(inst, 1).alias("institute"), part(inst, 2).alias("institute_name"), part(prog, 1).alias("program"), part(prog, 2).alias("program_name"),
-        part(r"(?i)^\s*Status\s*:\s*(.+?)\s*$", 1).alias("status"), part(r"(?i)^\s*Home University\s*:\s*(.+?)\s*$", 1).alias("university"),
+        zero_filled(part(INSTITUTE_LINE, 1)).alias("institute"), part(INSTITUTE_LINE, 2).alias("institute_name"), part(PROGRAM_LINE, 1).alias("program"), part(PROGRAM_LINE, 2).alias("program_name"),
+        part(STATUS_LINE, 1).alias("status"), part(UNIVERSITY_LINE, 1).alias("university"),
+    )
+
+
+def page_headings(lines: Column) -> Column:
+    """headings() of a page: of each field the first line that gives it."""
+    found = F.transform(lines, headings)
+    first = lambda field: F.try_element_at(F.filter(F.transform(found, lambda h: h[field]), lambda v: v.isNotNull()), F.lit(1))
+    with_line = lambda field: F.try_element_at(F.filter(found, lambda h: h[field].isNotNull()), F.lit(1))
+    return F.struct(
+        first("institute").alias("institute"), with_line("institute")["institute_name"].alias("institute_name"), first("program").alias("program"), with_line("program")["program_name"].alias("program_name"),
+        first("status").alias("status"), first("university").alias("university"),
     )
 
 
+def detected_section(line: Column) -> Column:
+    """The code of the section that a line names: a whole heading in any case and spacing, else the longest heading that the line holds, else what a line on minority seats or on the state level says; null if none."""
+    text = F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    out = mapped(text, {k.lower(): v for k, v in SECTIONS.items()})
+    for name in sorted(SECTIONS, key=len, reverse=True):
+        out = F.coalesce(out, F.when(text.contains(name.lower()) if name != "State Level" else text.startswith(name.lower()), SECTIONS[name]))
+    minority = text.contains("minority seats")
+    rest = F.when(minority & text.contains("non minority"), "MI-NONMIN").when(minority & text.contains("minority candidates"), "MI-MIN")
+    return F.coalesce(out, rest)
+
+
 def stage_parts(line: Column) -> Column:
-    """The pieces of a line that begin with a stage's mark, and what stands before the first."""
-    return F.filter(F.transform(F.split(line, r"(?i)(?=Stage[-\s]*[IVXLCDM]+)"), lambda s: F.trim(s)), lambda s: s != "")
+    """Array of struct(stage, rest): the marks of stages in a line and what follows each; what stands before the first has no mark."""
+    pieces = F.split(line, rf"{STAGE_MARK[:4]}(?={STAGE_MARK[4:]})")
+    parted = F.transform(pieces, lambda s: F.struct(F.regexp_extract(s, f"{STAGE_MARK[:4]}^{STAGE_MARK[4:]}", 0).alias("stage"), F.trim(F.regexp_replace(s, f"{STAGE_MARK[:4]}^{STAGE_MARK[4:]}", "")).alias("rest")))
+    return F.filter(parted, lambda p: (p["stage"] != "") | (p["rest"] != "") | (F.size(pieces) == 1))
+
+
+def row_numbers(cells: Column, count: int) -> Column:
+    """The numbers among the cells of a row, signs and decimals included; null where there aren't so many."""
+    clean = F.transform(F.filter(cells, lambda c: c.isNotNull()), lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))
+    numbers = F.filter(clean, lambda c: c.rlike(NUMBER_CELL))
+    return F.when(F.size(numbers) == count, F.transform(numbers, lambda c: c.try_cast("double")))
 
 
 def numeric_cells(line: Column, count: int) -> Column:
-    """The whole numbers of a line of so many cells; null where a cell is none or the count differs."""
-    cells = F.filter(F.split(F.trim(line), r"\s+"), lambda s: s != "")
-    return F.when((F.size(cells) == count) & F.forall(cells, lambda s: s.rlike("^[0-9]+$")), F.transform(cells, lambda s: s.try_cast("int")))
+    """row_numbers() of a line whose cells blanks part."""
+    return row_numbers(F.split(F.trim(line), r"\s+"), count)
 
 
 def merged_lines(lines: Column) -> Column:

@@ -68,19 +68,55 @@ def detail(rows: DataFrame, institution: str) -> DataFrame:
     return mine.groupBy("year", "round").agg(F.max("cutoff_percentile").alias("highest_cutoff")).orderBy("year", "round")
 
 
-def search_index(cutoffs: DataFrame, seats: DataFrame, institutes: DataFrame, years: int = 4) -> DataFrame:
-    """One row for each institute and family: yearly low and high of the last years, the options by category, the seats of the latest capture.
+def detail_panel(rows: DataFrame, seats: DataFrame, institution: str, family: str, category: str, ladies: bool = False) -> dict[str, DataFrame]:
+    """What the panel of one institute shows of rows that a candidate clears, as tables.
 
-    Cutoffs are combined once by (institute, family, category, year); all else follows from these rows.
+    trend: the highest cutoff of each year and round with its label, in order; table: the rows, the latest first; lanes: the printed sums
+    of the latest seat matrix; seats: its rows by category.
+    """
+    mine = matching(rows, institution_code=institution, base_category=category, is_ladies=ladies)
+    label = F.concat(F.col("year").cast("string"), F.lit(" R"), F.col("round").cast("string")).alias("year_round")
+    matrix = seat_matrix(seats, institution, family)
+    return {
+        "trend": mine.groupBy("year", "round").agg(F.max("cutoff_percentile").alias("highest_cutoff")).select(label, "highest_cutoff", "year", "round").orderBy("year", "round"),
+        "table": mine.select("year", "round", "stage_code", "section_code", "cutoff_percentile", "cutoff_rank").orderBy(F.desc("year"), F.desc("round"), "stage_code", "section_code", "cutoff_percentile", "cutoff_rank"),
+        "lanes": matrix.where("is_total").select("allocation_lane", "seats"),
+        "seats": matrix.where(~F.col("is_total")).select("allocation_lane", "base_category", "is_ladies", "seats"),
+    }
+
+
+def raw_rows(cutoffs: DataFrame, programs: DataFrame, family: str, order: list[str]) -> DataFrame:
+    """Every cutoff row of a family as delivered, percentiles to seven digits, in the given order."""
+    rows = cutoffs.join(matching(programs, program_family=family), "program_id")
+    return rows.withColumn("percentile", F.round("percentile", 7)).orderBy(*order)
+
+
+def search_index(cutoffs: DataFrame, seats: DataFrame, institutes: DataFrame, years: int = 4, category: str = "OPEN") -> DataFrame:
+    """One row for each institute and family with cutoffs of the open category that aren't ladies': what the search shows without reading a cutoff.
+
+    history: of the last years the lowest and highest percentile and the rank of the lowest row (the larger rank of ties); cutoff and percentile:
+    rank and percentile of the last year's lowest row. seats: the printed sums of the latest capture, null if there are none. years, general and ladies:
+    all years, and the categories with their sections, of all cutoffs. Cutoffs are combined once by (institute, family, ladies, year, category, section);
+    all else follows from these rows.
     """
     keys = ["institution_code", "program_family"]
     fine = cutoffs.where(no_artifact(F.col("rank_number"), F.col("percentile")))
-    base = fine.groupBy(*keys, "base_category", "year").agg(F.min("percentile").alias("low"), F.max("percentile").alias("high"))
-    yearly = base.groupBy(*keys, "year").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    history = yearly.groupBy(*keys).agg(F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("year", "low", "high")))), 1, years).alias("history"))
-    options = base.groupBy(*keys).agg(F.sort_array(F.collect_set("base_category")).alias("categories"))
-    top = latest_snapshot(seats.where(~F.col("is_total")), keys, "capture_year").groupBy(*keys).agg(F.sum("seats").alias("seats"))
-    return history.join(options, keys).join(top, keys, "left").join(institutes, "institution_code").select(*institutes.columns, "program_family", "history", "categories", F.coalesce("seats", F.lit(0)).alias("seats"))
+    by_rank = F.coalesce(-F.col("rank_number"), F.lit((1 << 31) - 1))  # a missing rank comes last
+    lowest = F.min(F.struct(F.col("percentile").alias("low"), by_rank.alias("order"), F.col("rank_number").alias("rank")))
+    base = fine.groupBy(*keys, "is_ladies", "year", "base_category", "section_code").agg(lowest.alias("l"), F.max("percentile").alias("high"))
+    yearly = base.where((F.col("base_category") == category) & ~F.col("is_ladies")).groupBy(*keys, "year").agg(F.min("l").alias("l"), F.max("high").alias("high"))
+    each = F.struct("year", F.col("l.low").alias("low"), "high", F.col("l.rank").alias("rank"))
+    history = yearly.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(each), asc=False), 1, years).alias("h")).withColumn("history", F.reverse("h"))
+    sections = base.groupBy(*keys, "is_ladies", "base_category").agg(F.sort_array(F.collect_set("section_code")).alias("sections"), F.collect_set("year").alias("ys"))
+    option = F.struct(F.col("base_category").alias("category"), "sections")
+    options = sections.groupBy(*keys).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ys")))).alias("years"),
+        *(F.sort_array(F.collect_list(F.when(F.col("is_ladies") == which, option))).alias(name) for which, name in ((False, "general"), (True, "ladies"))),
+    )
+    top = latest_snapshot(seats, keys, "capture_year").where("is_total").groupBy(*keys).agg(F.sum("seats").alias("seats"))
+    latest = F.col("h")[0]
+    out = history.join(options, keys).join(top, keys, "left").join(institutes, "institution_code")
+    return out.select(*institutes.columns, "program_family", latest["rank"].alias("cutoff"), latest["low"].alias("percentile"), "seats", "history", "years", "general", "ladies")
 
 
 def year_extremes(rows: DataFrame, keys: list[str], year: str, low: str, high: str) -> DataFrame:

@@ -63,6 +63,20 @@ def payloads(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.repartition(*by).write.mode("overwrite").partitionBy(*by).json(path)
 
 
+def college_payloads(rows: DataFrame, by: list[str], codes: list[str], order: list[str]) -> DataFrame:
+    """A payload for each value of the by columns: name (joined by ':'), document and bytes.
+
+    The document holds the by columns, the sorted distinct codes, and all other columns of the rows in the given order. With course, year and
+    college as by a payload is one college's year, so no task holds more than that; with course and college it holds all its years.
+    """
+    rest = [c for c in rows.columns if c not in by]
+    ordered = F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("_o"), F.struct(*rest).alias("_r"))))
+    each = rows.groupBy(*by).agg(*(F.sort_array(F.collect_set(c)).alias(f"_{c}") for c in codes), F.transform(ordered, lambda x: x["_r"]).alias("rows"))
+    document = F.to_json(F.struct(*by, F.struct(*(F.col(f"_{c}").alias(c) for c in codes)).alias("codes"), "rows"), {"ignoreNullFields": "false"})
+    named = each.select(*by, F.concat_ws(":", *by).alias("name"), document.alias("document"))
+    return named.withColumn("bytes", F.octet_length("document").cast("bigint"))
+
+
 def wrapped(documents: DataFrame, variable: str, key: Column, document: Column) -> DataFrame:
     """One line of script for each document: window.variable["key"]=document;"""
     name = F.regexp_replace(key.cast("string"), r'(["\\\\])', r"\\$1")

@@ -79,7 +79,7 @@ def test_text_rules(spark):
     line = spark.createDataFrame([("02113 - Some College ", "12 (3) 7b (80.25)", "Intake: 60", "x Stage-I y stage II z", "1 2 3")], "h string, v string, n string, s string, c string")
     r = line.select(v.headings(F.col("h")).alias("h"), fields.ranked_values(F.col("v")).alias("v"), v.labelled_number(F.col("n"), "intake").alias("n"), v.stage_parts(F.col("s")).alias("s"), v.numeric_cells(F.col("c"), 3).alias("c"), v.numeric_cells(F.col("c"), 2).alias("d")).first()
     assert (r.h.institute, r.h.institute_name, r.h.program, r.n, r.c, r.d) == ("02113", "Some College", None, 60.0, [1, 2, 3], None)
-    assert [tuple(x) for x in r.v] == [(12, "", 3.0), (7, "b", 80.25)] and r.s == ["x", "Stage-I y", "stage II z"]
+    assert [tuple(x) for x in r.v] == [(12, "", 3.0), (7, "b", 80.25)] and [tuple(x) for x in r.s] == [("", "x"), ("Stage-I", "y"), ("stage II", "z")]
     assert spark.createDataFrame([(["12", "(3.5)", "x", "(4)", "(5)"],)], "l array<string>").select(v.merged_lines(F.col("l"))).first()[0] == ["12 (3.5)", "x", "(4)", "(5)"]
 
 
