@@ -16,7 +16,6 @@ residual. Repeated doc_ids are rows of their own. Extra columns are ignored by r
 from __future__ import annotations
 
 import math
-import warnings
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -127,7 +126,7 @@ def solve(members: DataFrame, names: list[str], weights: dict[str, float], budge
         got = members.select("tokens", "p", rate(F.col("p"), steps).alias("r")).agg(*(F.sum(F.col("tokens") * F.col("p")[i] * F.col("r")).alias(f"t{i}") for i in range(k))).first()
         now = np.array([got[f"t{i}"] or 0.0 for i in range(k)])
     if k > 1 and np.abs(target - now).sum() > 0.01 * max(1.0, target.sum()):
-        warnings.warn(f"the totals {now.tolist()} miss the targets {target.tolist()} after {STEPS} steps", stacklevel=2)
+        raise RuntimeError(f"the totals {now.tolist()} miss the targets {target.tolist()} by more than 1 % after {STEPS} steps")
     return steps, {"domains": names, "before": before, "target": target.tolist(), "after": now.tolist()}
 
 

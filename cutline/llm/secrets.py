@@ -7,7 +7,8 @@ allow-list pattern matches all of it. Base spans and allow-listed words are cut
 what is left of a run on either side is a candidate of its own, if still as long as the window.
 
 Positions are code points, end exclusive: the match k of a pattern begins after the first k+1 pieces
-between matches and the k matches before it.
+between matches and the k matches before it, which running sums over arrays give in n log n steps. Texts are rebuilt from pieces
+that are joined once, each cut from the chunks of the text that hold it; so the work grows in proportion to text and matches.
 
 Defined results: null or empty text: no spans, counts 0, digests of the empty string. Overlapping base
 spans of different kinds all stay. redact replaces each run of overlapping spans by one mark; a null text
@@ -48,23 +49,63 @@ ALLOW = [
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once: as the one element of an array it is a variable of the lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running(values: Column, combine) -> Column:
+    """Running totals of an array of numbers by combine (sum or maximum): in round k every place takes in the one 2 ** k before it, n log n steps in all."""
+    rounds = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1))
+
+    def double(state: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(state, lambda x, i: F.when(i >= back, combine(x, F.get(state, i - back))).otherwise(x))
+
+    return F.aggregate(rounds, values, double)
+
+
 def _found(text: Column, pattern: str, rank: int, ok: Column | None, group: int = 0) -> Column:
     """Spans of all leftmost, non-overlapping matches that pass ok (a function of the match and its group)."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = [F.split(text, pattern, -1).alias("p"), whole.alias("m")]
+    parts = [F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")]
     if group:
         parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
-    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), end.cast("bigint").alias("end"))
-        good = ok(x["g"] if group else x["m"])
-        return F.struct(end.cast("bigint").alias("at"), F.when(x["m"].isNotNull() & good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def spans(v: Column) -> Column:
+        steps = F.transform(v["m"], lambda m, i: (F.length(F.get(v["p"], i)) + F.length(m)).cast("bigint"))
+        ends = running(steps, lambda a, b: a + b)
+        each = F.arrays_zip(v["m"].alias("m"), (v["g"] if group else v["m"]).alias("g"), ends.alias("end"))
+        good = F.filter(each, lambda x: ok(x["g"]))
+        return F.transform(good, lambda x: F.struct((x["end"] - F.length(x["m"])).alias("start"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), x["end"].alias("end")))
+
+    return once(F.struct(*parts), spans)
+
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-    return F.aggregate(F.arrays_zip(*parts), first, step, lambda s: s["out"])
+#: Code points of the chunks that a text is cut into, so that a piece of it is found without reading it from its beginning.
+CHUNK = 1024
+
+
+def replaced(text: Column, spans: Column, with_what) -> Column:
+    """text with with_what (a function of the code points to cover and whether the span begins a run) in place of spans, which are ordered by start and may overlap."""
+
+    def build(v: Column) -> Column:
+        def cut(at: Column, n: Column) -> Column:
+            first, inside = F.floor(at / CHUNK).cast("int"), (at % CHUNK).cast("int")
+            held = F.array_join(F.slice(v["chunks"], first + 1, F.floor((inside + n) / CHUNK).cast("int") + 1), "")
+            return F.when(n > 0, F.substring(held, inside + 1, n.cast("int"))).otherwise(F.lit(""))
+
+        def piece(x: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(v["reach"], i - 1)).otherwise(F.lit(0).cast("bigint"))
+            start = F.greatest(at, x["start"])
+            return F.concat(cut(at, start - at), with_what(F.greatest(F.lit(0).cast("bigint"), x["end"] - start), x["start"] >= at))
+
+        last = F.element_at(v["reach"], -1)
+        return F.concat(F.array_join(F.transform(v["spans"], piece), ""), cut(last, F.greatest(F.lit(0).cast("bigint"), v["size"] - last)))
+
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"), spans.alias("spans"), running(F.transform(spans, lambda x: x["end"]), F.greatest).alias("reach"), F.length(text).cast("bigint").alias("size")
+    )
+    return F.when(F.size(spans) > 0, once(parts, build)).otherwise(text)
 
 
 def entropy_bits(s: Column, window: int = WINDOW) -> Column:
@@ -87,9 +128,8 @@ def entropy_bits(s: Column, window: int = WINDOW) -> Column:
         first = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"))
         return F.aggregate(F.sequence(F.lit(1), F.size(codes)), first, step, lambda z: z["best"])
 
-    # The places of all characters in ALPHABET, found once: as the one element of an array they are a variable of the lambda.
-    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return F.when(F.length(s) >= window, F.element_at(F.transform(F.array(codes), highest), 1)).otherwise(F.lit(0.0))
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))  # the places of all characters in ALPHABET
+    return F.when(F.length(s) >= window, once(codes, highest)).otherwise(F.lit(0.0))
 
 
 def _random(s: Column) -> Column:
@@ -105,16 +145,7 @@ def _random(s: Column) -> Column:
 
 def without(text: Column, spans: Column) -> Column:
     """text with blanks, as many characters, in place of spans (ordered by start) and of allow-listed words."""
-
-    def step(s: Column, x: Column) -> Column:
-        start = F.greatest(s["at"], x["start"])
-        gap = F.substring(text, (s["at"] + 1).cast("int"), (start - s["at"]).cast("int"))
-        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), x["end"] - start).cast("int"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap, blank).alias("out"))
-
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    left = F.aggregate(spans, first, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    out = F.when(F.size(spans) > 0, left).otherwise(text)
+    out = replaced(text, spans, lambda n, begins: F.repeat(F.lit(" "), n.cast("int")))
     for word in ALLOW_WORDS:
         out = F.regexp_replace(out, f"(?i){word}", " " * len(word))
     return F.regexp_replace(out, MANY_X, " ")
@@ -159,13 +190,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     found = with_spans(docs, name="secret spans")
     spans, text = F.col("secret spans"), F.col("text")
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), gap.alias("out"))
-
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate(spans, first, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    out = found.withColumn("text", F.when(F.size(spans) > 0, rest).otherwise(text))
+    out = found.withColumn("text", replaced(text, spans, lambda n, begins: F.when(begins, F.lit(mark)).otherwise(F.lit(""))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
