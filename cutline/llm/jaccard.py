@@ -18,12 +18,11 @@ partner within the threshold could lie there.
 
 Links. Buckets (nodes of one key) of up to SMALL nodes become pairs. In a larger one all nodes are compared
 with one pivot, the node that is most central (shares most with others). That connects groups of near
-copies; what is left of the bucket is indexed anew relative to the pivot: with D = set xor pivot, two sets
-differ by as much as their Ds do, and what the whole bucket shares is gone from the Ds. Prefixes of the Ds,
-tokens outside the pivot first, are the keys of the next level, and so on; a bucket is done when all its
-nodes are in one component. Buckets of up to LATER nodes are compared inside a task there, by parity bits (an exact bound of the
-difference of two sets, a few dozen bytes a set): only pairs that these leave open, first so many as could
-connect them, become rows and are confirmed. Pairs of small buckets are ruled out in the same way before sets are read. Components come from alternating
+copies. Buckets of up to LATER nodes that aren't in one component by then are compared inside a task, by parity bits (an exact
+bound of the difference of two sets, a few dozen bytes a set): only pairs that these leave open, first so many as could connect
+them, become rows and are confirmed. What is left of a bucket of more nodes is indexed anew relative to the pivot: with D = set xor
+pivot, two sets differ by as much as their Ds do, and what the whole bucket shares is gone from the Ds. Prefixes of the Ds, tokens
+outside the pivot first, are the keys of the next level, and so on; after level LAST a task compares what is left of a bucket, however large. Pairs of small buckets are ruled out in the same way before sets are read. Components come from alternating
 large-star and small-star steps over Spark tables.
 
 Defined results: null text or text without words: no set, linked with nothing, its own component. Texts of
@@ -55,8 +54,8 @@ RARE, OUT = 8, 6
 #: Size classes: powers of this.
 STEP_UP = 2**0.5
 TOPS = np.unique(np.floor(STEP_UP ** np.arange(2, 90) + 1e-9).astype(np.int64))
-#: Nodes of a bucket up to which its pairs become rows at the first level, and up to which they are compared inside a task at later ones.
-SMALL, LATER = 6, 4096
+#: Nodes of a bucket up to which its pairs become rows at the first level, and up to which they are compared inside a task at later ones; the level after which that is done with buckets of any size.
+SMALL, LATER, LAST = 6, 4096, 12
 #: Nodes that may be met by a broadcast: each has at least one in HOT of all rows.
 HOT = 4096
 #: Bytes of text whose shingles a task computes at once.
@@ -314,8 +313,9 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
     return full.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
 
 
-def bucket_pairs(n: np.ndarray, bits: list[bytes], root: np.ndarray, hub: np.ndarray, forest: bool, percent: int) -> list[np.ndarray]:
-    """Pairs of a bucket's nodes, sorted by n, of different roots and hubs that sizes and parity bits don't rule out: all, or of each node those with the first node of other roots so far (a forest)."""
+def bucket_pairs(n: np.ndarray, bits: list[bytes], root: np.ndarray, hub: np.ndarray, most: int | None, percent: int) -> tuple[np.ndarray, bool]:
+    """Pairs of a bucket's nodes, sorted by n, of different roots and hubs that sizes and parity bits don't rule out, and whether these are all: if there are more
+    than `most`, only a forest that connects what they connect."""
     width = np.array([len(x) for x in bits])
     folded = {}
     for w in np.unique(width).tolist():
@@ -323,8 +323,8 @@ def bucket_pairs(n: np.ndarray, bits: list[bytes], root: np.ndarray, hub: np.nda
         rows = [np.frombuffer(bits[i], np.uint8).reshape(-1, w) for i in wide]
         folded[w] = wide, np.array([np.bitwise_xor.reduce(x, axis=0) for x in rows])
     last = np.searchsorted(n, n * 100 // percent, side="right")
-    group = np.arange(len(n)) if forest else None
-    out = [np.zeros((0, 2), np.int64)]
+    group, forest = np.arange(len(n)), False
+    out, many = [np.zeros((0, 2), np.int64)], 0
     for i in range(len(n) - 1):
         index, m = folded[int(width[i])]
         at = int(np.searchsorted(index, i))
@@ -337,24 +337,33 @@ def bucket_pairs(n: np.ndarray, bits: list[bytes], root: np.ndarray, hub: np.nda
         if len(j):
             least = np.bitwise_count(m[k] ^ m[at]).sum(1, dtype=np.int64)
             j = j[(100 + percent) * least <= (100 - percent) * (n[i] + n[j])]
-            if forest and len(j):
-                j = j[np.unique(group[j], return_index=True)[1]]
+            if len(j):
+                if forest:
+                    j = j[np.unique(group[j], return_index=True)[1]]
+                out.append(np.stack([np.full(len(j), i), j], 1))
+                many += len(j)
                 group[np.isin(group, group[j])] = group[i]
-            out.append(np.stack([np.full(len(j), i), j], 1))
-    return np.concatenate(out).T
+                forest = most is not None and many > most  # from here on only what connects groups of pairs so far
+    return np.concatenate(out).T, not forest
 
 
-def within_buckets(few: DataFrame, forest: bool, percent: int = PERCENT, bits_from: int = 0) -> DataFrame:
-    """Pairs (a, b) of buckets of at most LATER nodes (key, node, n, bits, root, hub), compared by parity bits inside a task: only pairs that these leave open become rows."""
+def within_buckets(few: DataFrame, all_pairs: bool, percent: int = PERCENT, bits_from: int = 0) -> DataFrame:
+    """Pairs (key, a, b) of buckets (key, node, n, bits, root, hub), compared by parity bits inside a task: only pairs that these leave open become rows.
+
+    Of a bucket with more than 8 of them a node, unless all_pairs, just so many as connect it, and a row without a and b.
+    """
 
     def compare(key, t):
         t = t.sort_by([("n", "ascending"), ("node", "ascending")])
         node, n, root, hub = (t.column(c).to_numpy() for c in ("node", "n", "root", "hub"))
-        i, j = bucket_pairs(n, [x[bits_from:] for x in t.column("bits").to_pylist()], root, hub, forest, percent)
-        return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+        (i, j), whole = bucket_pairs(n, [x[bits_from:] for x in t.column("bits").to_pylist()], root, hub, None if all_pairs else 8 * len(n), percent)
+        a, b = np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist()
+        if not whole:
+            a, b = [*a, None], [*b, None]
+        return pa.table({"key": pa.array([key[0].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     mixed = few.join(few.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "key", "left_semi")
-    return mixed.groupBy("key").applyInArrow(compare, "a long, b long")
+    return mixed.groupBy("key").applyInArrow(compare, "key long, a long, b long")
 
 
 def _overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -511,7 +520,7 @@ def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str,
             need = keep(need, f"{folder}/need")
             sets = keep(set_rows(docs, bit_table(need), words).join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{folder}/sets")
             nodes = need
-        small = F.col("size") <= (SMALL if level == 1 else LATER)
+        small = F.lit(True) if level > LAST else F.col("size") <= (SMALL if level == 1 else LATER)
         large, members = alive.where(~small), None
         say("level", level, "rows", alive.count, "of large buckets", large.count)
         new = got = None
@@ -519,9 +528,13 @@ def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str,
             # The pivot of a bucket shares most with others: the sizes of all its buckets add up to the largest sum.
             score = large.groupBy("node").agg(F.sum("size").alias("score"))
             pivot = large.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("b"))
-            pairs = keep(large.join(pivot, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), f"{folder}/pivots-{level}")
-            got = keep(against_pivots(pairs, sets, percent), f"{folder}/relative-{level}")
-            new = got.where("link").select("a", "b")
+            pairs = large.join(pivot, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.max("size").alias("size"))
+            pairs = keep(pairs, f"{folder}/pivots-{level}")
+            new = keep(verified(pairs.where(F.col("size") <= LATER).select("a", "b"), sets, percent), f"{folder}/pivot-links-{level}")
+            huge = pairs.where(F.col("size") > LATER).select("a", "b")
+            if not huge.isEmpty():
+                got = keep(against_pivots(huge, sets, percent), f"{folder}/relative-{level}")
+                new = new.unionByName(got.where("link").select("a", "b"))
             say("pivot pairs", pairs.count, "links", new.count)
         # Two nodes that link with one pivot needn't be compared.
         hub = None if new is None else new.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
@@ -532,10 +545,17 @@ def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str,
             pairs = left.join(right, "key").where("a < b and ra <> rb and ha <> hb").select("a", "b").distinct()
             roots = linked(roots, rule_out(pairs, nodes, percent), new, f"{level}")
         else:
-            # First so many pairs as could connect what parity bits leave open, then all that are still of different components.
+            # Crowded buckets first give so many pairs as could connect what parity bits leave open, then all that are still of different components.
             bits = keep(few.join(nodes.select("node", "n", "bits"), "node"), f"{folder}/few-{level}")
-            roots = linked(roots, within_buckets(placed(placed(bits, roots), hub, root="hub"), True, percent, bits_from).distinct(), new, f"{level}-forest")
-            roots = linked(roots, within_buckets(placed(bits, roots).withColumn("hub", F.col("root")), False, percent, bits_from).distinct(), None, f"{level}-rest")
+            open_pairs = keep(within_buckets(placed(placed(bits, roots), hub, root="hub"), False, percent, bits_from), f"{folder}/open-{level}")
+            roots = linked(roots, open_pairs.where("a is not null").select("a", "b").distinct(), new, f"{level}-first")
+            crowded = open_pairs.where("a is null").select("key").distinct()
+            if not crowded.isEmpty():
+                rest = placed(bits.join(crowded, "key", "left_semi"), roots).withColumn("hub", F.col("root"))
+                roots = linked(roots, within_buckets(rest, True, percent, bits_from).select("a", "b").distinct(), None, f"{level}-rest")
+        if level == 1:
+            # Buckets that a task can compare are met again, with what the pivots connected.
+            members = large.where(F.col("size") <= LATER).select("key", "node")
         if got is not None:
             # Groups of one pivot that are in one component by now are done.
             ends = placed(placed(got.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")
@@ -544,7 +564,8 @@ def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str,
             alike = left.select(F.col("a").alias("node"), F.explode("alike").alias("key"), F.lit(None).cast("boolean").alias("link"))
             keys = alike.unionByName(left.select(F.col("a").alias("node"), F.explode("across").alias("key"), "link"))
             met = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("link").alias("lo"), F.max("link").alias("hi")).where("k > 1 and (lo is null or lo <> hi)").select("key")
-            members = keep(keys.join(met, "key").select("key", "node").distinct(), f"{folder}/members-{level}")
+            more = keep(keys.join(met, "key").select("key", "node").distinct(), f"{folder}/members-{level}")
+            members = more if members is None else members.unionByName(more)
         if members is None:
             return roots
 
