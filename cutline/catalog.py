@@ -403,4 +403,4 @@ def q52_health_counts(spark, sf_dir):
     return out
 
 
-from . import catalog_load, catalog_panel, catalog_search, catalog_state  # noqa: E402, F401  they add their queries
+from . import catalog_export, catalog_load, catalog_panel, catalog_search, catalog_state  # noqa: E402, F401  they add their queries

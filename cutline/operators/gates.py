@@ -124,6 +124,13 @@ def seat_mismatches(rows: DataFrame, keys: list[str]) -> DataFrame:
     return reconcile(rows, keys, F.col("category") == vocabulary.TOTAL, F.trim("seats").try_cast("double"))
 
 
+def page_audit(rows: DataFrame, errors: DataFrame, method: str = "method") -> DataFrame:
+    """source_file, page, records, errors and methods (distinct, joined by '+') of each page that has either; counted in one pass over both."""
+    by = ["source_file", "page"]
+    both = rows.select(*by, F.lit(True).alias("_r"), F.col(method).alias("_m")).unionByName(errors.select(*by, F.lit(False).alias("_r"), F.lit(None).cast("string").alias("_m")))
+    return both.groupBy(*by).agg(F.count_if("_r").alias("records"), F.count_if(~F.col("_r")).alias("errors"), F.array_join(F.sort_array(F.collect_set("_m")), "+").alias("methods"))
+
+
 def split(rows: DataFrame, reason: Column, name: str = "reject_reason") -> tuple[DataFrame, DataFrame]:
     """Rows without a reason, and those with one and the reason."""
     marked = rows.withColumn(name, reason)

@@ -199,6 +199,12 @@ def with_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df.withColumns({k: v for k, v in defaults.items() if k not in df.columns})
 
 
+def stamped(df: DataFrame, column: str = "created_at") -> DataFrame:
+    """df whose missing or null times are the query's own, the same in all rows."""
+    now = F.current_timestamp()
+    return df.withColumn(column, F.coalesce(F.col(column), now) if column in df.columns else now)
+
+
 def outside(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """Rows that break an enumeration; null breaks none."""
     return df.where(~F.col(column).isin(allowed))

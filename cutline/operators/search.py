@@ -24,6 +24,17 @@ def matching(rows: DataFrame, **wanted) -> DataFrame:
     return rows
 
 
+def flagged(rows: DataFrame, name: str = "is_selected", **wanted) -> DataFrame:
+    """rows with a flag for those that matching() would keep; nothing is filtered."""
+    kept = F.lit(True)
+    for column, value in wanted.items():
+        if isinstance(value, (list, tuple, set)):
+            kept = kept & F.col(column).isin(list(value)) if value else kept
+        elif value is not None:
+            kept = kept & (F.col(column) == value)
+    return rows.withColumn(name, F.coalesce(kept, F.lit(False)))
+
+
 def eligible(cutoffs: DataFrame, institutes: DataFrame, programs: DataFrame, percentile: float, category: str, family: str, ladies: bool = False, year: int | None = None, round_no: int | None = None) -> DataFrame:
     """Rows that a candidate of exactly this category clears, the highest cutoff first, then by institute."""
     rows = matching(cutoffs, base_category=category, is_ladies=ladies, year=year, round=round_no)
@@ -62,6 +73,12 @@ def summary(rows: DataFrame) -> DataFrame:
     return each.select("institution_code", "b.*", "highest_cutoff", "years_on_record", "matching_rows").orderBy(F.desc("highest_cutoff"), "institution_code")
 
 
+def sorted_results(rows: DataFrame, by: str = "percentile") -> DataFrame:
+    """summary() in one of three orders: percentile (highest first), name, or seats (most first, none last); ties by code."""
+    orders = {"percentile": F.desc("highest_cutoff"), "name": F.asc("institution_name"), "seats": F.desc_nulls_last("seats")}
+    return rows.orderBy(orders[by], "institution_code")
+
+
 def detail(rows: DataFrame, institution: str) -> DataFrame:
     """The panel of one institute: its highest cutoff by year and round, in order."""
     mine = matching(rows, institution_code=institution)
@@ -130,6 +147,23 @@ def latest_rounds(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return latest_snapshot(low, keys, "year")
 
 
+def chosen_range(rows: DataFrame, keys: list[str], value: str, chosen: str = "is_selected") -> DataFrame:
+    """Of each key the lowest and highest value and the number of the rows that are chosen; null, null and 0 where none is."""
+    own = F.when(F.col(chosen), F.col(value))
+    return rows.groupBy(*keys).agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count_if(chosen).alias("n"))
+
+
+def closing_points(cutoffs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key, year and round the closing percentile (to four digits) and rank; stages of a round are one point."""
+    fine = cutoffs.where(no_artifact(F.col("rank_number"), F.col("percentile")))
+    return fine.groupBy(*keys, "year", "round").agg(F.round(F.min("percentile"), 4).alias("percentile"), F.max("rank_number").alias("rank"))
+
+
+def round_series(points: DataFrame, keys: list[str], value: str = "percentile") -> DataFrame:
+    """One series for each key and round: its points by year, only those that exist."""
+    return points.groupBy(*keys, "round").agg(F.sort_array(F.collect_list(F.struct("year", F.col(value).alias("value")))).alias("series"))
+
+
 def selection(rows: DataFrame, low: float, high: float, value: str, chosen: Column, enough: int, keys: list[str]) -> DataFrame:
     """Of each key: rows within the range, those that are selected, and whether the data are limited."""
     inside = F.col(value).between(low, high)

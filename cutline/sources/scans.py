@@ -15,6 +15,10 @@ BOM = "\ufeff"
 #: Names of delivered files. Family, two-digit year and round of a cutoff file; family of a seat file.
 CUTOFF_NAME = r"(?i)^(BCA|BBA|MBA|MCA)_([0-9]{2})_C([0-9])"
 SEAT_NAME = r"(?i)^(BCA|BBA|MBA|MCA)_SM"
+#: What the name of any uploaded file may say; the families are tried in this order.
+FAMILIES = ["BCA", "BBA", "MBA", "MCA"]
+SEAT_MARK = "_SM|SEAT"
+ANY_YEAR, ANY_ROUND = r"(?:^|[_\-. ])(20[0-9]{2}|[0-9]{2})(?=[_\-. ]|$)", r"(?<![A-Z0-9])(C[0-9])(?![A-Z0-9])"
 
 
 def files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
@@ -133,6 +137,16 @@ def named(rows: DataFrame, name: Column, pattern: str = CUTOFF_NAME) -> DataFram
     return rows.withColumn("file_error", F.when(F.col("family").isNull(), "FILENAME_PATTERN_MISMATCH"))
 
 
+def identified(rows: DataFrame, name: Column) -> DataFrame:
+    """rows with kind (SEATS or CUTOFFS), family, year, round and confidence (the share of the last three that was found) of any file name."""
+    upper = F.upper(name)
+    first = lambda pattern: F.nullif(F.regexp_extract(upper, pattern, 1), F.lit(""))
+    family = F.coalesce(*(F.when(upper.contains(f), f) for f in FAMILIES))
+    year = first(ANY_YEAR).cast("int")
+    out = rows.withColumns({"kind": F.when(upper.rlike(SEAT_MARK), "SEATS").otherwise("CUTOFFS"), "family": family, "year": F.when(year < 100, year + 2000).otherwise(year), "round": first(ANY_ROUND)})
+    return out.withColumn("confidence", sum(F.col(c).isNotNull().cast("int") for c in ("family", "year", "round")) / 3)
+
+
 def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents, one of several lines each or one a line, by a schema."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fields, vocabulary
 from . import scans
 
 
@@ -77,6 +78,41 @@ def college_payloads(rows: DataFrame, by: list[str], codes: list[str], order: li
     return named.withColumn("bytes", F.octet_length("document").cast("bigint"))
 
 
+def trends(points: DataFrame, shard: list[str], group: list[str], labels: dict[str, str], listed: list[str]) -> DataFrame:
+    """A document for each value of the shard columns, so that no task holds a whole family: name (joined by ':'), document and bytes.
+
+    It has the shard columns, labels (of each code column of `labels` the codes in use, with the names of the other column), the sorted distinct values of the
+    listed columns, and the groups, each with its points by year and round.
+    """
+    names = {c: F.map_from_entries(F.sort_array(F.collect_set(F.struct(F.col(c).cast("string"), F.col(n))))) for c, n in labels.items()}
+    inner = points.groupBy(*shard, *group).agg(F.sort_array(F.collect_list(F.struct("year", "round", "percentile", "rank"))).alias("points"))
+    groups = inner.groupBy(*shard).agg(F.sort_array(F.collect_list(F.struct(*group, "points"))).alias("groups"))
+    used = points.groupBy(*shard).agg(*(v.alias(f"_{c}") for c, v in names.items()), *(F.sort_array(F.collect_set(c)).alias(f"_{c}") for c in listed))
+    whole = groups.join(used, shard)
+    codes = F.struct(*(F.col(f"_{c}").alias(c) for c in (*labels, *listed))).alias("codes")
+    document = F.to_json(F.struct(*shard, codes, "groups"), {"ignoreNullFields": "false"})
+    return whole.select(*shard, F.concat_ws(":", *shard).alias("name"), document.alias("document")).withColumn("bytes", F.octet_length("document").cast("bigint"))
+
+
+def seat_tables(rows: DataFrame, order: list[str], lanes: list[str], categories: list[str]) -> DataFrame:
+    """institution_code, choice_code and tables: the lanes in the given order, each with its categories in theirs and the seats G, L and total.
+
+    Lanes and categories that aren't listed come last, by name. A sum's row and a row without gender fill total; of rows for one cell the last by order
+    counts. Rows without institute, choice or lane, or whose seats are no number, go. Names are trimmed.
+    """
+    keys = ["institution_code", "choice_code", "allocation_type", "category"]
+    clean = rows.withColumns({c: F.trim(c) for c in (*keys, "gender")}).withColumn("_n", vocabulary.loose_integer(F.col("seats")))
+    clean = clean.where("institution_code <> '' and choice_code <> '' and allocation_type <> '' and _n is not null")
+    total = (F.col("category") == vocabulary.TOTAL) | (F.coalesce("gender", F.lit("")) == "")
+    cell = F.when(total, "total").otherwise(F.col("gender"))
+    last = lambda which: F.max_by("_n", F.when(cell == which, F.struct(*order))).alias(which)
+    each = clean.groupBy(*keys).agg(*map(last, ("G", "L", "total")))
+    placed = F.struct(fields.ordinal(F.col("category"), categories).alias("_o"), "category", "G", "L", "total")
+    lane = each.groupBy(*keys[:3]).agg(F.transform(F.sort_array(F.collect_list(placed)), lambda x: F.struct(x["category"].alias("category"), x["G"].alias("G"), x["L"].alias("L"), x["total"].alias("total"))).alias("rows"))
+    tables = F.sort_array(F.collect_list(F.struct(fields.ordinal(F.col("allocation_type"), lanes).alias("_o"), "allocation_type", "rows")))
+    return lane.groupBy(*keys[:2]).agg(F.transform(tables, lambda x: F.struct(x["allocation_type"].alias("allocation_type"), x["rows"].alias("rows"))).alias("tables"))
+
+
 def wrapped(documents: DataFrame, variable: str, key: Column, document: Column) -> DataFrame:
     """One line of script for each document: window.variable["key"]=document;"""
     name = F.regexp_replace(key.cast("string"), r'(["\\\\])', r"\\$1")
@@ -99,4 +135,4 @@ def staged(rows: DataFrame, kept: list[str]) -> DataFrame:
     return rows.select(*kept, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
 
 
-__all__ = ["append", "csv", "json", "manifest", "nested", "payloads", "rejects", "scans", "staged", "wide", "wrapped"]
+__all__ = ["append", "csv", "json", "manifest", "nested", "payloads", "rejects", "scans", "seat_tables", "staged", "trends", "wide", "wrapped"]

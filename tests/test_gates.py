@@ -84,7 +84,7 @@ def test_college_payloads(spark):
     assert got["B:2024:c1"].bytes == len(got["B:2024:c1"].document.encode()) and len(got) == 2
 
 
-@pytest.mark.parametrize("name", ["q70_lookup_years", "q71_lookup_families", "q72_lookup_categories", "q105_raw_rows", "q106_detail_trend", "q107_detail_table"])
+@pytest.mark.parametrize("name", ["q70_lookup_years", "q71_lookup_families", "q72_lookup_categories", "q105_raw_rows", "q106_detail_trend", "q107_detail_table", "q117_sorted_by_seats"])
 def test_order_of_rows(spark, name):
     duck = duckdb.connect()
     sf = "/root/testdata/sf0.01"
