@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -29,6 +30,8 @@ from .common import prepare
 #: Entries of a task's memo before it starts anew (about 200 bytes each), characters of the longest one kept, and new pieces that one call of the library encodes.
 MEMO, LONG, JOINED = 400_000, 64, 8192
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: A blank inside or at the end of a run of white space.
+BLANK_INSIDE = re.compile(r" (?<=\s )(?:\s|\Z)")
 
 
 def default_path(name: str = RANKS) -> str:
@@ -148,9 +151,10 @@ class Codec:
     def chunked(self, text: str) -> list[str]:
         """Cuts before single blanks: no piece spans such a place, so chunks are encoded on their own.
 
-        Runs of blanks are cut by the pattern itself, on the whole text.
+        Texts with runs of blanks, or with a blank between other white space or between that and the end (which may be
+        one piece with what stands before it), are cut by the pattern itself, on the whole text.
         """
-        if "  " in text:
+        if "  " in text or BLANK_INSIDE.search(text):
             return self.split(text)
         parts = text.split(" ")
         return [parts[0], *map(" ".__add__, parts[1:])]

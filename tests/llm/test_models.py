@@ -153,6 +153,37 @@ def test_language_id_against_a_plain_model(spark):
     assert [r.held_out for r in got if r.doc_id is None] == [None, None]
 
 
+# ---- operator 3
+
+
+def test_byte_bpe_with_tokens_across_line_breaks_and_blanks(tmp_path):
+    """A rank file whose tokens hold a line break or a tab and a blank, on texts of all kinds of white space."""
+    tokens = [bytes([b]) for b in range(256)] + [b"\n ", b"\t ", b" b", b"\n \n", b" \n", b"\n\n", b"\xc2\xa0", b"\xc2\xa0 ", b"ab"]
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+    exact = tiktoken.Encoding("own", pat_str=bytebpe.default_pattern(), mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
+    rng = np.random.default_rng(25)
+    texts = ["a\n \nb", "a\n ", " \n b", *("".join(rng.choice(["a", "b", " ", "\n", "\t", "\u00a0", "\x1c", "\u2003", "'s", "1"], rng.integers(1, 12))) for _ in range(20_000))]
+    c = bytebpe.Codec(str(path), bytebpe.default_pattern())
+    for t, x in zip(texts, c.encode(texts)):
+        ids = np.frombuffer(x, "<u4").tolist()
+        assert ids == exact.encode_ordinary(t) and c.decode(ids) == t.encode(), t
+
+
+@pytest.mark.parametrize("query", ["op1_language_id", "op2_token_ids", "op3_byte_bpe", "op4_pii", "op5_toxicity", "op7_secret_scan", "op9_media"])
+def test_rows_without_an_id(spark, tmp_path, query):
+    """A null doc_id is a row like others: it keeps its result, beside repeated rows, null texts and clashing columns."""
+    text = "the house and garden a@b.com token=abcdefgh12 10.0.0.1"
+    rows = [(i, t, "en", "s", 1, 0.5, "x") for i in (None, 3, 3) for t in (text, None)] + [(None, text, None, None, None, None, None)]
+    spark.createDataFrame(rows, f"{DOCS}, score double, ids string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = registry.QUERIES[query](spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == {3: 4, None: 3}
+    result = lambda r: tuple(str(v) for k, v in r.asDict().items() if k not in ("doc_id", "held_out", "start"))
+    assert Counter(result(r) for r in got if r.doc_id == 3).keys() == Counter(result(r) for r in got if r.doc_id is None).keys()
+    assert len({result(r) for r in got}) == 2 or query == "op5_toxicity"
+
+
 # ---- operator 4
 
 
