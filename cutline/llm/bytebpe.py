@@ -8,7 +8,7 @@ another order than ranks and position say; such pieces are merged by rank instea
 
 Defined results: null text counts as empty: no ids, empty bytes. Unknown ids in decode raise. Invalid
 UTF-8 in decoded bytes is kept in `bytes` and shown with replacement characters in `text`.
-Extra columns are ignored by encode, decode and digests; encode_rows carries them along.
+Rows with a null doc_id are encoded like others. Extra columns are ignored by encode, decode and digests; encode_rows carries them along.
 """
 
 from __future__ import annotations

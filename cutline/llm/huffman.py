@@ -8,7 +8,7 @@ parts: first id, doc_ids, tokens of each document, the coded bytes, and the bit
 token. Decoding looks up LIMIT bits in one table, for all checkpoints of a block side by side.
 
 Defined results: null text counts as empty and yields the end id alone. Repeated doc_ids stand
-side by side, the shorter first. An empty table gives an empty file. Extra columns are ignored.
+side by side, the shorter first; rows without a doc_id come before all others. An empty table gives an empty file. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ is its share of all labelled letters.
 Defined results: null text, or text without any letter: `und`, score 0, no spans. A text whose letters
 are all of scripts that no learned language uses is still given the likeliest learned language. Ties go
 to the language that sorts first. No learned language at all (empty table, all lang null): `und`.
+A row with a null doc_id is predicted like others, held_out null, and is not learned from.
 Extra columns are ignored by predict and carried along by keep_known.
 """
 

@@ -7,7 +7,7 @@ has its time span and a tensor of fixed shape (SLICES, MELS). The segments of ev
 media as an Arrow stream whose schema has the fixed-shape tensor type, and what is read back gives the feature text.
 
 Defined results: null text is the empty payload before padding. Everything is computed text by text with
-the same shapes, so equal texts have equal values. Repeated doc_ids give a row each. Extra columns are ignored.
+the same shapes, so equal texts have equal values. Repeated and null doc_ids give a row each. Extra columns are ignored.
 """
 
 from __future__ import annotations

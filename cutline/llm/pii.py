@@ -12,7 +12,7 @@ Counts cover all words of all documents. Words of no use are left out by a bit t
 whose hash no term near an entity has), which may let others in but loses none.
 
 Defined results: null text counts as empty and has no spans. Base spans of different kinds may overlap and
-all stay; term spans that overlap a base span are left out. Repeated rows of a document count each time.
+all stay; term spans that overlap a base span are left out. Repeated rows of a document, and rows without a doc_id, count each time.
 Extra columns are ignored by find and carried along by sanitise.
 """
 

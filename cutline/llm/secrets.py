@@ -12,7 +12,7 @@ that are joined once, each cut from the chunks of the text that hold it; so the
 
 Defined results: null or empty text: no spans, counts 0, digests of the empty string. Overlapping base
 spans of different kinds all stay. redact replaces each run of overlapping spans by one mark; a null text
-stays null. Extra columns are ignored by scan and carried along by redact.
+stays null. Rows with a null doc_id are scanned like others. Extra columns are ignored by scan and carried along by redact.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ likely tokens are the offending offsets.
 Defined results: null text and text without words: the score of a text without toxic tokens, no spans. No
 labelled rows, or none toxic: score 0 everywhere. Labels of one kind only in the sample: the labels' share of toxic
 rows as the score of all. Too few labels for a calibrating half: the training texts calibrate too. A null label counts as 0; of repeated labels of a document
-the larger holds. Extra columns are ignored.
+the larger holds. Rows with a null
+doc_id are scored like others, held_out null, and labels without one are not used. Extra columns are ignored.
 """
 
 from __future__ import annotations
