@@ -494,8 +494,10 @@ def node_rows(seen: DataFrame) -> DataFrame:
     return seen.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
 
 
-def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str, words: int, percent: int, say, rule_out=possible, bits_from: int = 0) -> DataFrame | None:
-    """(node, root) of all nodes that have links; None if there are none. keys: (key, node) rows in which partners meet; rule_out: the filter of pairs of small buckets; bits_from: where the parity bits begin in bits."""
+def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str, words: int, percent: int, say, rule_out=possible, bits_from: int = 0, again: int = LATER) -> DataFrame | None:
+    """(node, root) of all nodes that have links; None if there are none. keys: (key, node) rows in which partners meet; rule_out: the filter of pairs of small buckets;
+    bits_from: where the parity bits begin in bits; again: nodes of a bucket up to which it is met again by its own key after the first level, and beyond which by keys relative
+    to its pivot (0 suits an index that has a group of near copies under many keys a node, as a pivot gives it few)."""
     members = keep(keys, f"{folder}/members")
     roots = sets = None
     level = 0
@@ -530,8 +532,8 @@ def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str,
             pivot = large.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("b"))
             pairs = large.join(pivot, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.max("size").alias("size"))
             pairs = keep(pairs, f"{folder}/pivots-{level}")
-            new = keep(verified(pairs.where(F.col("size") <= LATER).select("a", "b"), sets, percent), f"{folder}/pivot-links-{level}")
-            huge = pairs.where(F.col("size") > LATER).select("a", "b")
+            new = keep(verified(pairs.where(F.col("size") <= again).select("a", "b"), sets, percent), f"{folder}/pivot-links-{level}")
+            huge = pairs.where(F.col("size") > again).select("a", "b")
             if not huge.isEmpty():
                 got = keep(against_pivots(huge, sets, percent), f"{folder}/relative-{level}")
                 new = new.unionByName(got.where("link").select("a", "b"))
@@ -553,9 +555,9 @@ def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str,
             if not crowded.isEmpty():
                 rest = placed(bits.join(crowded, "key", "left_semi"), roots).withColumn("hub", F.col("root"))
                 roots = linked(roots, within_buckets(rest, True, percent, bits_from).select("a", "b").distinct(), None, f"{level}-rest")
-        if level == 1:
+        if level == 1 and again:
             # Buckets that a task can compare are met again, with what the pivots connected.
-            members = large.where(F.col("size") <= LATER).select("key", "node")
+            members = large.where(F.col("size") <= again).select("key", "node")
         if got is not None:
             # Groups of one pivot that are in one component by now are done.
             ends = placed(placed(got.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")

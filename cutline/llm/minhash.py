@@ -129,6 +129,6 @@ def duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trac
     folder = work_folder(spark, "minhash")
     seen = keep(signed(docs, words), f"{folder}/signed")
     nodes = keep(node_rows(seen), f"{folder}/nodes-all")
-    roots = node_roots(docs, nodes, shared_keys(multi_index(nodes)), folder, words, percent, trace or (lambda *a: None), near, BYTES)
+    roots = node_roots(docs, nodes, shared_keys(multi_index(nodes)), folder, words, percent, trace or (lambda *a: None), near, BYTES, again=0)
     out = rooted(seen.select("doc_id", "mark", "n", "node"), roots, folder)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("top_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("top_id")).alias("kept"))
