@@ -496,8 +496,8 @@ def node_rows(seen: DataFrame) -> DataFrame:
 
 def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str, words: int, percent: int, say, rule_out=possible, bits_from: int = 0, again: int = LATER) -> DataFrame | None:
     """(node, root) of all nodes that have links; None if there are none. keys: (key, node) rows in which partners meet; rule_out: the filter of pairs of small buckets;
-    bits_from: where the parity bits begin in bits; again: nodes of a bucket up to which it is met again by its own key after the first level, and beyond which by keys relative
-    to its pivot (0 suits an index that has a group of near copies under many keys a node, as a pivot gives it few)."""
+    bits_from: where the parity bits begin in bits; again: nodes of all large buckets of one pivot up to which they are met again at once after the first level, and beyond which
+    by keys relative to the pivot (0: always so)."""
     members = keep(keys, f"{folder}/members")
     roots = sets = None
     level = 0
@@ -525,18 +525,22 @@ def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str,
         small = F.lit(True) if level > LAST else F.col("size") <= (SMALL if level == 1 else LATER)
         large, members = alive.where(~small), None
         say("level", level, "rows", alive.count, "of large buckets", large.count)
-        new = got = None
+        new = got = near = None
         if not large.isEmpty():
             # The pivot of a bucket shares most with others: the sizes of all its buckets add up to the largest sum.
             score = large.groupBy("node").agg(F.sum("size").alias("score"))
             pivot = large.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("b"))
-            pairs = large.join(pivot, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.max("size").alias("size"))
-            pairs = keep(pairs, f"{folder}/pivots-{level}")
-            new = keep(verified(pairs.where(F.col("size") <= again).select("a", "b"), sets, percent), f"{folder}/pivot-links-{level}")
-            huge = pairs.where(F.col("size") > again).select("a", "b")
+            pairs = keep(large.join(pivot, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), f"{folder}/pivots-{level}")
+            huge = pairs
+            if again:
+                # At most one pivot in `again` pairs has too many others.
+                over = F.broadcast(keep(pairs.groupBy("b").agg(F.count("*").alias("others")).where(F.col("others") >= again).select("b"), f"{folder}/over-{level}"))
+                near, huge = pairs.join(over, "b", "left_anti"), pairs.join(over, "b", "left_semi")
+                new = keep(verified(near.select("a", "b"), sets, percent), f"{folder}/pivot-links-{level}")
             if not huge.isEmpty():
-                got = keep(against_pivots(huge, sets, percent), f"{folder}/relative-{level}")
-                new = new.unionByName(got.where("link").select("a", "b"))
+                got = keep(against_pivots(huge.select("a", "b"), sets, percent), f"{folder}/relative-{level}")
+                linking = got.where("link").select("a", "b")
+                new = linking if new is None else new.unionByName(linking)
             say("pivot pairs", pairs.count, "links", new.count)
         # Two nodes that link with one pivot needn't be compared.
         hub = None if new is None else new.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
@@ -555,9 +559,9 @@ def node_roots(docs: DataFrame, nodes: DataFrame, keys: DataFrame, folder: str,
             if not crowded.isEmpty():
                 rest = placed(bits.join(crowded, "key", "left_semi"), roots).withColumn("hub", F.col("root"))
                 roots = linked(roots, within_buckets(rest, True, percent, bits_from).select("a", "b").distinct(), None, f"{level}-rest")
-        if level == 1 and again:
-            # Buckets that a task can compare are met again, with what the pivots connected.
-            members = large.where(F.col("size") <= again).select("key", "node")
+        if level == 1 and near is not None:
+            # The nodes of all buckets of a pivot are met again at once, so that two of them meet once and not in each bucket that they share.
+            members = near.select(F.col("b").alias("key"), F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("key"), F.col("b").alias("node")).distinct())
         if got is not None:
             # Groups of one pivot that are in one component by now are done.
             ends = placed(placed(got.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")

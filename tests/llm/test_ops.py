@@ -387,6 +387,25 @@ def test_jaccard_equal_copies_null_ids_and_repeats(spark):
     assert kept == sorted([(10, a), (7, b), (7, c), (0, c + " more of it and more"), (3, ""), (3, "")])
 
 
+@pytest.mark.parametrize("again", [jaccard.LATER, 100])
+def test_jaccard_meets_pairs_of_a_group_once(spark, monkeypatch, again):
+    """Near copies that no pivot connects share many buckets: their pairs become rows once, not in every bucket; groups that are too large go by relative keys."""
+    rows = near_copies(np.random.default_rng(6), 2, 200, 90, 12)
+    made, keep = [], jaccard.keep
+
+    def counted(df, path):
+        out = keep(df, path)
+        if "/open-" in path:
+            made.append((out.count(), out.where("a is not null").select("a", "b").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "keep", counted)
+    monkeypatch.setattr(jaccard.node_roots, "__defaults__", (*jaccard.node_roots.__defaults__[:-1], again))
+    got = {r.doc_id: r.component_id for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80)
+    assert made and (again < jaccard.LATER or made[0][1] > 20 and made[0][0] <= 2 * made[0][1])
+
+
 def test_relative_keys_meet():
     """Sets that link share a key relative to any pivot, or both link with it."""
     rng = np.random.default_rng(5)
